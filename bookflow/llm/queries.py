@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate, line_dedup
+from .decontaminate import op3_decontamination
+from .line_dedup import op10_line_dedup
+from .quality_rules import op6_quality_rules
+from .secrets import op4_secrets
 from .sharding import op7_jump_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": op3_decontamination,
+    "op4_secrets": op4_secrets,
+    "op6_quality_rules": op6_quality_rules,
     "op7_jump_sharding": op7_jump_sharding,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_decontamination": decontaminate.SQL,
+    "op10_line_dedup": line_dedup.SQL,
+}
