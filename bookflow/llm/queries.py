@@ -8,16 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, line_dedup
 from .decontaminate import op3_decontamination
+from .language import op5_language
 from .line_dedup import op10_line_dedup
+from .near_dedup import op1_near_dedup
+from .packing import op8_packing
+from .quality_model import op2_quality_classifier
 from .quality_rules import op6_quality_rules
 from .secrets import op4_secrets
 from .sharding import op7_jump_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_decontamination": op3_decontamination,
     "op4_secrets": op4_secrets,
+    "op5_language": op5_language,
     "op6_quality_rules": op6_quality_rules,
     "op7_jump_sharding": op7_jump_sharding,
+    "op8_packing": op8_packing,
     "op10_line_dedup": op10_line_dedup,
 }
 
