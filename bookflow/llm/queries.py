@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, line_dedup
 from .decontaminate import op3_decontamination
+from .html_text import op9_html_text
 from .language import op5_language
 from .line_dedup import op10_line_dedup
 from .near_dedup import op1_near_dedup
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_jump_sharding": op7_jump_sharding,
     "op8_packing": op8_packing,
+    "op9_html_text": op9_html_text,
     "op10_line_dedup": op10_line_dedup,
 }
 
