@@ -11,7 +11,7 @@ def test_stages(spark, sf):
         assert after.columns == docs.columns and after.dtypes == docs.dtypes
         docs = spark.createDataFrame(after.collect(), docs.schema)
         now = {r.doc_id: r for r in docs.collect()}
-        assert now.keys() < before.keys()
+        assert now.keys() < before.keys() or (name == "lines" and now.keys() == before.keys() and now != before)
         if name == "quality":
             known = [(d in now) == bool(q) for d, q in labels.items()]
             assert sum(known) > 0.98 * len(known)
