@@ -81,12 +81,12 @@ def half_width(s: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+    return pd.Series([None if x is None else unicodedata.normalize("NFKC", x) for x in s], dtype=object)
 
 
 @F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+    return pd.Series([None if x is None else unicodedata.normalize("NFC", x) for x in s], dtype=object)
 
 
 def norm_title(s: Column) -> Column:

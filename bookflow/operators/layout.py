@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -42,7 +43,8 @@ def cluster_lines(chars: DataFrame, tolerance: float = 0.3) -> DataFrame:
                 line[0] = (line[0] * (len(line[1]) - 1) + y) / len(line[1])
         out = [sorted(k[1], key=lambda c: c[0]) for k in found]
         out = ["".join(t for _, t in k) for k in out if not (abs(k[0][0] - centre) < 20 and len(k) <= 3)]
-        return pd.DataFrame({"doc": pdf["doc"].iloc[0], "page": pdf["page"].iloc[0], "pos": range(len(out)), "line": out})
+        n = len(out)
+        return pd.DataFrame({"doc": pdf["doc"].iloc[[0] * n].reset_index(drop=True), "page": pdf["page"].iloc[[0] * n].reset_index(drop=True), "pos": np.arange(n, dtype=np.int32), "line": pd.Series(out, dtype=object)})
 
     kinds = dict(chars.dtypes)
     found = ready.groupBy("doc", "page").applyInPandas(lines, f"doc {kinds['doc']}, page {kinds['page']}, pos int, line string")
