@@ -16,7 +16,7 @@ def document_lines(docs: DataFrame, doc: str = "doc", text: str = "text") -> Dat
 
 def read_text_lines(spark: SparkSession, root: str, glob: str = "*.txt") -> DataFrame:
     """(doc, pos, raw, pure) for each file below `root`, one document for each."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=True)
     return document_lines(files.select(F.col("_metadata.file_path").alias("doc"), F.col("value").alias("text")))
 
 
