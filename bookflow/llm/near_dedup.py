@@ -40,7 +40,7 @@ def shingle_set(text: bytes | None) -> np.ndarray:
         return np.empty(0, _U)
     if len(_words) > 400_000:
         _words.clear()
-    for w in set(words) - _words.keys():
+    for w in [w for w in set(words) if w not in _words]:
         _words[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(_words.__getitem__, words), _U, n)
     if n < SHINGLE:
