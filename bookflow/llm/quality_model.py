@@ -180,7 +180,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
                     docs_words.append(t.encode("utf-8", "surrogatepass").split() if t else [])
                     seen += len(docs_words[-1]) + 1
                     at += 1
-                new = list(set().union(*docs_words) - known.keys())
+                new = [w for w in set().union(*docs_words) if w not in known]
                 if len(known) + len(new) > 600_000:
                     known.clear()
                     new = list(set().union(*docs_words))
