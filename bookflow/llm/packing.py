@@ -45,11 +45,10 @@ def encode(texts: list[str | None], path: str) -> list[bytes]:
     """
     tokenizer, known = _encoder(path)
     split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-    new = set().union(*split) - known.keys()
+    new = [w for w in set().union(*split) if w not in known]
     if len(known) + len(new) > 400_000:
         known.clear()
-        new = set().union(*split)
-    new = list(new)
+        new = list(set().union(*split))
     for low in range(0, len(new), 5000):
         some = new[low : low + 5000]
         for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
