@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from bookflow.functions import text as T
 from bookflow.operators import catalog, chapters, html, layout, match, pixels, segments
+from bookflow.sources import catalog as source
 from bookflow.sources.lines import document_lines
 from bookflow.streaming import jobs
 
@@ -132,9 +133,18 @@ def w3_chapter_spans(spark, sf_dir):
 @query(rf"""WITH {_SPANS}, z AS (SELECT book, index, lpad(CAST(index AS VARCHAR), CAST(greatest(len(CAST(max(index) OVER (PARTITION BY book) AS VARCHAR)), 2) AS INTEGER), '0') AS name FROM c)
 SELECT book, name, lag(name) OVER (PARTITION BY book ORDER BY index) AS prev, lead(name) OVER (PARTITION BY book ORDER BY index) AS next FROM z""")
 def w4_nav_titles(spark, sf_dir):
+    """Names and neighbours of the chapters."""
     return chapters.nav_titles(_spans(spark, sf_dir), least=2).select("book", "name", "prev", "next")
 
 
+@query(rf"""WITH {_SPANS}, z AS (SELECT book, index, CAST(index AS VARCHAR) AS name FROM c), y AS (SELECT *, lead(name) OVER (PARTITION BY book ORDER BY index) AS next FROM z)
+SELECT book, '<t>' || name || '</t>' || book || '<a href=' || coalesce(next || '.html', '') || '>' || CASE WHEN next IS NULL THEN '' ELSE 'on' END || '</a></t>' AS html FROM y WHERE len(CAST((SELECT max(index) FROM c m WHERE m.book = y.book) AS VARCHAR)) = 1""")
+def r4_html_documents(spark, sf_dir):
+    """The chapters of hosts of less than ten, in a template."""
+    named = chapters.nav_titles(_spans(spark, sf_dir)).filter(F.length("name") == 1)
+    return chapters.html_documents(named.withColumn("text", F.col("book")), "<t>{TITLE}</t>", "</t>", "<a href={NEXT_LINK}>{NEXT_TEXT}</a>", next_text="on").select("book", "html")
+
+
 @query(rf"""WITH {_PAGES}, h AS (SELECT book, path, unnest(list_transform(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), lambda x: split_part(x, '#', 1))) AS href FROM p),
 u AS (SELECT DISTINCT book, href AS path FROM h) SELECT book, path FROM u WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.book = u.book AND p.path = u.path)""")
 def j9_missing_assets(spark, sf_dir):
@@ -446,6 +456,28 @@ def a9_completeness(spark, sf_dir):
     return catalog.completeness(table(spark, sf_dir, "events"), F.col("value") > 1, ("event_type",))
 
 
+@query(f"WITH {_BOOKS} SELECT month, day, label, title, page, brand || ' ' || url AS link FROM b")
+def s5_catalog_round_trip(spark, sf_dir):
+    """Every month of orders written as the catalogue's JSON and flattened again."""
+    books = _books(spark, sf_dir)
+    logs = books.select("month").distinct().select("month", F.lit(0).alias("ord"), F.lit("init").alias("action"), F.lit(0).cast("long").alias("ts_ms"), F.lit(0).cast("long").alias("total"), F.lit(None).cast("long").alias("increment"))
+    back, _ = source.flatten_catalog(source.catalog_json(books, logs))
+    return back.select("month", "day", "label", "title", "page", F.array_join(F.transform(F.map_entries("link"), lambda e: F.concat(e["key"], F.lit(" "), e["value"])), ",").alias("link"))
+
+
+@query("""SELECT o_orderkey, 'c' || o_custkey || CASE WHEN o_custkey % 2 = 0 THEN '' ELSE '+d' END AS author, CASE WHEN o_custkey % 2 = 0 THEN 'c' || o_custkey ELSE 'x' END AS illust,
+strftime(o_orderdate, '%Y-%m-%d') AS date, CAST(10 * o_custkey AS VARCHAR) AS price, 'k' || o_orderkey || '.jpg' AS cover FROM orders""")
+def f_product_fields(spark, sf_dir):
+    """Product pages' fields made of orders."""
+    orders = table(spark, sf_dir, "orders")
+    number = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    creators = F.when(F.col("o_custkey") % 2 == 0, F.concat(number, F.lit("(著・絵)"))).otherwise(F.concat(number, F.lit("(著) , x(絵),d(著),y(訳)")))
+    date = F.concat(F.year("o_orderdate").cast("string"), F.lit("年"), F.month("o_orderdate").cast("string"), F.lit("月"), F.day("o_orderdate").cast("string"), F.lit("日"))
+    cover = F.concat(F.lit("https://i.example/a/k"), F.col("o_orderkey").cast("string"), F.lit(".jpg?x=1"))
+    made = orders.select("o_orderkey", T.product_fields(F.create_map(F.lit("著者／編集"), creators), F.col("o_custkey") * 11, F.array(F.lit("d")), cover).alias("f"), T.parse_jp_date(F.concat(F.lit("発売 "), date)).alias("date"))
+    return made.select("o_orderkey", F.array_join("f.author", "+").alias("author"), F.array_join("f.illust", "+").alias("illust"), "date", F.replace("f.price", F.lit("￥"), F.lit("")).alias("price"), "f.cover")
+
+
 # ---- matching
 
 

@@ -18,7 +18,12 @@ def read_catalog(spark: SparkSession, path: str, month: str | None = None) -> tu
     Each file holds a month; where `month` is not given, it is the name of the file's folder or file.
     """
     name = F.regexp_extract("_metadata.file_path", r"([^/]+?)(?:/data)?\.json$", 1) if month is None else F.lit(month)
-    raw = spark.read.text(path, wholetext=True).select(name.alias("month"), F.from_json("value", CATALOG).alias("c"))
+    return flatten_catalog(spark.read.text(path, wholetext=True).select(name.alias("month"), F.col("value").alias("json")))
+
+
+def flatten_catalog(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S3: the books and logs of (month, json)."""
+    raw = texts.select("month", F.from_json("json", CATALOG).alias("c"))
     days = raw.select("month", F.posexplode("c.items").alias("d", "day", "labels"))
     labels = days.select("month", "d", "day", F.posexplode("labels").alias("l", "label", "books"))
     books = labels.select("month", F.col("day").cast("int").alias("day"), "label", "d", "l", F.posexplode("books").alias("b", "book"))
