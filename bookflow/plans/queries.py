@@ -434,11 +434,11 @@ def j7_backfill(spark, sf_dir):
     return catalog.backfill(books, found.select(F.col("o_orderkey").alias("ord"), F.col("p_partkey").alias("original_title"), F.col("o_orderkey").alias("subject")), "n/")
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = user_id)")
+@query("SELECT DISTINCT l_partkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size <= 40)")
 def j10_unseen(spark, sf_dir):
-    """The users of events that no order's customer number has recorded."""
-    record = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id")).distinct()
-    return catalog.unseen(table(spark, sf_dir, "events").select("user_id"), record, "user_id")[0]
+    """The parts of lines that are not on record, the record being the parts of size up to 40."""
+    record = table(spark, sf_dir, "part").filter("p_size <= 40").select(F.col("p_partkey").alias("l_partkey"))
+    return catalog.unseen(table(spark, sf_dir, "lineitem").select("l_partkey"), record, "l_partkey")[0]
 
 
 @query("""SELECT user_id, count(*) AS n_logs, CAST(sum(CASE WHEN event_type = 'purchase' THEN CAST(floor(value) AS BIGINT) ELSE 0 END) AS BIGINT) AS newly,
