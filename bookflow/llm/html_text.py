@@ -20,7 +20,7 @@ BLOCK_TAGS = frozenset(
 )
 HIDDEN_TAGS = frozenset("script style template noscript head title svg math iframe object canvas audio video textarea select button noframes".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-AROUND_TAGS = frozenset("nav header footer aside form menu dialog search".split())
+AROUND_TAGS = frozenset("nav header footer aside menu dialog search".split())
 INSIDE_TAGS = frozenset("article main".split())
 #: Words of class, id and role that tell what a part of a page is.
 AROUND_NAMES = re.compile(
@@ -113,6 +113,7 @@ class Block:
     inside: int
     item: int
     heading: int
+    form: int
 
 
 @dataclass
@@ -124,6 +125,7 @@ class _Open:
     item: int
     heading: int
     link: int
+    form: int
 
 
 @dataclass
@@ -138,7 +140,7 @@ class Flat(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.stack = [_Open("", 0, 0, 0, 0, 0, 0)]
+        self.stack = [_Open("", 0, 0, 0, 0, 0, 0, 0)]
         self.piece = _Piece()
 
     def cut(self) -> None:
@@ -149,7 +151,7 @@ class Flat(HTMLParser):
         if text:
             counts = [(len(p.split()), own) for p, own in zip(self.piece.parts, self.piece.linked, strict=True)]
             n, top = max(1, sum(c for c, _ in counts)), self.stack[-1]
-            self.blocks.append(Block(text, len(text.split(" ")), sum(c for c, own in counts if own) / n, top.around, top.inside, top.item, top.heading))
+            self.blocks.append(Block(text, len(text.split(" ")), sum(c for c, own in counts if own) / n, top.around, top.inside, top.item, top.heading, top.form))
         self.piece = _Piece()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -169,7 +171,9 @@ class Flat(HTMLParser):
         around = tag in AROUND_TAGS or (tag not in ("html", "body", *INSIDE_TAGS) and bool(names) and bool(AROUND_NAMES.search(names)))
         if tag == "article" and (top.around or (names and re.search(r"(?i)\b(?:comment|reply|teaser|related)", names))):
             around, inside = True, False
-        self.stack.append(_Open(tag, top.around or int(around), top.inside or int(inside and not around), top.hidden or int(hidden), int(tag == "li" or (top.item and tag not in BLOCK_TAGS)), int(re.fullmatch("h[1-6]", tag) is not None or (top.heading and tag not in BLOCK_TAGS)), int(tag == "a" or (top.link and tag not in BLOCK_TAGS))))
+        # a form around an article is the page's, not a part of it
+        form = 0 if inside else int(tag == "form" or top.form)
+        self.stack.append(_Open(tag, top.around or int(around), top.inside or int(inside and not around), top.hidden or int(hidden), int(tag == "li" or (top.item and tag not in BLOCK_TAGS)), int(re.fullmatch("h[1-6]", tag) is not None or (top.heading and tag not in BLOCK_TAGS)), int(tag == "a" or (top.link and tag not in BLOCK_TAGS)), form))
 
     def closes(self, tag: str) -> bool:
         """Whether an element that the start of `tag` ends is open; it is closed."""
@@ -215,12 +219,18 @@ def flat_blocks(html: str | None) -> list[Block]:
 
 
 def main_text(html: str | None, tree: tuple) -> str:
+    """The main text of a page. Forms are parts around it, but where nothing would be left: then a form holds the page."""
     blocks = flat_blocks(html)
-    marked = any(b.inside and not b.around for b in blocks)
+    return chosen(blocks, tree, True) or (chosen(blocks, tree, False) if any(b.form for b in blocks) else "")
+
+
+def chosen(blocks: list[Block], tree: tuple, forms: bool) -> str:
+    around = [int(b.around or (forms and b.form)) for b in blocks]
+    marked = any(b.inside and not own for b, own in zip(blocks, around, strict=True))
     out = []
-    for i, b in enumerate(blocks):
+    for i, (b, own) in enumerate(zip(blocks, around, strict=True)):
         before, after = blocks[i - 1] if i else None, blocks[i + 1] if i + 1 < len(blocks) else None
-        x = (b.words, b.links, before.words if before else 0, before.links if before else 0.0, after.words if after else 0, after.links if after else 0.0, b.around, b.inside, int(marked and not b.inside and not b.around), b.item, b.heading)
+        x = (b.words, b.links, before.words if before else 0, before.links if before else 0.0, after.words if after else 0, after.links if after else 0.0, own, b.inside, int(marked and not b.inside and not own), b.item, b.heading)
         if decide(tree, x):
             out.append(b.text)
     return "\n\n".join(out)

@@ -36,6 +36,13 @@ def test_pages_without_marks():
     assert text(f"<div>{links}</div><div><p>{long}</p><p>Short one here.</p><p>{long}</p></div><div>{links}</div>") == "\n\n".join([long, "Short one here.", long])
 
 
+def test_forms():
+    long = " ".join(["word"] * 60)
+    assert text(f"<form><nav><a href=/>Home</a></nav><article><p>Body.</p><form><p>Your name</p></form></article></form>") == "Body."
+    assert text(f"<form><div><p>{long}</p><p>{long}</p></div></form>") == f"{long}\n\n{long}"
+    assert text(f"<div><p>{long}</p><form><p>{long}</p></form></div>") == long
+
+
 def test_broken_markup():
     assert text("<article><p><b>One<br><p>Two</b> more<p>Three") == "One\n\nTwo more\n\nThree"
     assert text("<article><p>a < b & c &unknown; <3</article") != ""
