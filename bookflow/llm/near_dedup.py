@@ -19,9 +19,9 @@ SHINGLE, PERCENT = 5, 80
 #: Two documents of similarity s meet in a tree's first nodes with s^FIRST, so that of the pairs at 0.8 fewer
 #: than 2 in 100,000 meet in no tree.
 TOKENS, TREES, FIRST = 64, 16, 3
-#: A node of at most so many documents is compared exhaustively; a larger one branches, at its first two levels
-#: by two tokens and then by one, at most DEEPEST times.
-SMALL, WIDE, DEEPEST = 512, 2, 10
+#: A node of at most so many documents is compared exhaustively; a larger one branches at most DEEPEST times, by
+#: one token, or by two at the levels WIDE.
+SMALL, WIDE, DEEPEST = 512, (2, 4), 10
 #: Members of a node that is large still, and so nearly all alike, which meet all its blocks.
 LEADERS = 16
 
@@ -104,8 +104,9 @@ def linked(reps: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple
     both = np.zeros((k, k), np.float64)
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    step = max(256, (1 << 22) // k)
-    for low in range(0, int(col[-1]) + 1 if len(col) else 0, step):
+    width = int(col[-1]) + 1 if len(col) else 0
+    step = min(width, max(256, (1 << 22) // k)) or 1
+    for low in range(0, width, step):
         a, b = np.searchsorted(col, (low, low + step))
         part = np.zeros((k, step), np.float32)
         part[row[a:b], col[a:b] - low] = 1
@@ -170,15 +171,15 @@ def nodes(classes: DataFrame, small: int = SMALL, deepest: int = DEEPEST) -> tup
     rows = rows.select("rep", "tokens", F.xxhash64("tree", *pick).alias("node"))
     leaves = None
     for level in range(deepest + 1):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("first"), F.bit_xor(F.xxhash64("rep")).alias("all"))
-        sizes = sizes.filter("n > 1").groupBy("n", "first", "all").agg(F.min("node").alias("node"))
+        sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("all"))
+        sizes = sizes.filter("n > 1").groupBy("n", "all").agg(F.min("node").alias("node"))
         sizes = cut(sizes.select("node", "n"))
         kept = rows.select("node", "rep").join(sizes.filter(F.col("n") <= small).select("node"), "node")
         leaves = kept if leaves is None else leaves.unionByName(kept)
         large = sizes.filter(F.col("n") > small).select("node")
         if level == deepest or not large.take(1):
             return leaves, rows.select("node", "rep").join(sized(large), "node")
-        wide = 2 if level < WIDE else 1
+        wide = 2 if level in WIDE else 1
         rows = rows.join(sized(large), "node").withColumn("branch", F.explode(F.sequence(F.lit(1), F.lit(wide))))
         token = F.get("tokens", F.pmod(F.xxhash64("node", "branch", F.lit(level)), F.lit(TOKENS)).cast("int"))
         rows = cut(rows.select("rep", "tokens", F.xxhash64("node", "branch", token).alias("node")))
@@ -249,3 +250,15 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"), percent=85)
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(g) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS m FROM n UNION SELECT e.y, r.m FROM r JOIN e ON e.x = r.doc_id)
+SELECT n.doc_id, n.n AS n_shingles, min(m) AS component_id, min(m) = n.doc_id AS kept FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n
+"""

@@ -118,3 +118,19 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", key: str =
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_ok")
+
+
+SQL = r"""
+WITH w AS (SELECT doc_id, source, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents)),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) AS g FROM w WHERE len(w) >= 3),
+d AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g),
+p AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM d, (SELECT unnest([0, 1, 2]) AS k) WHERE c > 1 GROUP BY doc_id),
+m AS (SELECT doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words FROM w LEFT JOIN p USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CAST(n_words < 50 AS INTEGER) AS f1, CAST(100 * n_repeat_words > 50 * n_words AS INTEGER) AS f2, CAST(10 * n_symbols > n_words AS INTEGER) AS f3, CAST(n_dup_lines > 5 AS INTEGER) AS f4 FROM m),
+h AS (SELECT source, rule, count(*) AS n, sum(fail) AS k FROM (SELECT source, unnest([1, 2, 3, 4]) AS rule, unnest([f1, f2, f3, f4]) AS fail FROM f) GROUP BY source, rule),
+t AS (SELECT rule, sum(k) / sum(n) AS mean, sum(k * k / n) / sum(n) AS square, count(*) AS hosts, sum(n) AS total FROM h GROUP BY rule),
+v AS (SELECT rule, mean, least(greatest(mean * (1 - mean) / greatest(greatest(square - mean * mean, 0) - mean * (1 - mean) * hosts / total, 1e-9) - 1, 1), 1000) AS worth FROM t),
+s AS (SELECT source, n + worth AS size, (mean * worth + k) / (n + worth) AS rate FROM h JOIN v USING (rule)),
+o AS (SELECT source, NOT bool_or(rate - 3 * sqrt(rate * (1 - rate) / (size + 1)) > 0.5) AS host_ok FROM s GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_ok AS kept, host_ok FROM f JOIN o USING (source)
+"""

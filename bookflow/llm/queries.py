@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup
+from . import decontaminate, line_dedup, near_dedup, quality_rules
 from .decontaminate import op3_decontamination
 from .html_text import op9_html_text
 from .language import op5_language
@@ -32,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_near_dedup": near_dedup.SQL,
     "op3_decontamination": decontaminate.SQL,
+    "op6_quality_rules": quality_rules.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }
