@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -16,6 +17,8 @@ from .common import cut, table
 
 #: Tokens of a sequence, and the id that ends a document.
 LENGTH, END = 4096, 2
+#: Words whose ids a task keeps.
+CACHE = 1_000_000
 #: Pieces of a group, about: one task packs a group.
 GROUP = 8000
 
@@ -37,22 +40,61 @@ def _encoder(path: str):
     return Tokenizer.from_file(path), {}
 
 
+#: The punctuation at the end of a word that the tokenizer always takes apart from the letters before it.
+TAIL = re.compile(r"[.,;:!?*#$%&|()\"\[\]{}<>=+/-]+$")
+
+
+def _letters(s: str) -> bool:
+    """Whether the tokenizer's lower-casing leaves letters alone."""
+    return s.lower().isalpha()
+
+
+def _learn(tokenizer, known: dict[str, bytes], words: list[str]) -> None:
+    """Put the ids of `words` into `known`. Words of letters alone are encoded many at a time, told apart by their pre-token."""
+    some = [w for w in words if _letters(w)]
+    batches = [some[low : low + 500] for low in range(0, len(some), 500)]
+    odd = [w for w in words if not _letters(w)]
+    for own, e in zip(batches, tokenizer.encode_batch([" ".join(b) for b in batches], add_special_tokens=False), strict=True):
+        ids, at = np.array(e.ids, "<u4"), np.array(e.word_ids)
+        begin = np.searchsorted(at, np.arange(len(own) + 1))
+        if len(at) and at[-1] + 1 == len(own) and (np.diff(begin) > 0).all():
+            raw = ids.tobytes()
+            cut = (4 * begin).tolist()
+            known.update((w, raw[i:j]) for w, i, j in zip(own, cut, cut[1:], strict=False))
+        else:
+            odd += own
+    for low in range(0, len(odd), 5000):
+        part = odd[low : low + 5000]
+        for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
+
+
+def _parts(w: str) -> tuple[str, str]:
+    """A word and the punctuation behind it, in lower case where that is plain ASCII; `w` and nothing where they can't be told apart."""
+    m = TAIL.search(w)
+    if m and m.start() and _letters(w[m.start() - 1]) and "<|" not in w:
+        w, tail = w[: m.start()], m[0]
+    else:
+        tail = ""
+    return w.lower() if w.isascii() else w, tail
+
+
 def encode(texts: list[str | None], path: str) -> list[bytes]:
     """For each text its token ids as little-endian unsigned 32-bit integers, without special tokens.
 
     The tokenizer drops white space before it merges, so that a text's ids are those of its parts between spaces
-    and line ends, one after the other; each distinct part is encoded once.
+    and line ends, one after the other, and a part's those of its word and of the punctuation behind it. Each
+    distinct part is put together once, and each distinct word encoded once.
     """
     tokenizer, known = _encoder(path)
     split = [(t or "").replace("\n", " ").split(" ") for t in texts]
     new = [w for w in set().union(*split) if w not in known]
-    if len(known) + len(new) > 400_000:
+    if len(known) + len(new) > CACHE:
         known.clear()
         new = list(set().union(*split))
-    for low in range(0, len(new), 5000):
-        some = new[low : low + 5000]
-        for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+    parts = [_parts(w) for w in new]
+    _learn(tokenizer, known, [x for x in set().union(*parts) if x not in known])
+    known.update((w, known[a] + known[b] if b else known[a]) for w, (a, b) in zip(new, parts, strict=True))
     return [b"".join(map(known.__getitem__, words)) for words in split]
 
 

@@ -57,3 +57,12 @@ def test_tournament_is_first_fit():
             room.append(4096)
         assert (bins[i], offsets[i]) == (k, 4096 - room[k])
         room[k] -= sizes[i]
+
+
+def test_encoding_by_words_is_the_tokenizers():
+    rnd = random.Random(1)
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    some = [*"abcTdéüßſKİσΣς'’.,!?*#-_<>|&;:()1²½ \n\t\r 　́​あ漢\U0001f600ͅǅ한", "'s", "'LL", "don't", "The", "<|endoftext|>", "...", "Ärger,"]
+    texts = ["".join(rnd.choice(some) for _ in range(rnd.randint(0, 40))) for _ in range(3000)]
+    for text, ids in zip(texts, packing.encode(texts, packing.default_tokenizer()), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
