@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, few, table
+from .common import SPACE, cut, few, small_batches, table
 
 #: Distinct sites from which a line counts as boilerplate.
 SITES = 8
@@ -81,6 +81,7 @@ def drop_spread_lines(docs: DataFrame, sites: int = SITES, text: str = "text", s
     null with 0 lines; other columns are kept as they are. Rows of one key count as one document. Where the
     table of spread lines is counted small it goes to the tasks whole; otherwise documents meet it in a join.
     """
+    small_batches(docs.sparkSession)
     bad = cut(spread_lines(docs, sites, text, site, key))
     if few(bad):
         got = bad.select("h", "first_key").toPandas()  # counted above: bounded

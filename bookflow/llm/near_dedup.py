@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, few, lookup, sized, table
+from .common import cut, few, lookup, sized, small_batches, table
 
 #: Words in a shingle, and the least similarity of a link in percent.
 SHINGLE, PERCENT = 5, 80
@@ -38,7 +38,7 @@ def shingle_set(text: bytes | None) -> np.ndarray:
     n = len(words)
     if not n:
         return np.empty(0, _U)
-    if len(_words) > 400_000:
+    if len(_words) > 200_000:
         _words.clear()
     for w in [w for w in set(words) if w not in _words]:
         _words[w] = xxhash.xxh3_64_intdigest(w)
@@ -199,6 +199,7 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, text: str = "text",
     that agree in all tokens chosen: they are compared in blocks which all hold the node's leaders, and then
     every member outside the leaders' component against the whole node, so that no link is lost.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     sketched = cut(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, fp binary, tokens array<int>"))
     able = sketched.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))

@@ -13,12 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, small_batches, table
 
 #: Tokens of a sequence, and the id that ends a document.
 LENGTH, END = 4096, 2
 #: Words whose ids a task keeps.
-CACHE = 1_000_000
+CACHE = 400_000
 #: Pieces of a group, about: one task packs a group.
 GROUP = 8000
 
@@ -140,6 +140,7 @@ PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
 def pieces(docs: DataFrame, tokenizer: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens): each document's ids and END, cut at multiples of LENGTH."""
     path = tokenizer or default_tokenizer()
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key), F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

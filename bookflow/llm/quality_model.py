@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, table
+from .common import crc_mod, cut, small_batches, table
 
 #: Labelled rows of each class that training takes at most, by the smallest hashes of their ids: about 25 MB of text.
 PER_CLASS = 1500
@@ -162,6 +162,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     that no key or group matters.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)  # BUCKETS floats
     docs = docs.drop(out)
     place = docs.columns.index(text)
@@ -181,7 +182,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
                     seen += len(docs_words[-1]) + 1
                     at += 1
                 new = [w for w in set().union(*docs_words) if w not in known]
-                if len(known) + len(new) > 600_000:
+                if len(known) + len(new) > 200_000:
                     known.clear()
                     new = list(set().union(*docs_words))
                 if new:
