@@ -17,11 +17,15 @@ from .common import cut, few, lookup, sized, small_batches, table
 SHINGLE, PERCENT = 5, 80
 #: Minwise tokens of a document; independent trees over them; tokens that the first level of a tree chooses.
 #: Two documents of similarity s meet in a tree's first nodes with s^FIRST, so that of the pairs at 0.8 fewer
-#: than 2 in 100,000 meet in no tree.
+#: than 2 in 100,000 meet in no tree's first nodes.
 TOKENS, TREES, FIRST = 64, 16, 3
 #: A node of at most so many documents is compared exhaustively; a larger one branches at most DEEPEST times, by
-#: one token, or by two at the levels WIDE.
-SMALL, WIDE, DEEPEST = 512, (2, 4), 10
+#: two tokens at the levels WIDE, then by one. The wide levels come first: of the pairs at s that meet in a large
+#: node, 0.92 (s = 0.8) or 0.97 (s = 0.85) stay together on one of its paths at least, were all tokens independent.
+SMALL, WIDE, DEEPEST = 512, (0, 1, 2, 3, 4), 8
+#: A large node branches no more, and is compared by its leaders, if half of one in SAMPLE of its members agree with
+#: HEADS of them in as many tokens as a link needs. This only chooses the cheaper way: neither loses a link in a node.
+SAMPLE, HEADS = 16, 4
 #: Members of a node that is large still, and so nearly all alike, which meet all its blocks.
 LEADERS = 16
 
@@ -160,16 +164,25 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def nodes(classes: DataFrame, small: int = SMALL, deepest: int = DEEPEST) -> tuple[DataFrame, DataFrame]:
-    """The trees' leaves: (node, rep) of all nodes of 2 to `small` documents, and of those that stayed larger to the end.
+def alike(rows: DataFrame, percent: int) -> DataFrame:
+    """(node): the nodes whose members mostly agree in `percent` of the tokens. rows: (node, rep, tokens) of large nodes."""
+    some = cut(rows.filter(F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(SAMPLE)) == 0))
+    heads = some.groupBy("node", F.pmod(F.xxhash64("rep"), F.lit(HEADS)).alias("slot")).agg(F.min_by("tokens", "rep").alias("head")).select("node", "head")
+    same = F.aggregate(F.zip_with("tokens", "head", lambda a, b: (a == b).cast("int")), F.lit(0), lambda x, y: x + y)
+    each = some.join(sized(cut(heads)), "node").groupBy("node", "rep").agg(F.avg(same).alias("same"))
+    return each.groupBy("node").agg(F.avg((100 * F.col("same") >= percent * TOKENS).cast("int")).alias("share")).filter("share >= 0.5").select("node")
+
+
+def nodes(classes: DataFrame, small: int = SMALL, deepest: int = DEEPEST, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The trees' leaves: (node, rep) of all nodes of 2 to `small` documents, and of larger ones that branch no more.
 
     classes: (rep, tokens). A node's documents branch by tokens that the node chooses; equal nodes of different
-    trees are taken once.
+    trees are taken once. Nodes of documents that are mostly alike, or `deepest` levels down, stay large.
     """
     rows = classes.select("rep", "tokens", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     pick = [F.get("tokens", (F.col("tree") * FIRST + k) % TOKENS) for k in range(FIRST)]
     rows = rows.select("rep", "tokens", F.xxhash64("tree", *pick).alias("node"))
-    leaves = None
+    leaves = rest = None
     for level in range(deepest + 1):
         sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("all"))
         sizes = sizes.filter("n > 1").groupBy("n", "all").agg(F.min("node").alias("node"))
@@ -178,9 +191,14 @@ def nodes(classes: DataFrame, small: int = SMALL, deepest: int = DEEPEST) -> tup
         leaves = kept if leaves is None else leaves.unionByName(kept)
         large = sizes.filter(F.col("n") > small).select("node")
         if level == deepest or not large.take(1):
-            return leaves, rows.select("node", "rep").join(sized(large), "node")
+            last = rows.select("node", "rep").join(sized(large), "node")
+            return leaves, last if rest is None else rest.unionByName(last)
+        rows = rows.join(sized(large), "node")
+        done = sized(cut(alike(rows, percent)))
+        ended = rows.select("node", "rep").join(done, "node")
+        rest = ended if rest is None else rest.unionByName(ended)
         wide = 2 if level in WIDE else 1
-        rows = rows.join(sized(large), "node").withColumn("branch", F.explode(F.sequence(F.lit(1), F.lit(wide))))
+        rows = rows.join(done, "node", "left_anti").withColumn("branch", F.explode(F.sequence(F.lit(1), F.lit(wide))))
         token = F.get("tokens", F.pmod(F.xxhash64("node", "branch", F.lit(level)), F.lit(TOKENS)).cast("int"))
         rows = cut(rows.select("rep", "tokens", F.xxhash64("node", "branch", token).alias("node")))
     raise AssertionError
@@ -196,7 +214,7 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, text: str = "text",
 
     Equal sets are one class from the start. The classes' minwise tokens are branched by chosen paths in TREES
     trees until nodes are small; a node is compared exhaustively on full sets. Nodes that stay large hold texts
-    that agree in all tokens chosen: they are compared in blocks which all hold the node's leaders, and then
+    that are mostly alike or agree in all tokens chosen: they are compared in blocks which all hold the node's leaders, and then
     every member outside the leaders' component against the whole node, so that no link is lost.
     """
     small_batches(docs.sparkSession)
@@ -208,7 +226,7 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, text: str = "text",
     keyed = able.select("doc_id", "fp").distinct().groupBy("doc_id").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
     shared = keyed.select(F.explode("fps").alias("fp"), "doc_id").join(classes.select("fp", "rep"), "fp").filter("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
 
-    leaves, rest = nodes(classes, small, deepest)
+    leaves, rest = nodes(classes, small, deepest, percent)
     links = compare(cut(leaves), texts, percent).unionByName(shared)
     rest = cut(rest)
     if not rest.take(1):

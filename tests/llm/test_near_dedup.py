@@ -1,7 +1,10 @@
 import random
 import re
 
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from bookflow.llm import near_dedup
 from tests.llm.helpers import ODD, documents
@@ -72,6 +75,21 @@ def test_large_groups(spark, small, deepest):
         assert got(near_dedup.link_documents(documents(spark, rows), percent=85, small=small, deepest=deepest)) == brute(rows, 85)
 
 
+def test_large_loose_family(spark):
+    """Twins in a family of many texts, less alike than a link needs, are not parted on the way to small nodes."""
+    rnd = np.random.RandomState(80)
+    n, t = 1000, near_dedup.TOKENS
+    kind, own = rnd.rand(n, t), lambda: rnd.randint(1000, 2**31 - 1, (n, t))
+    a = np.where((kind < 0.72) | (kind > 0.9), np.arange(t), own())
+    b = np.where(kind < 0.72, np.arange(t), np.where(kind < 0.8, a, np.where(kind < 0.9, np.arange(t), own())))
+    pdf = pd.DataFrame({"rep": np.arange(2 * n), "tokens": np.concatenate([a, b]).tolist()})
+    classes = near_dedup.cut(spark.createDataFrame(pdf, "rep long, tokens array<int>"))
+    leaves, rest = near_dedup.nodes(classes, 24)
+    held = leaves.unionByName(rest).select("node", (F.col("rep") % n).alias("twin"))
+    met = held.groupBy("node", "twin").count().filter("count > 1").select("twin").distinct().count()
+    assert n - met <= 1
+
+
 def test_odd_rows(spark):
     out = near_dedup.link_documents(documents(spark, [*ODD, (50, "shared id one two three four"), (50, "other text of the same id"), (49, "other text of the same id")]))
     seen = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out.collect()), key=str)
