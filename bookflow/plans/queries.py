@@ -145,6 +145,16 @@ def r4_html_documents(spark, sf_dir):
     return chapters.html_documents(named.withColumn("text", F.col("book")), "<t>{TITLE}</t>", "</t>", "<a href={NEXT_LINK}>{NEXT_TEXT}</a>", next_text="on").select("book", "html")
 
 
+@query()
+def r4_chapter_html(spark, sf_dir):
+    """The chapters of all hosts, however many they have, with their pages' texts in a template; no SQL."""
+    pages = web_pages(spark, sf_dir)
+    spans = _spans(spark, sf_dir)
+    texts = chapters.chapter_documents(html.extract_blocks(pages, ["book", "page"]), pages, spans.select("book", F.col("left").alias("start")))
+    named = chapters.nav_titles(spans, least=2).join(texts.withColumnRenamed("chapter", "left"), ["book", "left"], "left").fillna("", "text")
+    return chapters.html_documents(named, "<t>{TITLE}</t>", "</t>", "<a href={NEXT_LINK}>{NEXT_TEXT}</a>", next_text="on").select("book", "name", "html")
+
+
 @query(rf"""WITH {_PAGES}, h AS (SELECT book, path, unnest(list_transform(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), lambda x: split_part(x, '#', 1))) AS href FROM p),
 u AS (SELECT DISTINCT book, href AS path FROM h) SELECT book, path FROM u WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.book = u.book AND p.path = u.path)""")
 def j9_missing_assets(spark, sf_dir):

@@ -129,3 +129,30 @@ def test_images(spark):
     assert pixels.array_stats(spark.createDataFrame([([1.0, 250.0, 241.0, 240.0],)], "values array<double>")).first().high_share == 0.5
     summary = chapters.book_summary(spark.createDataFrame([("b", 0), ("b", 1)], "book string, page int"), spark.createDataFrame([("b", True)], "book string, inline boolean"), spark.createDataFrame([("b", 0, "NAV")], "book string, index int, method string")).first()
     assert tuple(summary) == ("b", 2, 1, 1, 1, "NAV")
+
+
+def test_chapter_html_of_all_hosts(spark, sf):
+    """Every span becomes a document, of hosts with ten chapters and more too, in order and with its pages' texts."""
+    from bookflow.plans.queries import QUERIES, web_pages
+
+    pages = web_pages(spark, sf)
+    lines = {}
+    for r in chapters.page_texts(html.extract_blocks(pages, ["book", "page"])).collect():
+        lines[r.book, r.page] = r.text
+    books = {}
+    for r in pages.select("book", "page", "path").collect():
+        books.setdefault(r.book, {})[r.page] = r.path
+    want = set()
+    for book, paths in books.items():
+        starts = sorted(p for p in paths if p > 0 and paths[p].startswith("en/"))
+        if not starts:
+            continue
+        starts = [0, *starts]
+        width = max(2, len(str(len(starts) - 1)))
+        for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(paths)], strict=True)):
+            body = "\n\n".join(lines.get((book, p), "") for p in range(a, b)) + "\n"
+            on = f"<a href={str(i + 1).zfill(width)}.html>on</a>" if i + 1 < len(starts) else "<a href=></a>"
+            want.add((book, str(i).zfill(width), f"<t>{str(i).zfill(width)}</t>{body}{on}</t>"))
+    found = [tuple(r) for r in QUERIES["r4_chapter_html"](spark, sf).collect()]
+    assert len(found) == len(want) and set(found) == want
+    assert any(int(name) > 9 for _, name, _ in found)
