@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,14 +62,13 @@ def _remover(bad: dict, text: int, key: int):
             out.append(line)
         return "\n".join(out), len(lines), len(lines) - len(out)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            done = [clean(t, k) for t, k in zip(pdf.iloc[:, text], pdf.iloc[:, key].astype(object).where(pdf.iloc[:, key].notna(), None), strict=True)]
-            pdf = pdf.copy()
-            pdf.isetitem(text, pd.Series([d[0] for d in done], index=pdf.index, dtype=object))
-            pdf["_lines"] = [d[1] for d in done]
-            pdf["_removed"] = [d[2] for d in done]
-            yield pdf
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # Arrow keeps ids whole where some are null; pandas would make them floats
+            done = [clean(t, k) for t, k in zip(batch.column(text).to_pylist(), batch.column(key).to_pylist(), strict=True)]
+            columns = batch.columns
+            columns[text] = pa.array([d[0] for d in done], batch.schema.field(text).type)
+            counts = [pa.array([d[i] for d in done], pa.int64()) for i in (1, 2)]
+            yield pa.RecordBatch.from_arrays([*columns, *counts], [*batch.schema.names, "_lines", "_removed"])
 
     return run
 
@@ -84,15 +83,15 @@ def drop_spread_lines(docs: DataFrame, sites: int = SITES, text: str = "text", s
     small_batches(docs.sparkSession)
     bad = cut(spread_lines(docs, sites, text, site, key))
     if few(bad):
-        got = bad.select("h", "first_key").toPandas()  # counted above: bounded
-        lines = docs.sparkSession.sparkContext.broadcast(dict(zip((int(h) % 2**64 for h in got.h), got.first_key.tolist(), strict=True)))
+        got = bad.select("h", "first_key").toArrow()  # counted above: bounded
+        lines = docs.sparkSession.sparkContext.broadcast(dict(zip((h % 2**64 for h in got["h"].to_pylist()), got["first_key"].to_pylist(), strict=True)))
         at_text, at_key = docs.columns.index(text), docs.columns.index(key)
 
         def run(batches):
             yield from _remover(lines.value, at_text, at_key)(batches)
 
         schema = docs.withColumns({"_lines": F.lit(0).cast("long"), "_removed": F.lit(0).cast("long")}).schema
-        return docs.mapInPandas(run, schema)
+        return docs.mapInArrow(run, schema)
     hashed = F.xxhash64(trimmed(F.col("_line")))
     own = docs.select(F.col(key).alias("_key"), F.explode(F.array_distinct(F.split(text, "\n", -1))).alias("_line")).select("_key", hashed.alias("h"))
     gone = own.join(bad, "h").filter(~F.col("_key").eqNullSafe(F.col("first_key"))).groupBy("_key").agg(F.collect_set("h").alias("_gone"))

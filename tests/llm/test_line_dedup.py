@@ -51,3 +51,10 @@ def test_near_the_threshold(spark):
     rows = [(100 * k + i, f"line of {k}", f"s{i}") for k in (38, 39, 40, 41, 42, 60) for i in range(k)]
     df = line_dedup.spread_lines(documents(spark, rows), 40)
     assert sorted(r.first_key // 100 for r in df.collect()) == [40, 41, 42, 60]
+
+
+def test_null_and_wide_ids(spark):
+    """A line that only rows without an id hold stays in them, and ids over 2^53 stay exact beside null ones."""
+    big = 2**59
+    rows = [(None, "no id\nown", f"s{i}") for i in range(10)] + [(big + 1 + i, "wide id", f"s{i}") for i in range(10)]
+    assert check(spark, rows, 8) == 9
