@@ -15,8 +15,8 @@ FAR_MS = 12 * 3600 * 1000
 
 
 def with_labels(books: DataFrame, labels: DataFrame) -> DataFrame:
-    """The books of known labels, with what is known on them. labels: one row for each of some dozens of labels."""
-    return books.join(F.broadcast(labels), "label")
+    """The books of known labels, with what is known on them. Labels that Spark knows to be few are broadcast."""
+    return books.join(labels, "label")
 
 
 def nest_catalog(books: DataFrame, keys: tuple[str, str] = ("day", "label"), order: tuple[str, ...] = ("ord",), fields: tuple[str, ...] = ("title", "page", "link", "new")) -> DataFrame:
@@ -71,7 +71,7 @@ def missing_worklist(books: DataFrame, labels: DataFrame, shop: str | None = Non
     text, names = F.lit(""), F.array().cast("array<string>")
     matches = F.array().cast("array<struct<title:string,link:string,conf:double>>")
     date = F.concat(F.substring("month", 1, 4), F.lit("-"), F.substring("month", 5, 2), F.lit("-"), F.lpad(F.col("day").cast("string"), 2, "0"))
-    return wanted.join(F.broadcast(labels.select("label", "jp", "pub")), "label").select(
+    return wanted.join(labels.select("label", "jp", "pub"), "label").select(
         "month", "day", "label", "ord", "title", F.lit(None).cast("string").alias("page"), "link",
         F.struct(names.alias("author"), names.alias("illust"), F.col("pub").alias("publisher"), F.col("jp").alias("label"), text.alias("price"), date.alias("date"), text.alias("pages"), text.alias("isbn")).alias("info"),
         text.alias("desc"), text.alias("cover"),
@@ -170,12 +170,13 @@ def report_entries(books: DataFrame) -> DataFrame:
 
 
 def monthly_report(books: DataFrame, labels: DataFrame, logs: DataFrame, source: str = "", notes: str = "") -> DataFrame:
-    """(month, text): for each month the count of new subjects, then days, labels and entries, then the list of labels.
+    """(month, text): for each month the count of new subjects in its own logs, then days, labels and entries, then the list of labels.
 
-    books: (month, day, label, ord, title, page, link); labels: (label, zh, ord). Days and labels stand in the
-    order of their first book. A month is one row; its days are put together before it.
+    books: (month, day, label, ord, title, page, link); labels: (label, zh, ord); logs: (month, ord, action, ts_ms,
+    total, increment). Days and labels stand in the order of their first book. A month is one row; its days are
+    put together before it.
     """
-    known = F.broadcast(labels.select("label", "zh", F.col("ord").alias("label_ord")))
+    known = labels.select("label", "zh", F.col("ord").alias("label_ord"))
     entries = report_entries(books.join(known, "label"))
     by_label = entries.groupBy("month", "day", "label", "zh").agg(F.min("ord").alias("first"), F.array_sort(F.collect_list(F.struct("ord", "entry"))).alias("own"))
     block = F.concat(F.lit("[b][size=20]"), "zh", F.lit("[/size][/b]\n"), F.array_join(F.transform("own", lambda s: s["entry"]), "\n"))
@@ -183,13 +184,13 @@ def monthly_report(books: DataFrame, labels: DataFrame, logs: DataFrame, source:
     number = F.substring("month", 5, 2).cast("int").cast("string")
     day = F.concat(F.lit("[b][size=25]"), number, F.lit("/"), F.col("day").cast("string"), F.lit("[/size][/b]\n"), F.array_join(F.transform("own", lambda s: s["block"]), "\n"), F.lit("\n"))
     months = by_day.groupBy("month").agg(F.array_sort(F.collect_list(F.struct("first", day.alias("block")))).alias("own"))
-    newly = F.broadcast(log_rollup(logs).select("newly"))  # one row
+    months = months.join(log_rollup(logs, ("month",)).select("month", "newly"), "month", "left")
     names = F.broadcast(labels.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "zh"))), lambda s: s["zh"]), "、").alias("names")))  # one row
     text = F.concat_ws(
         "\n", F.concat(month_title(F.col("month"), 1), F.lit("文库・单行本新刊情报")), F.concat(F.lit("已添加 "), F.coalesce("newly", F.lit(0)).cast("string"), F.lit(" 个独立词条")), F.lit(notes),
         F.array_join(F.transform("own", lambda s: s["block"]), "\n"), F.concat(F.lit("收录书系："), "names"), F.lit(source),
     )
-    return months.crossJoin(newly).crossJoin(names).select("month", text.alias("text"))
+    return months.crossJoin(names).select("month", text.alias("text"))
 
 
 def shops(books: DataFrame) -> DataFrame:

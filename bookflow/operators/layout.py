@@ -31,20 +31,24 @@ def cluster_lines(chars: DataFrame, tolerance: float = 0.3) -> DataFrame:
     ready = drop_small_chars(chars.withColumn("centre", (F.min("x0").over(pages) + F.max("x0").over(pages)) / 2))
 
     def lines(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable").assign(top=lambda d: -d["y1"]).sort_values("top", kind="stable")
+        pdf = pdf.sort_values(["y1", "seq"], ascending=[False, True], kind="stable")
         near, centre = tolerance * pdf["median_size"].iloc[0], pdf["centre"].iloc[0]
-        found: list[list] = []  # mean height, characters
-        for y, x, text in zip(pdf["y1"], pdf["x0"], pdf["text"], strict=True):
-            line = next((k for k in found if abs(y - k[0]) < near), None)
-            if line is None:
-                found.append([y, [(x, text)]])
+        # the lines so far: sums of heights and numbers of characters, with room for all that may come
+        heights, total, count = pdf["y1"].to_numpy(np.float64), np.zeros(len(pdf)), np.ones(len(pdf))
+        own, n = np.empty(len(pdf), np.int64), 0
+        for i, y in enumerate(heights):
+            fits = np.flatnonzero(np.abs(total[:n] / count[:n] - y) < near)
+            if len(fits):
+                own[i] = fits[0]
+                total[own[i]] += y
+                count[own[i]] += 1
             else:
-                line[1].append((x, text))
-                line[0] = (line[0] * (len(line[1]) - 1) + y) / len(line[1])
-        out = [sorted(k[1], key=lambda c: c[0]) for k in found]
-        out = ["".join(t for _, t in k) for k in out if not (abs(k[0][0] - centre) < 20 and len(k) <= 3)]
-        n = len(out)
-        return pd.DataFrame({"doc": pdf["doc"].iloc[[0] * n].reset_index(drop=True), "page": pdf["page"].iloc[[0] * n].reset_index(drop=True), "pos": np.arange(n, dtype=np.int32), "line": pd.Series(out, dtype=object)})
+                own[i], total[n], n = n, y, n + 1
+        set_out = pdf.assign(own=own).sort_values(["own", "x0"], kind="stable").groupby("own", sort=True)
+        joined = set_out.agg(line=("text", "".join), chars=("text", "size"), x=("x0", "first"))
+        kept = joined[~((joined["x"] - centre).abs().lt(20) & (joined["chars"] <= 3))]
+        k = len(kept)
+        return pd.DataFrame({"doc": pdf["doc"].iloc[[0] * k].reset_index(drop=True), "page": pdf["page"].iloc[[0] * k].reset_index(drop=True), "pos": np.arange(k, dtype=np.int32), "line": kept["line"].reset_index(drop=True).astype(object)})
 
     kinds = dict(chars.dtypes)
     found = ready.groupBy("doc", "page").applyInPandas(lines, f"doc {kinds['doc']}, page {kinds['page']}, pos int, line string")
@@ -79,15 +83,22 @@ def rebuild_paragraphs(lines: DataFrame, closers: tuple[str, ...] = ("。", "」
 
     A line of white space ends a paragraph and is one, empty. A line that ends in a space ends its paragraph; so
     does the last line of a page if the text so far ends in one of `closers`. The end of the document ends it.
+    Lines are numbered within their page; over a document only one row of each page is put in order.
     """
-    order = W.partitionBy("doc").orderBy("page", "pos")
+    order = W.partitionBy("doc", "page").orderBy("pos")
     blank = strip(F.col("line")) == ""
     ends = F.regexp_like(F.col("line"), F.lit("[" + "".join("\\" + c for c in closers) + "]$"))
-    page_end = F.lead("page").over(order).isNotNull() & (F.lead("page").over(order) != F.col("page"))
-    marked = lines.select("doc", "page", "pos", "line", blank.alias("blank"), (blank | F.endswith("line", F.lit(" ")) | (page_end & ends)).alias("closes"))
-    opens = F.col("blank") | F.coalesce(F.lag("closes").over(order), F.lit(True))
-    numbered = marked.withColumn("opens", opens.cast("int")).withColumn("para", F.sum("opens").over(order) - 1)
     text = F.when(F.col("blank"), F.lit("")).when(F.endswith("line", F.lit(" ")), rstrip(F.col("line"))).otherwise(F.col("line"))
+    marked = lines.select("doc", "page", "pos", "line", blank.alias("blank"), (blank | F.endswith("line", F.lit(" "))).alias("closes"), ends.alias("ends"))
+    # whether a line opens a paragraph: of a page's first line the page before it decides
+    opens = F.when(F.col("blank"), True).otherwise(F.lag("closes").over(order))
+    marked = marked.withColumn("opens", opens).withColumn("within", F.sum(F.coalesce("opens", F.lit(False)).cast("int")).over(order))
+    pages = marked.groupBy("doc", "page").agg(F.max("within").alias("n"), F.max_by(F.col("closes") | F.col("ends"), "pos").alias("closed"), F.min_by(F.struct("opens"), "pos").alias("first"))
+    along = W.partitionBy("doc").orderBy("page")
+    joins = F.coalesce(F.col("first.opens"), F.coalesce(F.lag("closed").over(along), F.lit(True)))
+    pages = pages.withColumn("head", (joins & F.col("first.opens").isNull()).cast("int"))
+    pages = pages.select("doc", "page", "head", (F.sum(F.col("n") + F.col("head")).over(along) - F.col("n")).alias("before"))
+    numbered = marked.join(pages, ["doc", "page"]).withColumn("para", F.col("before") + F.col("within") - 1)
     joined = numbered.groupBy("doc", "para").agg(F.array_sort(F.collect_list(F.struct("page", "pos", text.alias("line")))).alias("parts"))
     return joined.select("doc", F.col("para").cast("long").alias("para"), rstrip(F.array_join(F.col("parts.line"), "")).alias("text"))
 

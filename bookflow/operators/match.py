@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from bookflow.functions.similarity import title_similarity
 from bookflow.functions.text import norm_title
+from bookflow.sources.shared import cut
 
 # Platforms of subjects that are books.
 PLATFORMS = ("小说", "其他")
@@ -25,19 +26,40 @@ def block_candidates(books: DataFrame, subjects: DataFrame, platforms: tuple[str
     return salted.join(able, ["date", "_salt"]).drop("_salt")
 
 
-def scored(pairs: DataFrame, left: str = "title", right: str = "name") -> DataFrame:
-    """Pairs with `conf`, the similarity of their normalised titles; each distinct pair of titles is compared once."""
+def shared_letters(a: Column, b: Column) -> Column:
+    """How many characters two titles have in common, each as often as it is in both: no common subsequence is longer."""
+    own = F.array_distinct(F.split(a, ""))
+    count = lambda s, c: F.length(s) - F.length(F.replace(s, c, F.lit("")))
+    return F.aggregate(F.filter(own, lambda c: c != ""), F.lit(0), lambda n, c: n + F.least(count(a, c), count(b, c)))
+
+
+def scored(pairs: DataFrame, left: str = "title", right: str = "name", least: float = 0.0) -> DataFrame:
+    """Pairs with `conf`, the similarity of their normalised titles; each distinct pair of titles is compared once.
+
+    Pairs that cannot reach `least` are left out before Python sees them: if n is the shorter length and c the
+    number of shared characters, no part of a title is nearer than 2 * c / (n + c).
+    """
     distinct = pairs.select(left, right).distinct()
     titles = distinct.select(F.col(left).alias("_t")).union(distinct.select(right)).distinct().withColumn("_n", norm_title(F.col("_t")))
     ready = distinct.join(titles.withColumnsRenamed({"_t": left, "_n": "_a"}), left).join(titles.withColumnsRenamed({"_t": right, "_n": "_b"}), right)
+    if least > 0:
+        c, n = shared_letters(F.col("_a"), F.col("_b")), F.least(F.length("_a"), F.length("_b"))
+        ready = ready.withColumn("_c", c).filter((n == 0) | (2 * F.col("_c") >= (least - 1e-9) * (n + F.col("_c"))))
     return pairs.join(ready.select(left, right, title_similarity(F.col("_a"), F.col("_b")).alias("conf")), [left, right])
 
 
 def best_match(books: DataFrame, subjects: DataFrame, threshold: float = 0.9, platforms: tuple[str, ...] = PLATFORMS) -> DataFrame:
-    """Books with subject and conf of the most similar candidate (of equals the first by rank); null below the threshold."""
-    found = scored(block_candidates(books.select("book_id", "title", "date"), subjects, platforms)).filter(F.col("conf") >= threshold)
-    best = found.groupBy("book_id").agg(F.max_by(F.struct(F.col("id").alias("subject"), "conf"), F.struct("conf", -F.col("rank"))).alias("_m"))
-    return books.join(best, "book_id", "left").select(*books.columns, "_m.subject", "_m.conf")
+    """Books with subject and conf of the most similar candidate (of equals the first by rank); null below the threshold.
+
+    Books of one title and date have the same best match, and of subjects of one name and date only the first by
+    rank can be one, so that pairs are made of distinct titles and names.
+    """
+    titles = books.select("title", "date").distinct().withColumn("book_id", F.xxhash64("title"))
+    first = F.min_by(F.struct("id", "series", "platform", "rank"), F.struct("rank", "id"))
+    able = subjects.filter(~F.col("series") & F.col("platform").isin(*platforms)).groupBy("name", "date").agg(first.alias("s")).select("name", "date", "s.*")
+    found = scored(block_candidates(titles, able, platforms).drop("book_id"), least=threshold).filter(F.col("conf") >= threshold)
+    best = found.groupBy("title", "date").agg(F.max_by(F.struct(F.col("id").alias("subject"), "conf"), F.struct("conf", -F.col("rank"))).alias("_m"))
+    return books.join(best, ["title", "date"], "left").select(*books.columns, "_m.subject", "_m.conf")
 
 
 def bigrams(title: Column) -> Column:
@@ -46,25 +68,43 @@ def bigrams(title: Column) -> Column:
     return F.array_distinct(F.when(n < 2, F.array(title)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(title, i, F.lit(2)))))
 
 
-def shortlist(items: DataFrame, subjects: DataFrame, threshold: float = 0.5, k: int = 15, common: float = 0.2, base: str = "", platforms: tuple[str, ...] = PLATFORMS) -> DataFrame:
+def shortlist(items: DataFrame, subjects: DataFrame, threshold: float = 0.5, k: int = 15, common: float = 0.05, base: str = "", platforms: tuple[str, ...] = PLATFORMS, salts: int = 16) -> DataFrame:
     """Items (item_id, title) with `single` and `series`: arrays (title, link, conf) of the retrieved subjects, best first.
 
-    Retrieval takes the k subjects that share most bigrams with the title. Bigrams in more than `common` of the
-    subjects find nothing (as in any index with stop words; a title of such bigrams alone is looked up by all of
-    them), so that recall is approximate below the k best.
+    Retrieval takes the k subjects that share most bigrams with the title, of equals the first by rank. Bigrams in
+    more than `common` of the subjects are looked up only where they can matter: a subject that shares those
+    alone shares at most as many as the title has of them, so titles whose k-th best subject by the others
+    shares more need no look at them. Their rows are dealt to `salts` tasks for each bigram.
     """
-    able = subjects.filter(F.col("platform").isin(*platforms)).select("id", "name", F.coalesce("series", F.lit(False)).alias("is_series"), "rank")
-    index = able.withColumn("_n", norm_title(F.col("name"))).select("id", "rank", F.explode(bigrams(F.col("_n"))).alias("g"))
-    grams = index.groupBy("g").agg(F.count("*").alias("n"))
+    able = subjects.filter(F.col("platform").isin(*platforms)).select("id", "name", F.coalesce("series", F.lit(False)).alias("is_series"), "rank").withColumn("_n", norm_title(F.col("name")))
+    able = cut(able.withColumn("_g", bigrams(F.col("_n"))).drop("_n"))  # read five times below
+    index = able.select("id", F.explode("_g").alias("g"))
     total = F.broadcast(able.agg(F.count("*").alias("_total")))  # one row
-    rare = grams.crossJoin(total).select("g", (F.col("n") <= F.greatest(common * F.col("_total"), F.lit(1.0))).alias("rare"))
-    asked = items.select("item_id", norm_title(F.col("title")).alias("_n")).select("item_id", F.explode(bigrams(F.col("_n"))).alias("g")).join(rare, "g")
-    some = asked.groupBy("item_id").agg(F.bool_or("rare").alias("some"))
-    asked = asked.join(some, "item_id").filter(F.col("rare") | ~F.col("some")).select("item_id", "g")
-    hits = asked.join(index, "g").groupBy("item_id", "id").agg(F.count("*").alias("shared"), F.min("rank").alias("rank"))
-    top = hits.withColumn("_place", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("shared"), "rank", "id"))).filter(F.col("_place") <= k)
-    pairs = top.select("item_id", "id", "rank").join(able.drop("rank"), "id").join(items.select("item_id", "title"), "item_id")
-    good = scored(pairs).filter(F.col("conf") >= threshold)
+    often = index.groupBy("g").agg(F.count("*").alias("n")).crossJoin(total).filter(F.col("n") > F.greatest(common * F.col("_total"), F.lit(1.0))).select("g", F.lit(True).alias("often"))
+    wanted = items.select("item_id", norm_title(F.col("title")).alias("_n")).select("item_id", bigrams(F.col("_n")).alias("_i"))
+    wanted = cut(wanted)
+    often = cut(often)
+    asked = cut(wanted.select("item_id", F.explode("_i").alias("g")).join(often, "g", "left").withColumn("often", F.coalesce("often", F.lit(False))))
+    best = W.partitionBy("item_id").orderBy(F.desc("shared"), "rank", "id")
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        """The k best of distinct pairs (item_id, id), by all their bigrams."""
+        both = pairs.join(able.select("id", "rank", "_g"), "id").join(wanted, "item_id")
+        return both.select("item_id", "id", "rank", F.size(F.array_intersect("_g", "_i")).alias("shared")).withColumn("_place", F.row_number().over(best)).filter(F.col("_place") <= k)
+
+    rare = asked.filter(~F.col("often")).join(index, "g").select("item_id", "id").distinct()
+    top = cut(ranked(rare))
+    low = top.filter(F.col("_place") == k).select("item_id", F.col("shared").alias("_low"))
+    n_often = asked.groupBy("item_id").agg(F.count_if("often").alias("_often")).filter("_often > 0")
+    open_ = n_often.join(low, "item_id", "left").filter(F.col("_often") >= F.coalesce("_low", F.lit(0))).select("item_id")
+    open_ = cut(open_)
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(salts)).cast("int").alias("_salt")
+    more = asked.filter("often").join(open_, "item_id", "left_semi").select("item_id", "g", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    hits = more.join(index.join(often, "g", "left_semi").select("id", "g", salt("id")), ["g", "_salt"]).select("item_id", "id")
+    again = ranked(hits.union(rare.join(open_, "item_id", "left_semi")).distinct())
+    top = cut(top.join(open_, "item_id", "left_anti").unionByName(again))
+    pairs = top.select("item_id", "id", "rank").join(able.drop("rank", "_g"), "id").join(items.select("item_id", "title"), "item_id")
+    good = scored(pairs, least=threshold).filter(F.col("conf") >= threshold)
     one = F.struct((-F.col("conf")).alias("o"), "rank", "id", F.struct(F.col("name").alias("title"), F.concat(F.lit(base), F.col("id").cast("string")).alias("link"), "conf").alias("m"))
     found = good.groupBy("item_id").agg(*[F.transform(F.array_sort(F.collect_list(F.when(cond, one))), lambda s: s["m"]).alias(name) for name, cond in (("single", ~F.col("is_series")), ("series", F.col("is_series")))])
     none = F.array().cast("array<struct<title:string,link:string,conf:double>>")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,29 +25,45 @@ def origin_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("origin", F.first("raw").over(W.partitionBy("doc", "pure").orderBy("pos")))
 
 
-def pack_segments(lines: DataFrame, max_len: int = 512, text: str = "pure") -> DataFrame:
-    """(doc, pos, seg): lines in order, a new segment where the next line would take it over `max_len` characters.
+def cut_lines(lines: Column, max_len: int = 512) -> Column:
+    """W9 on an array of lines in order: an array of (pos_from, pos_to, lines), places counted from 0.
 
-    A longer line stands alone; empty lines count as lines. One array of lengths for each document is all that
-    is gathered; the texts are not.
+    A new segment begins where the next line would take it over `max_len` characters; a longer line stands alone,
+    empty lines count as lines. Only the places at which segments begin are carried along.
     """
-    arrays = lines.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", F.length(F.coalesce(F.col(text), F.lit(""))).alias("n")))).alias("own"))
-    start = F.struct(F.lit(0).alias("seg"), F.lit(0).alias("count"), F.lit(0).alias("length"), F.array().cast("array<int>").alias("segs"))
+    size = F.transform(lines, lambda x: F.length(F.coalesce(x, F.lit(""))))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("length"), F.array().cast("array<int>").alias("begin"))
+
+    def step(s: Column, n: Column) -> Column:
+        new = (s["at"] == 0) | (s["length"] + n > max_len)
+        return F.struct((s["at"] + 1).alias("at"), F.when(new, n).otherwise(s["length"] + n).alias("length"), F.when(new, F.array_append(s["begin"], s["at"])).otherwise(s["begin"]).alias("begin"))
 
-    def step(s: Column, x: Column) -> Column:
-        new = (s["count"] > 0) & (s["length"] + x["n"] > max_len)
-        seg = s["seg"] + new.cast("int")
-        return F.struct(seg.alias("seg"), F.when(new, 1).otherwise(s["count"] + 1).alias("count"), F.when(new, x["n"]).otherwise(s["length"] + x["n"]).alias("length"), F.array_append(s["segs"], seg).alias("segs"))
+    def parts(begin: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(begin, i + 1), F.size(lines)) - 1
+        return F.transform(begin, lambda b, i: F.struct(b.alias("pos_from"), end(i).alias("pos_to"), F.slice(lines, b + 1, end(i) - b + 1).alias("lines")))
 
-    numbered = arrays.select("doc", F.arrays_zip("own", F.aggregate("own", start, step)["segs"].alias("segs")).alias("z"))
-    return numbered.select("doc", F.explode("z").alias("z")).select("doc", F.col("z.own.pos").alias("pos"), F.col("z.segs").alias("seg"))
+    return F.element_at(F.transform(F.array(F.aggregate(size, start, step)["begin"]), parts), 1)
+
+
+def segments_of(docs: DataFrame, lines: Column, doc: str = "doc", max_len: int = 512) -> DataFrame:
+    """W9 where a row holds all lines of its document: (doc, seg, pos_from, pos_to, lines), with no shuffle at all."""
+    once = F.element_at(F.transform(F.array(lines), lambda own: cut_lines(own, max_len)), 1)  # the lines are made once for a row
+    return docs.select(F.col(doc).alias("doc"), F.posexplode(once).alias("seg", "s")).select("doc", "seg", "s.pos_from", "s.pos_to", "s.lines")
 
 
 def segment_table(lines: DataFrame, max_len: int = 512, text: str = "pure") -> DataFrame:
-    """(doc, seg, pos_from, pos_to, lines)."""
-    own = pack_segments(lines, max_len, text).join(lines.select("doc", "pos", F.col(text).alias("line")), ["doc", "pos"])
-    found = own.groupBy("doc", "seg").agg(F.min("pos").alias("pos_from"), F.max("pos").alias("pos_to"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("parts"))
-    return found.select("doc", "seg", "pos_from", "pos_to", F.col("parts.line").alias("lines"))
+    """W9 on a table of lines (doc, pos, text): (doc, seg, pos_from, pos_to, lines); one array of lines for each document is gathered."""
+    own = lines.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce(F.col(text), F.lit("")).alias("line")))).alias("own"))
+    cut = own.select("doc", "own", F.posexplode(cut_lines(F.col("own.line"), max_len)).alias("seg", "s"))
+    place = lambda i: F.element_at("own.pos", F.col(f"s.{i}") + 1).alias(i)
+    return cut.select("doc", "seg", place("pos_from"), place("pos_to"), "s.lines")
+
+
+def pack_segments(lines: DataFrame, max_len: int = 512, text: str = "pure") -> DataFrame:
+    """(doc, pos, seg) for each line."""
+    own = lines.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce(F.col(text), F.lit("")).alias("line")))).alias("own"))
+    cut = own.select("doc", "own", F.posexplode(cut_lines(F.col("own.line"), max_len)).alias("seg", "s"))
+    return cut.select("doc", "seg", F.explode(F.slice("own.pos", F.col("s.pos_from") + 1, F.col("s.pos_to") - F.col("s.pos_from") + 1)).alias("pos")).select("doc", "pos", "seg")
 
 
 def trailing_context(lines: DataFrame, max_chars: int = 256, text: str = "pure") -> DataFrame:
@@ -107,20 +125,43 @@ def align_segments(segments: DataFrame, responses: DataFrame, most: int = 5) ->
 def halve(segments: DataFrame, unit: int = 128) -> tuple[DataFrame, DataFrame]:
     """W13, between rounds: the two halves of segments that are longer than `unit` and have several lines, and the lines of the others.
 
-    Halves are numbered 2 * seg and 2 * seg + 1 under the same document; callers start a round with segments
-    numbered from 1 in a binary tree's manner, or add a level column.
+    A half is a segment of its document that begins at its first line: seg = pos_from.
     """
     long = (F.length(F.array_join("lines", "")) > unit) & (F.size("lines") > 1)
     mid = F.floor(F.size("lines") / 2).cast("int")
     sides = F.array(
-        F.struct((F.col("seg") * 2).alias("seg"), F.col("pos_from"), F.slice("lines", F.lit(1), mid).alias("lines")),
-        F.struct((F.col("seg") * 2 + 1).alias("seg"), (F.col("pos_from") + mid).alias("pos_from"), F.slice("lines", mid + 1, F.size("lines")).alias("lines")),
+        F.struct(F.col("pos_from"), F.slice("lines", F.lit(1), mid).alias("lines")),
+        F.struct((F.col("pos_from") + mid).alias("pos_from"), F.slice("lines", mid + 1, F.size("lines")).alias("lines")),
     )
-    halves = segments.filter(long).select("doc", F.explode(sides).alias("s")).select("doc", "s.seg", "s.pos_from", "s.lines")
+    halves = segments.filter(long).select("doc", F.explode(sides).alias("s")).select("doc", F.col("s.pos_from").alias("seg"), "s.pos_from", "s.lines")
     rest = segments.filter(~long).select("doc", "pos_from", F.posexplode("lines").alias("k", "line")).select("doc", (F.col("pos_from") + F.col("k")).alias("pos"), "line")
     return halves, rest
 
 
+def align_rounds(segments: DataFrame, answer: Callable[[DataFrame, int], DataFrame], answer_lines: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame], unit: int = 128, most: int = 5, rounds: int = 40) -> DataFrame:
+    """(doc, pos, line, answer, round) for every line of `segments` (doc, seg, pos_from, lines).
+
+    `answer(segments, round)` gives responses (doc, seg, try, text). Segments that no response fits are halved for
+    the next round, until all are done; the lines of those too short to be halved go to `answer_lines`, which
+    takes lines (doc, pos, line) and gives attempts (doc, pos, attempt, text, err) for `accept_line`. `cut` writes
+    a table of each round and reads it back. Rounds are as many as halvings: about log2 of the longest segment.
+    """
+    done, single, left = None, None, segments.select("doc", F.col("pos_from").cast("long").alias("seg"), F.col("pos_from").cast("long").alias("pos_from"), "lines")
+    for number in range(rounds):
+        pairs, failed = align_segments(left, answer(left, number), most)
+        pairs = cut(pairs.select("doc", F.col("pos").cast("long").alias("pos"), "line", "answer", F.lit(number).alias("round")))
+        done = pairs if done is None else done.unionByName(pairs)
+        left, lines = halve(cut(failed), unit)
+        left = cut(left)
+        single = lines if single is None else single.unionByName(lines)
+        if not left.take(1):
+            break
+    lines = cut(single.withColumn("pos", F.col("pos").cast("long")))
+    said = accept_line(answer_lines(lines), most).select("doc", "pos", F.col("text").alias("answer"))
+    by_line = lines.join(said, ["doc", "pos"], "left").select("doc", "pos", "line", F.coalesce("answer", F.lit(NO_ANSWER)).alias("answer"), F.lit(-1).alias("round"))
+    return done.unionByName(by_line)
+
+
 def bilingual(pairs: DataFrame, raw: bool = True) -> DataFrame:
     """With `block` for each pair (line, answer, origin): pictures alone; else answer and original, as Markdown or styled HTML."""
     plain = F.concat("answer", F.lit("  \n"), "origin", F.lit("\n\n"))

@@ -43,6 +43,11 @@ def _unzipped(root: str, keep: tuple[str, ...]):
     return run
 
 
+def unzipped(files: DataFrame, root: str = "", keep: tuple[str, ...] = TEXTS) -> DataFrame:
+    """S1 on archives at hand: one row (book, infix, path, size, content, error) for each member of each file (path, content)."""
+    return files.select("path", "content").mapInPandas(_unzipped(root, keep), MEMBERS)
+
+
 def read_archives(spark: SparkSession, root: str, keep: tuple[str, ...] = TEXTS) -> DataFrame:
     """One row (book, infix, path, size, content, error) for each member of each `*.epub` below `root`.
 
@@ -50,7 +55,7 @@ def read_archives(spark: SparkSession, root: str, keep: tuple[str, ...] = TEXTS)
     or whose name ends in a space, is one row with `error`.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.epub").load(root)
-    return files.select("path", "content").mapInPandas(_unzipped(root, keep), MEMBERS)
+    return unzipped(files, root, keep)
 
 
 PACKAGE = "book string, part string, ord int, id string, path string, media_type string, properties string"

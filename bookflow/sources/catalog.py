@@ -27,8 +27,8 @@ def flatten_catalog(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     days = raw.select("month", F.posexplode("c.items").alias("d", "day", "labels"))
     labels = days.select("month", "d", "day", F.posexplode("labels").alias("l", "label", "books"))
     books = labels.select("month", F.col("day").cast("int").alias("day"), "label", "d", "l", F.posexplode("books").alias("b", "book"))
-    # d, l and b are places in the file: three parts of one ordinal
-    ordinal = (F.col("d") * 1_000_000 + F.col("l") * 10_000 + F.col("b")).cast("long")
+    # d, l and b are places in the file: three parts of one ordinal, of 15, 16 and 32 bits
+    ordinal = F.shiftleft(F.col("d").cast("long"), 48) + F.shiftleft(F.col("l").cast("long"), 32) + F.col("b")
     flat = books.select("month", "day", "label", ordinal.alias("ord"), "book.title", "book.page", "book.link", "book.new")
     logs = raw.select("month", F.posexplode("c.logs").alias("ord", "log"))
     return flat, logs.select("month", "ord", "log.action", F.col("log.timestamp").alias("ts_ms"), "log.details.total", "log.details.increment")

@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from bookflow.functions.text import strip, strip_ruby
 
 
+def own_lines(text: Column) -> Column:
+    """The stripped lines of a text with anything in them, as an array."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"), strip), lambda x: x != "")
+
+
 def document_lines(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
     """(doc, pos, raw, pure): the stripped lines with anything in them, and the same without ruby."""
-    cut = F.posexplode(F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"), strip), lambda x: x != ""))
-    return docs.select(F.col(doc).alias("doc"), cut.alias("pos", "raw")).withColumn("pure", strip(strip_ruby(F.col("raw"))))
+    return docs.select(F.col(doc).alias("doc"), F.posexplode(own_lines(F.col(text))).alias("pos", "raw")).withColumn("pure", strip(strip_ruby(F.col("raw"))))
 
 
 def read_text_lines(spark: SparkSession, root: str, glob: str = "*.txt") -> DataFrame:

@@ -27,31 +27,57 @@ def latest_stages(rows: DataFrame, key: str, stage: str = "stage") -> DataFrame:
     return best.select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-def stage_writer(stream: DataFrame, path: str, key: str, stage: str = "stage") -> DataStreamWriter:
-    """Keeps the highest stage of each key as versions of a table below `path`, one folder for each batch.
+def stage_writer(stream: DataFrame, path: str, key: str, stage: str = "stage", every: int = 16) -> DataStreamWriter:
+    """Keeps the highest stage of each key in folders below `path`, one for each batch.
 
-    A batch reads the version before its own and writes `version=<batch>`, replacing what a failed try of the
-    same batch has left; so it can be repeated. Read the state with `current_stages`.
+    A batch writes its own rows as `part=<batch>`; every so many batches one writes `whole=<batch>`, the state with
+    its rows, and folders that the last whole state before it made needless are removed. A batch replaces what a
+    failed try of it has left, so it can be repeated. Read the state with `current_stages`.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        before = current_stages(batch.sparkSession, path, number)
-        rows = batch if before is None else before.unionByName(batch)
-        latest_stages(rows, key, stage).write.mode("overwrite").parquet(f"{path}/version={number}")
+        spark, rows = batch.sparkSession, latest_stages(batch, key, stage)
+        if number % every:
+            rows.write.mode("overwrite").parquet(f"{path}/part={number}")
+            return
+        before = current_stages(spark, path, key, stage, number)
+        rows = rows if before is None else latest_stages(before.unionByName(rows), key, stage)
+        rows.write.mode("overwrite").parquet(f"{path}/whole={number}")
+        older = [n for kind, n in _folders(spark, path) if kind == "whole" and n < number]
+        for kind, n in _folders(spark, path):
+            if older and n < max(older):
+                _store(spark, path)[1].delete(_store(spark, f"{path}/{kind}={n}")[0], True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/_checkpoint")
 
 
-def current_stages(spark, path: str, before: int | None = None) -> DataFrame | None:
-    """The latest version of the table of stages (earlier than batch `before`); None if there is none. Reads any store that Spark can."""
+def _store(spark, path: str) -> tuple:
+    """A path and its file system, in any store that Spark can read."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _folders(spark, path: str) -> list[tuple[str, int]]:
+    """(kind, batch) of the finished folders below `path`."""
+    folder, store = _store(spark, path)
     if not store.exists(folder):
-        return None
+        return []
     names = [s.getPath().getName() for s in store.listStatus(folder)]
-    numbers = [int(n.split("=")[1]) for n in names if n.startswith("version=") and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    numbers = [n for n in numbers if before is None or n < before]
-    return spark.read.parquet(f"{path}/version={max(numbers)}") if numbers else None
+    done = [n for n in names if n.startswith(("part=", "whole=")) and store.exists(_store(spark, f"{path}/{n}/_SUCCESS")[0])]
+    return [(n.split("=")[0], int(n.split("=")[1])) for n in done]
+
+
+def current_stages(spark, path: str, key: str, stage: str = "stage", before: int | None = None) -> DataFrame | None:
+    """The state of stages (of batches earlier than `before`): the last whole one with the parts after it; None if there is none."""
+    found = [(kind, n) for kind, n in _folders(spark, path) if before is None or n < before]
+    base = max((n for kind, n in found if kind == "whole"), default=-1)
+    names = [f"{path}/{kind}={n}" for kind, n in found if (kind == "whole" and n == base) or (kind == "part" and n > base)]
+    if not names:
+        return None
+    rows = spark.read.parquet(names[0])
+    for name in names[1:]:
+        rows = rows.unionByName(spark.read.parquet(name))
+    return latest_stages(rows, key, stage)
 
 
 def stream_links(stream: DataFrame, link: Callable[[DataFrame], DataFrame], path: str) -> DataStreamWriter:

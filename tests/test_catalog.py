@@ -100,7 +100,7 @@ def test_backfill(spark):
 
 
 def test_report(spark):
-    logs = spark.createDataFrame([(0, "newly-append", 1, None, 2)], "ord int, action string, ts_ms long, total long, increment long")
+    logs = spark.createDataFrame([("202401", 0, "newly-append", 1, None, 2), ("202312", 0, "newly-append", 1, None, 40)], "month string, ord int, action string, ts_ms long, total long, increment long")
     text = catalog.monthly_report(books(spark), labels(spark), logs, "来源", "注").first().text
     assert text == (
         "2023 年 12 月文库・单行本新刊情报\n已添加 2 个独立词条\n注\n[b][size=25]1/15[/size][/b]\n[b][size=20]GA 文库[/size][/b]\n[url=p/1]A 1[/url] ([url=u1]Amazon[/url])\nB\n"
@@ -164,8 +164,8 @@ def test_files_and_streams(spark, tmp_path):
         spark.createDataFrame(rows, "id int, stage int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
         stream = spark.readStream.schema("id int, stage int").parquet(f"{tmp_path}/events")
         jobs.run_available(jobs.stage_writer(stream, f"{tmp_path}/stages", "id"))
-        return {r.id: r.stage for r in jobs.current_stages(spark, f"{tmp_path}/stages").collect()}
+        return {r.id: r.stage for r in jobs.current_stages(spark, f"{tmp_path}/stages", "id").collect()}
 
-    assert jobs.current_stages(spark, f"{tmp_path}/none") is None
+    assert jobs.current_stages(spark, f"{tmp_path}/none", "id") is None
     assert feed([(1, 0), (1, 2), (2, 0)]) == {1: 2, 2: 0}
     assert feed([(1, 1), (2, 1), (3, 0)]) == {1: 2, 2: 1, 3: 0}

@@ -101,7 +101,7 @@ def test_align_rounds(spark):
     pairs, rest = segments.align_segments(own, said)
     assert {(r.doc, r.pos, r.line, r.answer) for r in pairs.collect()} == {("d", 3, "p", "P"), ("d", 4, "q", "Q")}
     halves, lines = segments.halve(rest)
-    assert {(r.doc, r.seg, r.pos_from, tuple(r.lines)) for r in halves.collect()} == {("d", 2, 0, ("x" * 100,)), ("d", 3, 1, ("y" * 100, "z"))}
+    assert {(r.doc, r.seg, r.pos_from, tuple(r.lines)) for r in halves.collect()} == {("d", 0, 0, ("x" * 100,)), ("d", 1, 1, ("y" * 100, "z"))}
     assert {(r.doc, r.pos, r.line) for r in lines.collect()} == {("e", 0, "one")}
 
 
