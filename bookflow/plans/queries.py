@@ -5,7 +5,6 @@ The tables are no books, so each query says which columns stand for the operator
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,8 @@ from pyspark.sql import functions as F
 from bookflow.functions import text as T
 from bookflow.operators import catalog, chapters, html, layout, match, pixels, segments
 from bookflow.sources import catalog as source
-from bookflow.sources.lines import document_lines
+from bookflow.sources.lines import document_lines, own_lines
+from bookflow.sources.shared import shared_dir
 from bookflow.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,11 +137,11 @@ def w4_nav_titles(spark, sf_dir):
     return chapters.nav_titles(_spans(spark, sf_dir), least=2).select("book", "name", "prev", "next")
 
 
-@query(rf"""WITH {_SPANS}, z AS (SELECT book, index, CAST(index AS VARCHAR) AS name FROM c), y AS (SELECT *, lead(name) OVER (PARTITION BY book ORDER BY index) AS next FROM z)
-SELECT book, '<t>' || name || '</t>' || book || '<a href=' || coalesce(next || '.html', '') || '>' || CASE WHEN next IS NULL THEN '' ELSE 'on' END || '</a></t>' AS html FROM y WHERE len(CAST((SELECT max(index) FROM c m WHERE m.book = y.book) AS VARCHAR)) = 1""")
+@query(rf"""WITH {_SPANS}, z AS (SELECT book, index, lpad(CAST(index AS VARCHAR), CAST(len(CAST(max(index) OVER (PARTITION BY book) AS VARCHAR)) AS INTEGER), '0') AS name FROM c), y AS (SELECT *, lead(name) OVER (PARTITION BY book ORDER BY index) AS next FROM z)
+SELECT book, '<t>' || name || '</t>' || book || '<a href=' || coalesce(next || '.html', '') || '>' || CASE WHEN next IS NULL THEN '' ELSE 'on' END || '</a></t>' AS html FROM y""")
 def r4_html_documents(spark, sf_dir):
-    """The chapters of hosts of less than ten, in a template."""
-    named = chapters.nav_titles(_spans(spark, sf_dir)).filter(F.length("name") == 1)
+    """The chapters of all hosts in a template, the host's name as the body."""
+    named = chapters.nav_titles(_spans(spark, sf_dir))
     return chapters.html_documents(named.withColumn("text", F.col("book")), "<t>{TITLE}</t>", "</t>", "<a href={NEXT_LINK}>{NEXT_TEXT}</a>", next_text="on").select("book", "html")
 
 
@@ -207,20 +207,25 @@ def a3_drop_repeated(spark, sf_dir):
     return layout.drop_repeated(lines, layout.repeated_lines(lines, 0.1))
 
 
-@query(rf"""WITH {_PAGE_LINES}, m AS (SELECT doc, page, pos, line, regexp_replace(line, '^\s+|\s+$', '', 'g') = '' AS blank,
+_SHEETS = "l AS (SELECT doc_id AS doc, pos // 20 AS page, pos, line FROM (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents))"
+
+
+@query(rf"""WITH {_SHEETS}, m AS (SELECT doc, page, pos, line, regexp_replace(line, '^\s+|\s+$', '', 'g') = '' AS blank,
 lead(page) OVER o <> page AS page_end FROM l WINDOW o AS (PARTITION BY doc ORDER BY page, pos)),
 c AS (SELECT *, blank OR line LIKE '% ' OR (coalesce(page_end, false) AND regexp_matches(line, '[.?!]$')) AS closes FROM m),
 o AS (SELECT *, CAST(blank OR coalesce(lag(closes) OVER (PARTITION BY doc ORDER BY page, pos), true) AS INTEGER) AS opens FROM c),
 n AS (SELECT *, sum(opens) OVER (PARTITION BY doc ORDER BY page, pos) - 1 AS para FROM o)
 SELECT doc, CAST(para AS BIGINT) AS para, rtrim(string_agg(CASE WHEN blank THEN '' ELSE line END, '' ORDER BY page, pos)) AS text FROM n GROUP BY doc, para""")
 def w8_paragraphs(spark, sf_dir):
-    return layout.rebuild_paragraphs(page_lines(spark, sf_dir), (".", "?", "!"))
+    """Documents in pages of 20 lines."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return layout.rebuild_paragraphs(rows.withColumn("page", F.floor(F.col("pos") / 20)), (".", "?", "!"))
 
 
-@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS number FROM orders WHERE o_orderstatus <> 'F'")
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS number FROM orders")
 def w5_renumber(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'F'")
-    return layout.renumber(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], 1).select("o_custkey", "o_orderkey", "number")
+    return layout.renumber(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], 1).select("o_custkey", "o_orderkey", "number")
 
 
 @query()
@@ -258,7 +263,8 @@ FROM g JOIN l ON l.doc = g.doc AND l.pos = g.pos + 1)"""
 
 @query(f"{_SEGMENTS} SELECT doc, seg, min(pos) AS pos_from, max(pos) AS pos_to, string_agg(line, chr(10) ORDER BY pos) AS text FROM g JOIN l USING (doc, pos) GROUP BY doc, seg")
 def w9_segments(spark, sf_dir):
-    found = segments.segment_table(doc_lines(spark, sf_dir))
+    """W9 on whole documents: their lines are at hand in the row, so nothing is shuffled."""
+    found = segments.segments_of(table(spark, sf_dir, "documents"), own_lines(F.col("text")), "doc_id")
     return found.select("doc", "seg", "pos_from", "pos_to", F.array_join("lines", "\n").alias("text"))
 
 
@@ -278,7 +284,7 @@ SELECT doc, seg, '{segments.TURN}system' || chr(10) || '{segments.SYSTEM_TEXT}{s
 def r5_prompts(spark, sf_dir):
     """The documents' segments, with nations as the glossary."""
     terms = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("src"), F.upper("n_name").alias("dst"), F.when(F.col("n_regionkey") % 2 == 0, F.col("n_regionkey").cast("string")).alias("info"))
-    return segments.build_prompts(segments.segment_table(doc_lines(spark, sf_dir)), terms, context=None).select("doc", "seg", "prompt")
+    return segments.build_prompts(segments.segments_of(table(spark, sf_dir, "documents"), own_lines(F.col("text")), "doc_id"), terms, context=None).select("doc", "seg", "prompt")
 
 
 _ATTEMPTS = r"""a AS (SELECT conv_id AS doc, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, turn AS attempt, role = 'system' AS err FROM conversations),
@@ -413,13 +419,13 @@ def j1_with_labels(spark, sf_dir):
 @query(f"""WITH {_BOOKS}, l AS (SELECT DISTINCT label, upper(label) AS zh FROM b), e AS (SELECT b.*, zh, CASE WHEN coalesce(page, '') = '' THEN title ELSE '[url=' || page || ']' || title || '[/url]' END || ' ([url=' || url || ']' || brand || '[/url])' AS entry FROM b JOIN l USING (label)),
 x AS (SELECT month, day, label, min(ord) AS f, '[b][size=20]' || zh || '[/size][/b]' || chr(10) || string_agg(entry, chr(10) ORDER BY ord) AS t FROM e GROUP BY month, day, label, zh),
 y AS (SELECT month, day, min(f) AS f, '[b][size=25]' || CAST(CAST(substr(month, 5) AS INTEGER) AS VARCHAR) || '/' || day || '[/size][/b]' || chr(10) || string_agg(t, chr(10) ORDER BY f) || chr(10) AS t FROM x GROUP BY month, day),
-n AS (SELECT string_agg(zh, '、' ORDER BY zh) AS names FROM l), k AS (SELECT count(*) AS newly FROM b WHERE page <> ''),
+n AS (SELECT string_agg(zh, '、' ORDER BY zh) AS names FROM l), k AS (SELECT month, count(*) AS newly FROM b WHERE page <> '' GROUP BY month),
 z AS (SELECT month, string_agg(t, chr(10) ORDER BY f) AS t, CAST(substr(month, 1, 4) AS INTEGER) AS yy, CAST(substr(month, 5) AS INTEGER) AS mm FROM y GROUP BY month)
-SELECT month, CASE WHEN mm = 1 THEN (yy - 1) || ' 年 12 月' ELSE yy || ' 年 ' || (mm - 1) || ' 月' END || '文库・单行本新刊情报' || chr(10) || '已添加 ' || newly || ' 个独立词条' || chr(10) || chr(10) || t || chr(10) || '收录书系：' || names || chr(10) AS text FROM z, n, k""")
+SELECT month, CASE WHEN mm = 1 THEN (yy - 1) || ' 年 12 月' ELSE yy || ' 年 ' || (mm - 1) || ' 月' END || '文库・单行本新刊情报' || chr(10) || '已添加 ' || coalesce(newly, 0) || ' 个独立词条' || chr(10) || chr(10) || t || chr(10) || '收录书系：' || names || chr(10) AS text FROM z LEFT JOIN k USING (month), n""")
 def r1_monthly_report(spark, sf_dir):
-    """The report of every month of orders; found orders are the increments of the log."""
+    """The report of every month of orders; a month's found orders are the increments of its log."""
     books = _books(spark, sf_dir)
-    logs = books.filter("page <> ''").select(F.lit("newly-append").alias("action"), F.lit(1).alias("increment"), F.lit(0).alias("ord"), F.lit(0).alias("ts_ms"), F.lit(None).cast("long").alias("total"))
+    logs = books.filter("page <> ''").select("month", F.lit("newly-append").alias("action"), F.lit(1).alias("increment"), F.lit(0).alias("ord"), F.lit(0).alias("ts_ms"), F.lit(None).cast("long").alias("total"))
     return catalog.monthly_report(books, _labels(books), logs)
 
 
@@ -505,32 +511,6 @@ def j3_candidates(spark, sf_dir):
     return match.block_candidates(*_titles(spark, sf_dir)).select("book_id", "id")
 
 
-@query()
-def j4_similarity(spark, sf_dir):
-    pairs = match.scored(match.block_candidates(*_titles(spark, sf_dir)))
-    return pairs.select("book_id", "id", "conf")
-
-
-@query()
-def j5_best_match(spark, sf_dir):
-    return match.best_match(*_titles(spark, sf_dir))
-
-
-@query()
-def j6_shortlist(spark, sf_dir):
-    """For each nation's name the most similar parts."""
-    _, subjects = _titles(spark, sf_dir)
-    items = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("item_id"), F.col("n_name").alias("title"))
-    return match.shortlist(items, subjects, 0.3)
-
-
-@query()
-def t3_incremental_links(spark, sf_dir):
-    """Parts that were never searched get a page; those of even size were, and found nothing."""
-    books, subjects = _titles(spark, sf_dir)
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("book_id"), F.when(F.col("p_size") % 2 == 0, "").alias("page"))
-    return match.incremental_links(books.join(part, "book_id"), subjects, base="s/")
-
 
 # ---- images and streams
 
@@ -561,15 +541,14 @@ def t2_stream_stages(spark, sf_dir):
     path = f"{_scratch(spark)}/stages"
     stream = _stream(spark, sf_dir).select("user_id", stage.alias("stage"))
     jobs.run_available(jobs.stage_writer(stream, path, "user_id"))
-    return jobs.current_stages(spark, path)
+    return jobs.current_stages(spark, path, "user_id")
 
 
 def _scratch(spark) -> str:
     """A new folder in the shared one."""
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bookflow-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _stream(spark, sf_dir) -> DataFrame:
@@ -584,3 +563,6 @@ def _drained(spark, sf_dir, job) -> DataFrame:
     writer = out.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state")
     jobs.run_available(writer)
     return spark.read.schema(out.schema).parquet(f"{path}/rows")
+
+
+from . import more  # noqa: E402, F401  (registers the further queries)
