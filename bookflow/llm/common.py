@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bookflow.sources.shared import cut as cut
+
 #: Word separators of the contracts: space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Most rows of a table that is broadcast; beyond it the same join is shuffled.
@@ -15,32 +17,16 @@ BROADCAST_ROWS = 1_000_000
 #: Keys that get the broadcast way in `lookup`; a fixed bound at any input size.
 HEAVY_KEYS = 512
 
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (`spark.checkpoint.dir`); one of our own where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="bookflow-"))
-    return _own[0]
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back: its lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/bookflow-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Send whole texts to Python workers a thousand at a time, where the session has not set a number of its own."""
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Whole texts go to Python workers `rows` at a time in jobs that run inside; outside, Spark's bound on a batch's bytes holds."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":  # Spark's default, meant for narrow rows
-        spark.conf.set(key, "1000")
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import functools
-import re
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ from .common import cut, small_batches, table
 
 #: Tokens of a sequence, and the id that ends a document.
 LENGTH, END = 4096, 2
-#: Words whose ids a task keeps.
-CACHE = 400_000
+#: Bytes of words and ids that a worker keeps, twice at most, and what an entry costs besides its characters.
+CACHE_BYTES, ENTRY = 64_000_000, 200
 #: Pieces of a group, about: one task packs a group.
 GROUP = 8000
 
@@ -30,78 +32,108 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(path: str):
-    import os
+# How the vocabulary that words may be encoded apart for normalises and splits texts.
+NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class Encoder:
+    """A tokenizer with the ids of words that it met lately.
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    `new` holds what was met since the last turn and `old` what was met in the turn before; both are bounded in
+    bytes, so that rare words go and frequent ones stay.
+    """
+
+    def __init__(self, path: str, most: int = CACHE_BYTES):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+        shape = json.loads(self.tokenizer.to_str())
+        first = ((shape["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        #: Whether the ids of a text are those of its parts between spaces, one after the other.
+        self.by_words = shape["normalizer"] == NORMAL and first.get("pattern") == {"Regex": SPLIT} and first.get("behavior") == "Removed"
+
+    def learn(self, words: list[str], known: dict[str, bytes]) -> None:
+        """Put the ids of `words` into `known`. Words of letters alone are encoded many at a time, told apart by their pre-token."""
+        some, odd = [], []
+        for w in words:
+            (some if _letters(w) else odd).append(w)
+        batches = [some[low : low + 500] for low in range(0, len(some), 500)]
+        for own, e in zip(batches, self.tokenizer.encode_batch([" ".join(b) for b in batches], add_special_tokens=False), strict=True):
+            ids, at = np.array(e.ids, "<u4"), np.array(e.word_ids)
+            begin = np.searchsorted(at, np.arange(len(own) + 1))
+            if len(at) and at[-1] + 1 == len(own) and (np.diff(begin) > 0).all():
+                raw, cuts = ids.tobytes(), (4 * begin).tolist()
+                known.update((w, raw[i:j]) for w, i, j in zip(own, cuts, cuts[1:], strict=False))
+            else:
+                odd += own
+        for low in range(0, len(odd), 5000):
+            part = odd[low : low + 5000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
+        if self.held > self.most:
+            self.old, self.new, self.held = self.new, {}, 0
+        found = list(map(self.new.get, words))
+        at = [i for i, x in enumerate(found) if x is None]
+        fresh = {w: ids for w in (words[i] for i in at) if (ids := self.old.get(w)) is not None}
+        self.learn([w for w in (words[i] for i in at) if w not in fresh], fresh)
+        self.new.update(fresh)
+        self.held += sum(map(len, fresh)) + sum(map(len, fresh.values())) + ENTRY * len(fresh)
+        for i in at:
+            found[i] = fresh[words[i]]
+        return found
 
-    return Tokenizer.from_file(path), {}
 
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
-#: The punctuation at the end of a word that the tokenizer always takes apart from the letters before it.
-TAIL = re.compile(r"[.,;:!?*#$%&|()\"\[\]{}<>=+/-]+$")
+
+#: A letter and the punctuation that ends a word behind it, which the tokenizer always takes apart. Of the capital
+#: letters only ASCII ones count, as lower-casing others may bring marks that join the punctuation.
+TAIL = r"([\p{Ll}\p{Lo}\p{Lm}\p{Lt}A-Z])([.,;:!?*#$%&|()\"\[\]{}<>=+/-]+)( |$)"
 
 
 def _letters(s: str) -> bool:
-    """Whether the tokenizer's lower-casing leaves letters alone."""
-    return s.lower().isalpha()
-
-
-def _learn(tokenizer, known: dict[str, bytes], words: list[str]) -> None:
-    """Put the ids of `words` into `known`. Words of letters alone are encoded many at a time, told apart by their pre-token."""
-    some = [w for w in words if _letters(w)]
-    batches = [some[low : low + 500] for low in range(0, len(some), 500)]
-    odd = [w for w in words if not _letters(w)]
-    for own, e in zip(batches, tokenizer.encode_batch([" ".join(b) for b in batches], add_special_tokens=False), strict=True):
-        ids, at = np.array(e.ids, "<u4"), np.array(e.word_ids)
-        begin = np.searchsorted(at, np.arange(len(own) + 1))
-        if len(at) and at[-1] + 1 == len(own) and (np.diff(begin) > 0).all():
-            raw = ids.tobytes()
-            cut = (4 * begin).tolist()
-            known.update((w, raw[i:j]) for w, i, j in zip(own, cut, cut[1:], strict=False))
-        else:
-            odd += own
-    for low in range(0, len(odd), 5000):
-        part = odd[low : low + 5000]
-        for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-
-
-def _parts(w: str) -> tuple[str, str]:
-    """A word and the punctuation behind it, in lower case where that is plain ASCII; `w` and nothing where they can't be told apart."""
-    m = TAIL.search(w)
-    if m and m.start() and _letters(w[m.start() - 1]) and "<|" not in w:
-        w, tail = w[: m.start()], m[0]
-    else:
-        tail = ""
-    return w.lower() if w.isascii() else w, tail
-
-
-def encode(texts: list[str | None], path: str) -> list[bytes]:
-    """For each text its token ids as little-endian unsigned 32-bit integers, without special tokens.
+    """Whether `s` is of letters alone, in lower case too."""
+    return s.isalpha() and (s.isascii() or s.lower().isalpha())
+
+
+def encode(texts: pa.Array, path: str) -> tuple[pa.Buffer, np.ndarray]:
+    """The token ids of `texts` (null: empty) as unsigned 32-bit integers, one text after the other and without special tokens, and each text's number of ids.
 
     The tokenizer drops white space before it merges, so that a text's ids are those of its parts between spaces
-    and line ends, one after the other, and a part's those of its word and of the punctuation behind it. Each
-    distinct part is put together once, and each distinct word encoded once.
+    and line ends, one after the other, and a part's those of its word and of the punctuation behind it. Arrow
+    finds the distinct parts and puts the ids together. A tokenizer that splits otherwise gets whole texts.
     """
-    tokenizer, known = _encoder(path)
-    split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-    new = [w for w in set().union(*split) if w not in known]
-    if len(known) + len(new) > CACHE:
-        known.clear()
-        new = list(set().union(*split))
-    parts = [_parts(w) for w in new]
-    _learn(tokenizer, known, [x for x in set().union(*parts) if x not in known])
-    known.update((w, known[a] + known[b] if b else known[a]) for w, (a, b) in zip(new, parts, strict=True))
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+    encoder = _encoder(path)
+    texts = texts.fill_null("")
+    if not encoder.by_words:
+        found = [e.ids for e in encoder.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        return pa.py_buffer(b"".join(np.array(x, "<u4").tobytes() for x in found)), np.array(list(map(len, found)), np.int64)
+    spaced = pc.replace_substring(texts, "\n", " ")
+    apart = pc.replace_substring_regex(pc.ascii_lower(spaced), TAIL, r"\1 \2\3")
+    lists = pc.split_pattern(pc.if_else(pc.match_substring(texts, "<|"), spaced, apart), " ")  # special tokens stay as they are
+    words = lists.flatten().dictionary_encode()
+    own = pa.array(encoder.ids_of(words.dictionary.to_pylist()), pa.large_binary())
+    joined = own.take(words.indices)
+    ends = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1] // 4
+    per_text = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+    return joined.buffers()[2] or pa.py_buffer(b""), np.diff(ends[per_text])
 
 
 class Tournament:
     """Bins of one capacity in a complete binary tree whose inner nodes hold the largest room below them."""
 
     def __init__(self, bins: int, capacity: int):
+        self.capacity = capacity
         self.leaves = 1 << max(0, bins - 1).bit_length()
         self.room = [capacity] * (2 * self.leaves)
 
@@ -112,7 +144,7 @@ class Tournament:
             at *= 2
             if room[at] < size:
                 at += 1
-        before = LENGTH - room[at]
+        before = self.capacity - room[at]
         room[at] -= size
         leaf = at - self.leaves
         at //= 2
@@ -134,34 +166,41 @@ def first_fit_decreasing(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bins, offsets
 
 
+def portions(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about `most` bytes of text each, a row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 100)
+    low = 0
+    while low < len(size):
+        high = max(low + 1, int(np.searchsorted(size, (size[low - 1] if low else 0) + most)))
+        yield low, high
+        low = high
+
+
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens): each document's ids and END, cut at multiples of LENGTH."""
     path = tokenizer or default_tokenizer()
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key), F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stop = np.array([END], "<u4").tobytes()
         for batch in batches:
-            at = 0
-            while at < len(batch):
-                texts, first, seen = [], at, 0
-                while at < len(batch) and seen < 2_000_000:
-                    texts.append(batch.column(1)[at].as_py())
-                    seen += len(texts[-1] or "") + 100
-                    at += 1
-                owner, start, length, crc, total = [], [], [], [], []
-                for i, ids in enumerate(encode(texts, path)):
-                    ids += stop
-                    n = len(ids) // 4
-                    for low in range(0, n, LENGTH):
-                        part = ids[4 * low : 4 * (low + LENGTH)]
-                        owner.append(first + i), start.append(low), length.append(len(part) // 4), crc.append(zlib.crc32(part)), total.append(n)
-                own = batch.column(0).take(pa.array(owner, pa.int64()))
-                yield pa.RecordBatch.from_arrays([own, *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], [key, "start", "length", "ids_crc32", "doc_tokens"])
+            for low, high in portions(batch.column(1)):
+                ids, count = encode(batch.column(1).slice(low, high - low), path)
+                whole, total = memoryview(ids), count + 1
+                begin = np.cumsum(count) - count
+                n = -(-total // LENGTH)
+                owner = np.repeat(np.arange(len(total)), n)
+                start = LENGTH * (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n))
+                length = np.minimum(total[owner] - start, LENGTH)
+                last = start + length == total[owner]
+                first = begin[owner] + start
+                crc = [zlib.crc32(whole[4 * i : 4 * j]) for i, j in zip(first.tolist(), (first + length - last).tolist(), strict=True)]
+                crc = [zlib.crc32(stop, c) if end else c for c, end in zip(crc, last.tolist(), strict=True)]
+                own = batch.column(0).take(pa.array(owner + low))
+                yield pa.RecordBatch.from_arrays([own, *(pa.array(x, pa.int64()) for x in (start, length, crc, total[owner]))], [key, "start", "length", "ids_crc32", "doc_tokens"])
 
     return rows.mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, {PIECE}")
 
@@ -173,7 +212,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, text: str = "text", key:
     random groups of about `group` pieces, and each group is packed by itself. Rows that repeat or share a key
     are documents of their own; null keys stay null. Other columns are ignored; an empty table gives no rows.
     """
-    cut_up = cut(pieces(docs, tokenizer, text, key))  # written once: groups are then the same on every reading
+    with small_batches(docs.sparkSession):
+        cut_up = cut(pieces(docs, tokenizer, text, key))  # written once: groups are then the same on every reading
     groups = max(1, cut_up.count() // group)
     dealt = cut_up.withColumn("_group", F.pmod(F.xxhash64(key, "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
 

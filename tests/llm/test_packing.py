@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from bookflow.llm import packing
@@ -62,7 +63,29 @@ def test_tournament_is_first_fit():
 def test_encoding_by_words_is_the_tokenizers():
     rnd = random.Random(1)
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
-    some = [*"abcTdéüßſKİσΣς'’.,!?*#-_<>|&;:()1²½ \n\t\r 　́​あ漢\U0001f600ͅǅ한", "'s", "'LL", "don't", "The", "<|endoftext|>", "...", "Ärger,"]
+    some = [*"abcTdéüßſKİσΣς'’.,!?*#-_<>|&;:()1²½ \n\t\r 　́​あ漢\U0001f600ͅǅ한", "'s", "'LL", "don't", "The", "<|endoftext|>", "<|ENDOFTEXT|>", "...", "Ärger,", "ÜBER,", "Aİ.", "a=\u0338", "A\u030a,"]
     texts = ["".join(rnd.choice(some) for _ in range(rnd.randint(0, 40))) for _ in range(3000)]
-    for text, ids in zip(texts, packing.encode(texts, packing.default_tokenizer()), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    ids, counts = packing.encode(pa.array(texts), packing.default_tokenizer())
+    for text, own in zip(texts, np.split(np.frombuffer(ids, "<u4"), np.cumsum(counts)[:-1]), strict=True):
+        assert own.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_forgetting_words_changes_no_ids():
+    rnd = random.Random(5)
+    few = packing.Encoder(packing.default_tokenizer(), most=3000)
+    words = ["".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, 6))) + rnd.choice(["", ",", "!"]) for _ in range(400)]
+    for _ in range(30):
+        some = list({rnd.choice(words) for _ in range(40)})
+        for w, ids in zip(some, few.ids_of(some), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == few.tokenizer.encode(w, add_special_tokens=False).ids
+        assert few.held < 3000 + 80 * 300
+
+
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["a  b\nc", None, "", "x y"]
+    ids, counts = packing.encode(pa.array(texts), path)
+    want = [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and np.frombuffer(ids, "<u4").tolist() == sum(want, [])
