@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, few, small_batches, table
+from .common import SPACE, cut, few, lookup, sized, table
 
 #: Distinct sites from which a line counts as boilerplate.
 SITES = 8
@@ -17,32 +17,43 @@ SITES = 8
 LG_BUCKETS = 10
 #: Estimates within this share of the threshold are replaced by exact counts: over five standard errors.
 NEAR = 0.2
+#: Most lines of a table that tasks get whole.
+TABLE_ROWS = 200_000
 
 
 def trimmed(line: Column) -> Column:
     return F.regexp_replace(line, rf"^{SPACE}|{SPACE}$", "")
 
 
-def spread_lines(docs: DataFrame, sites: int = SITES, text: str = "text", site: str = "source", key: str = "doc_id") -> DataFrame:
+def site_lines(docs: DataFrame, text: str = "text", site: str = "source", key: str = "doc_id") -> DataFrame:
+    """(h, _site, _key) for each line with a word: 64-bit hashes of the trimmed line and of the site (null: one site of its own), and the key."""
+    own = docs.select(F.xxhash64(F.coalesce(F.col(site), F.lit(""))).alias("_site"), F.col(key).alias("_key"), F.explode(F.split(F.col(text), "\n", -1)).alias("_line"))
+    own = own.select("_site", "_key", trimmed(F.col("_line")).alias("_line")).filter(F.col("_line") != "")
+    return own.select(F.xxhash64("_line").alias("h"), "_site", "_key")
+
+
+def spread_lines(docs: DataFrame, sites: int = SITES, text: str = "text", site: str = "source", key: str = "doc_id", most: int = TABLE_ROWS) -> DataFrame:
     """The lines found on `sites` distinct sites or more: h (64-bit hash of the trimmed line), n_sites, first_key.
 
     Lines without a word do not count; texts without a site form one site of their own. first_key is the
-    smallest key of a document with the line: there the line stays.
+    smallest key of a document with the line, null if it is in documents without a key alone: there the line stays.
     """
-    lines = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(site), F.lit("")).alias("_site"), F.explode(F.split(F.col(text), "\n", -1)).alias("_line"))
-    lines = lines.select("_key", "_site", trimmed(F.col("_line")).alias("_line")).filter(F.col("_line") != "")
-    lines = lines.select("_key", "_site", F.xxhash64("_line").alias("h"))
-    # most lines occur once; a line on one site only never needs a sketch
-    met = lines.groupBy("h").agg(F.min("_key").alias("first_key"), F.min("_site").alias("low"), F.max("_site").alias("high"), F.count("*").alias("n"))
-    met = cut(met.filter((F.col("low") != F.col("high")) & (F.col("n") >= sites)).select("h", "first_key"))
-    small = few(met)
-    both = lines.join(F.broadcast(met) if small else met, "h")
-    sketched = both.groupBy("h", "_site").agg(F.min("first_key").alias("first_key")).groupBy("h").agg(F.min("first_key").alias("first_key"), F.hll_sketch_agg("_site", LG_BUCKETS).alias("_hll"))
+    lines = site_lines(docs, text, site, key)
+    # most lines occur once; a line that occurs less than `sites` times, or on one site only, needs no sketch
+    met = lines.groupBy("h").agg(F.min("_site").alias("low"), F.max("_site").alias("high"), F.count("*").alias("n"))
+    met = cut(met.filter((F.col("low") != F.col("high")) & (F.col("n") >= sites)).select("h", "n"))
+    if few(met, most):
+        held = lines.join(F.broadcast(met.select("h")), "h")
+    else:
+        held = lookup(cut(lines), met.withColumn("_met", F.lit(True)), "h", "n").filter("_met").drop("_met")
+    held = cut(held)
+    # one sketch for each line, of its sites: made in the tasks, merged behind the shuffle
+    sketched = held.groupBy("h").agg(F.min("_key").alias("first_key"), F.hll_sketch_agg("_site", LG_BUCKETS).alias("_hll"))
     spread = cut(sketched.select("h", "first_key", F.hll_sketch_estimate("_hll").alias("n_sites")))
     sure = spread.filter(F.col("n_sites") > sites * (1 + NEAR))
     unsure = spread.filter(F.col("n_sites").between(sites * (1 - NEAR), sites * (1 + NEAR))).select("h", "first_key")
-    exact = lines.join(F.broadcast(unsure) if small else unsure, "h").groupBy("h").agg(F.min("first_key").alias("first_key"), F.count_distinct("_site").alias("n_sites"))
-    return sure.unionByName(exact.filter(F.col("n_sites") >= sites)).select("h", "n_sites", "first_key")
+    exact = held.select("h", "_site").distinct().join(sized(cut(unsure)), "h").groupBy("h", "first_key").agg(F.count("*").alias("n_sites"))
+    return sure.select("h", "n_sites", "first_key").unionByName(exact.filter(F.col("n_sites") >= sites))
 
 
 def _remover(bad: dict, text: int, key: int):
@@ -73,16 +84,18 @@ def _remover(bad: dict, text: int, key: int):
     return run
 
 
-def drop_spread_lines(docs: DataFrame, sites: int = SITES, text: str = "text", site: str = "source", key: str = "doc_id") -> DataFrame:
+def drop_spread_lines(docs: DataFrame, sites: int = SITES, text: str = "text", site: str = "source", key: str = "doc_id", most: int = TABLE_ROWS) -> DataFrame:
     """`docs` with the spread lines taken out of `text`, and with _lines and _removed, the counts before and of the removed.
 
     A removed line stays in the document of smallest key that has it, each time it occurs there. Null texts stay
-    null with 0 lines; other columns are kept as they are. Rows of one key count as one document. Where the
-    table of spread lines is counted small it goes to the tasks whole; otherwise documents meet it in a join.
+    null with 0 lines; empty texts are one line; documents without a key keep no line that one with a key has.
+    Rows of one key count as one document, and repeated rows are cleaned alike. Columns named _lines or _removed
+    are replaced, all others are kept as they are. A table of at most `most` spread lines goes to the tasks
+    whole; beyond it documents meet it in a join, with the same result.
     """
-    small_batches(docs.sparkSession)
-    bad = cut(spread_lines(docs, sites, text, site, key))
-    if few(bad):
+    docs = docs.drop("_lines", "_removed")
+    bad = cut(spread_lines(docs, sites, text, site, key, most))
+    if few(bad, most):
         got = bad.select("h", "first_key").toArrow()  # counted above: bounded
         lines = docs.sparkSession.sparkContext.broadcast(dict(zip((h % 2**64 for h in got["h"].to_pylist()), got["first_key"].to_pylist(), strict=True)))
         at_text, at_key = docs.columns.index(text), docs.columns.index(key)
@@ -92,14 +105,20 @@ def drop_spread_lines(docs: DataFrame, sites: int = SITES, text: str = "text", s
 
         schema = docs.withColumns({"_lines": F.lit(0).cast("long"), "_removed": F.lit(0).cast("long")}).schema
         return docs.mapInArrow(run, schema)
-    hashed = F.xxhash64(trimmed(F.col("_line")))
-    own = docs.select(F.col(key).alias("_key"), F.explode(F.array_distinct(F.split(text, "\n", -1))).alias("_line")).select("_key", hashed.alias("h"))
-    gone = own.join(bad, "h").filter(~F.col("_key").eqNullSafe(F.col("first_key"))).groupBy("_key").agg(F.collect_set("h").alias("_gone"))
-    joined = docs.join(gone, docs[key].eqNullSafe(gone["_key"]), "left").drop("_key")
-    lines = F.split(text, "\n", -1)
-    kept = F.filter(lines, lambda x: ~F.array_contains("_gone", F.xxhash64(trimmed(x))))
-    kept = F.when(F.col("_gone").isNull(), lines).otherwise(kept)
-    return joined.withColumns({text: F.array_join(kept, "\n"), "_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "_removed": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long")}).drop("_gone")
+    # rows are told apart by key and text; the user's columns travel in a struct, where no name can clash
+    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_id"), F.col(text).alias("_text"), F.struct(*docs.columns).alias("_row"))
+    own = cut(rows.select("_key", "_id", F.explode(F.array_distinct(F.transform(F.split("_text", "\n", -1), lambda x: F.xxhash64(trimmed(x))))).alias("h")))
+    met = lookup(own, bad.withColumn("_bad", F.lit(True)), "h", "n_sites").filter(F.col("_bad") & ~F.col("_key").eqNullSafe(F.col("first_key")))
+    gone = met.groupBy(F.col("_key").alias("_k"), F.col("_id").alias("_i")).agg(F.collect_set("h").alias("_gone"))
+    joined = rows.join(gone, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_id") == F.col("_i")), "left")
+    lines = F.split("_text", "\n", -1)
+    kept = F.when(F.col("_gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("_gone", F.xxhash64(trimmed(x)))))
+    joined = joined.withColumn("_kept", kept)
+    return joined.select(
+        *[F.array_join("_kept", "\n").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns],
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_lines"),
+        F.when(F.col("_text").isNull(), 0).otherwise(F.size(lines) - F.size("_kept")).cast("long").alias("_removed"),
+    )
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

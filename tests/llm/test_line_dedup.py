@@ -1,5 +1,4 @@
 import random
-from unittest import mock
 
 from bookflow.llm import line_dedup
 from tests.llm.helpers import ODD, documents
@@ -27,10 +26,9 @@ def check(spark, rows, sites):
     df = documents(spark, rows)
     want = brute([(r[0], r[1], r[2] if len(r) > 2 else "s1") for r in rows], sites)
     for most in (1_000_000, -1):  # the broadcast way, and the way by joins
-        with mock.patch.object(line_dedup, "few", lambda d, most=most: d.count() <= most):
-            out = line_dedup.drop_spread_lines(df, sites)
-            assert out.columns == [*df.columns, "_lines", "_removed"]
-            assert sorted(((str(r.doc_id), r.text, r["_lines"], r["_removed"]) for r in out.collect()), key=str) == want
+        out = line_dedup.drop_spread_lines(df, sites, most=most)
+        assert out.columns == [*df.columns, "_lines", "_removed"]
+        assert sorted(((str(r.doc_id), r.text, r["_lines"], r["_removed"]) for r in out.collect()), key=str) == want
     return sum(r[3] for r in want)
 
 
@@ -58,3 +56,15 @@ def test_null_and_wide_ids(spark):
     big = 2**59
     rows = [(None, "no id\nown", f"s{i}") for i in range(10)] + [(big + 1 + i, "wide id", f"s{i}") for i in range(10)]
     assert check(spark, rows, 8) == 9
+
+
+def test_clashing_columns(spark):
+    """Columns of the names used inside stay, with wide integers beside nulls whole; _lines and _removed are replaced."""
+    big = 2**60 + 1
+    rows = [(i, "a notice\nown %d" % i, f"s{i}", None if i % 3 else big + i, "k", [1], "r", "old", "old") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, h long, _key string, _gone array<int>, _row string, _lines string, _removed string")
+    for most in (1_000_000, -1):
+        out = line_dedup.drop_spread_lines(df, 8, most=most)
+        assert out.columns == df.columns and dict(out.dtypes)["_removed"] == "bigint"
+        got = sorted((r.doc_id, r.text, r.h, r["_key"], r["_gone"], r["_row"], r["_lines"], r["_removed"]) for r in out.collect())
+        assert got == [(i, "a notice\nown 0" if i == 0 else "own %d" % i, None if i % 3 else big + i, "k", [1], "r", 2, int(i > 0)) for i in range(10)]
