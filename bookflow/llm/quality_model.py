@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, small_batches, table
+from .common import crc_mod, cut, table
 
 #: Labelled rows of each class that training takes at most, by the smallest hashes of their ids: about 25 MB of text.
 PER_CLASS = 1500
@@ -139,7 +139,9 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> Model:
 def labelled(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", per_class: int = PER_CLASS) -> tuple[list[str], list[int]]:
     """The bounded training sample: texts and labels of rows for which `learn` holds, at most about `per_class` of each class.
 
-    An id with labels of both kinds counts as 0; null labels and ids do not count.
+    An id with labels of both kinds counts as 0; null labels and ids do not count. Rows of `docs` that repeat id and
+    text count once, and those of one id with many texts are drawn from, so that at most about 4 * `per_class` rows
+    ever reach the driver.
     """
     own = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     own = own.withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40)))
@@ -148,7 +150,11 @@ def labelled(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "tex
     for q, n in counts.items():
         part = F.when(F.col("quality") == q, F.lit(per_class / max(n, per_class))).otherwise(part)
     chosen = cut(own.filter(F.col("draw") < part).select("doc_id", "quality"))  # about 2 * per_class rows at most
-    rows = docs.select("doc_id", F.col(text).alias("_text")).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", F.xxhash64("_text")).collect()
+    found = cut(docs.select("doc_id", F.col(text).alias("_text")).join(F.broadcast(chosen), "doc_id").distinct())
+    # an id with many texts may not make the sample larger than its bound
+    share = 4 * per_class / max(found.count(), 4 * per_class)
+    found = found.filter(F.pmod(F.xxhash64("doc_id", "_text", F.lit(1)), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+    rows = found.orderBy("doc_id", F.xxhash64("_text")).collect()
     return [r["_text"] for r in rows], [int(r["quality"]) for r in rows]
 
 
@@ -162,7 +168,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     that no key or group matters.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)  # BUCKETS floats
     docs = docs.drop(out)
     place = docs.columns.index(text)
@@ -198,8 +203,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, **optio
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = CUT, learn: Column | None = None) -> DataFrame:
-    """The rows of `docs` that the classifier does not reject."""
-    return score(docs, fit(docs, labels, learn), out="_quality").filter(F.col("_quality") >= least).drop("_quality")
+    """The rows of `docs` that the classifier does not reject, with all their columns.
+
+    Null and empty texts have the score of a text without words; repeated rows stay or go together; an empty table
+    gives no rows, and labels of one kind or none make one score for all texts.
+    """
+    name = "_quality"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, fit(docs, labels, learn), out=name).filter(F.col(name) >= least).drop(name)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,39 @@ def test_features_by_the_word():
         assert len(own) == 1 + sum(max(0, len(w) + 2 - n + 1) for n in quality_model.GRAMS)
 
 
+def plain_logit(model, words):
+    """A text's logit by loops over its words' own features: the word, and the n-grams of its bytes between < and >."""
+    k, mask = 0x9E3779B97F4A7C15, 2**64 - 1
+
+    def bucket(h):
+        h = (h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 & mask
+        return (h >> 20) % quality_model.BUCKETS
+
+    total = 0.0
+    for w in words:
+        chars = [c + 1 for c in b"<" + w + b">"]
+        found = [bucket((sum(c * pow(k, i, 2**64) for i, c in enumerate(chars)) + 77) & mask)]
+        for n in quality_model.GRAMS:
+            for i in range(len(chars) - n + 1):
+                h = n
+                for c in chars[i : i + n]:
+                    h = (h * k + c) & mask
+                found.append(bucket(h))
+        total += sum(float(model.logits[f]) for f in found) / len(found)
+    again = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    return model.bias + (total + model.again * again) / (len(words) + quality_model.SHRINK)
+
+
+def test_scores_by_plain_loops():
+    rnd = np.random.RandomState(3)
+    texts = [" ".join(rnd.choice(["calm", "river", "größe", "SPAM!!", "x", "words"], rnd.randint(1, 30))) for _ in range(40)]
+    model = quality_model.train(texts, [int("SPAM" not in t) for t in texts])
+    for t in texts:
+        words = t.encode().split()
+        known = dict(zip(words, model.words(words).tolist(), strict=True))
+        assert abs(model.text(words, known) - plain_logit(model, words)) < 1e-4
+
+
 def test_held_out(spark, sf):
     from bookflow.llm.quality_model import op2_quality_classifier
 
