@@ -11,10 +11,12 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches, table
+from .common import crc_mod, cut, sized, table
 
-#: Labelled texts of a language that training takes at most (about; by the hashes of their ids), and languages.
-PER_LANG, LANGS = 600, 64
+#: Labelled texts of a language that training takes at most (about; by the hashes of their ids). Every language is learnt.
+PER_LANG = 600
+#: Numbers that a task keeps for words that it met: a word needs one for each language.
+WORD_CACHE = 4_000_000
 #: Order of the models; discount of the counts.
 ORDER, DISCOUNT = 5, 0.75
 #: Share of the training texts whose margin a text must reach to be called reliable.
@@ -84,30 +86,53 @@ def kneser_ney(words: list[str], counts: np.ndarray) -> list[tuple[np.ndarray, n
     return levels
 
 
+@dataclass
+class Table:
+    """Sorted hashes, and for each the languages that have it with their values: row i is places begin[i] to begin[i + 1]."""
+
+    keys: np.ndarray
+    begin: np.ndarray
+    lang: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def of(cls, per: list[tuple[np.ndarray, np.ndarray]]) -> Table:
+        """One table of the sorted (hashes, values) of each language."""
+        every = np.concatenate([k for k, _ in per])
+        lang = np.repeat(np.arange(len(per), dtype=np.int32), [len(k) for k, _ in per])
+        order = np.argsort(every, kind="stable")
+        keys, begin = np.unique(every[order], return_index=True)
+        return cls(keys, np.append(begin, len(every)), lang[order], np.concatenate([v for _, v in per])[order])
+
+    def rows(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in `wanted`, language, value) of all that is known of the hashes."""
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[at] == wanted)
+        low = self.begin[at[hit]]
+        n = self.begin[at[hit] + 1] - low
+        place = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(hit, n), self.lang[place], self.value[place]
+
+
 @dataclass
 class Models:
     """All languages' models over the union of their n-grams: one search of a sorted array serves every language."""
 
     langs: list[str]
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    contexts: list[tuple[np.ndarray, np.ndarray]]
+    grams: list[Table]
+    contexts: list[Table]
     margin: float = 0.0
     scale: float = 1.0
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each word its log-probability in each language, and its length with the closing space."""
         grams, contexts, owner = hashed(words)
-        k = len(self.langs)
-        p = np.full((len(owner), k), 1.0 / 4000)
+        p = np.full((len(owner), len(self.langs)), 1.0 / 4000)
         for n in range(ORDER):
-            keys, gamma = self.contexts[n]
-            at = np.minimum(np.searchsorted(keys, contexts[n]), len(keys) - 1)
-            seen = keys[at] == contexts[n]
-            lower = np.where(seen[:, None], gamma[at], 1.0) * p
-            keys, prob = self.grams[n]
-            at = np.minimum(np.searchsorted(keys, grams[n]), len(keys) - 1)
-            found = np.where((keys[at] == grams[n])[:, None], prob[at], 0.0)
-            p = np.where(found > 0, found, lower)
+            place, lang, gamma = self.contexts[n].rows(contexts[n])
+            p[place, lang] *= gamma
+            place, lang, prob = self.grams[n].rows(grams[n])
+            p[place, lang] = prob
         begin = np.searchsorted(owner, np.arange(len(words)))
         return np.add.reduceat(np.log(p), begin), np.diff(np.append(begin, len(owner)))
 
@@ -126,14 +151,8 @@ def train(texts: list[str], langs: list[str]) -> Models:
                     counts[w] = counts.get(w, 0) + 1
         words = sorted(counts) or ["a"]
         per.append(kneser_ney(words, np.array([counts.get(w, 1) for w in words])))
-    grams, contexts = [], []
-    for n in range(ORDER):
-        for out, keys, values, missing in ((grams, 0, 1, 0.0), (contexts, 2, 3, 1.0)):
-            every = np.unique(np.concatenate([m[n][keys] for m in per]))
-            rows = np.full((len(every), len(names)), missing)
-            for k, m in enumerate(per):
-                rows[np.searchsorted(every, m[n][keys]), k] = m[n][values]
-            out.append((every, rows))
+    grams = [Table.of([(m[n][0], m[n][1]) for m in per]) for n in range(ORDER)]
+    contexts = [Table.of([(m[n][2], m[n][3]) for m in per]) for n in range(ORDER)]
     model = Models(names, grams, contexts)
     if len(names) > 1:
         margins = []
@@ -157,14 +176,14 @@ def entropies(model: Models, words: list[str]) -> np.ndarray:
 
 
 def labelled(docs: DataFrame, learn: Column, text: str, lang: str, per_lang: int = PER_LANG) -> tuple[list[str], list[str]]:
-    """The bounded training sample: about `per_lang` texts at most of each of the LANGS commonest languages."""
+    """The training sample: about `per_lang` texts at most of each language. Rows are drawn by key and text, so that a repeated key adds no more."""
     able = docs.select("doc_id", F.col(lang).alias("_lang"), F.col(text).alias("_text")).filter(F.col("_lang").isNotNull() & learn)
-    counts = able.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGS).collect()
-    part = F.lit(0.0)
-    for r in counts:
-        part = F.when(F.col("_lang") == r["_lang"], F.lit(per_lang / max(per_lang, r["count"]))).otherwise(part)
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    rows = able.filter((draw < part) & F.col("_text").isNotNull()).orderBy("doc_id", F.xxhash64("_text")).collect()
+    able = able.filter(F.col("_text").isNotNull())
+    counts = able.groupBy("_lang").agg(F.count("*").alias("_n"))  # a row for each language
+    draw = F.pmod(F.xxhash64("doc_id", "_text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    some = able.withColumn("_draw", draw).join(sized(cut(counts)), "_lang").filter(F.col("_draw") * F.col("_n") < per_lang)
+    # rows that repeat key and text are drawn together: each counts once
+    rows = some.select("doc_id", "_lang", "_text").distinct().orderBy("doc_id", F.xxhash64("_text"), "_lang").collect()
     return [r["_text"] for r in rows], [r["_lang"] for r in rows]
 
 
@@ -180,7 +199,6 @@ def identify(docs: DataFrame, model: Models, text: str = "text") -> DataFrame:
     tells whether the margin to the second best reaches what all but REJECT of the training texts reach. Columns
     of these names are replaced, all others kept.
     """
-    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "lang_score", "lang_reliable")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
     place = docs.columns.index(text)
@@ -203,7 +221,7 @@ def identify(docs: DataFrame, model: Models, text: str = "text") -> DataFrame:
                     seen += len(texts[-1]) + 1
                     at += 1
                 new = [w for w in set().union(*texts) if w not in known]
-                if len(known) + len(new) > 500_000:
+                if (len(known) + len(new)) * (k + 8) > WORD_CACHE:
                     known.clear()
                     new = list(set().union(*texts))
                 for low in range(0, len(new), 20_000):
