@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, few, let, sized, table
+from .common import BROADCAST_ROWS, cut, few, let, sized, table
 
 #: Words in a shingle, and the share of an item's shingles that a document must hold.
 SHINGLE, CONTAINED = 5, 0.8
+#: Tasks that share the documents with one shingle, where items are too many to be broadcast.
+SALTS = 16
 
 
 def tokens(text: Column) -> Column:
@@ -16,61 +18,92 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def shingles(w: Column, of) -> Column:
-    """`of` over every run of SHINGLE words of `w`; a shorter text is one shingle of all its words, an empty one none."""
-    run = lambda i: [F.element_at(w, i + k) for k in range(SHINGLE)]
-    many = F.transform(F.sequence(F.lit(1), F.size(w) - (SHINGLE - 1)), lambda i: of(run(i)))
-    return F.when(F.size(w) >= SHINGLE, many).when(F.size(w) > 0, F.array(of([F.array_join(w, " ")]))).otherwise(F.transform(w, lambda x: of([x])))
+def shingles(w: Column, n: int, of) -> Column:
+    """`of` over every run of `n` words of `w`; none if there are fewer."""
+    runs = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: of([F.element_at(w, i + k) for k in range(n)]))
+    return F.when(F.size(w) >= n, runs)
 
 
-def hashes(text: Column) -> Column:
-    """The distinct shingles of a text as 64-bit minwise hashes."""
-    return F.array_distinct(let(tokens(text), lambda w: shingles(w, lambda run: F.xxhash64(*run))))
+def hashed(run: list[Column]) -> Column:
+    """The minwise hash of a shingle."""
+    return F.xxhash64(*run)
 
 
-def strings(text: Column) -> Column:
-    """The distinct shingles of a text as strings."""
-    return F.array_distinct(let(tokens(text), lambda w: shingles(w, lambda run: F.concat_ws(" ", *run))))
+def spelt(run: list[Column]) -> Column:
+    return F.concat_ws(" ", *run)
+
+
+def item_shingles(benchmark: DataFrame) -> DataFrame:
+    """(item_id, n_words, s, h) for each distinct shingle of each item; an item of fewer words than SHINGLE is one shingle of all its words."""
+    one = lambda n: lambda run: F.struct(F.lit(n).alias("n_words"), spelt(run).alias("s"), hashed(run).alias("h"))
+
+    def own(w: Column) -> Column:
+        return F.coalesce(shingles(w, SHINGLE, one(SHINGLE)), *[F.when(F.size(w) == n, shingles(w, n, one(n))) for n in range(1, SHINGLE)])
+
+    rows = benchmark.filter(F.col("item_id").isNotNull()).select("item_id", F.explode(let(tokens(F.col("text")), own)).alias("g"))
+    return rows.select("item_id", "g.n_words", "g.s", "g.h").distinct()
+
+
+def doc_shingles(text: Column, lengths: list[int], of) -> Column:
+    """The distinct shingles of a text, of each of the lengths that items have."""
+
+    def own(w: Column) -> Column:
+        parts = [F.coalesce(shingles(w, n, of), F.filter(F.transform(w, lambda x: of([x])), lambda x: F.lit(False))) for n in lengths]
+        return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+    return F.array_distinct(let(tokens(text), own))
 
 
 def sketches(items: DataFrame, contained: float = CONTAINED) -> DataFrame:
-    """The minwise sketches of items (item_id, h array): (item_id, h), partitioned by size.
+    """The minwise sketches of items (item_id, h array): (item_id, need, h), partitioned by size.
 
-    The items of a partition have sizes in [2^k, 2^(k+1)) and keep their s smallest hashes, where s is one more
-    than the shingles that an item of the partition's largest size may lack. A document that holds enough of an
-    item then holds at least one hash of its sketch, so that the search misses nothing.
+    The items of a partition have sizes in [2^k, 2^(k+1)). If one of its largest size may lack m shingles, each
+    keeps its 2 * m + 1 smallest hashes. A document that holds enough of an item lacks no more of the sketch than
+    the item may lack in all, so that it holds `need` of them at least: the estimate from the sketch misses nothing.
     """
     size = F.size("h")
+    lack = lambda n: F.floor(n * F.lit(1 - contained) + 1e-9)
     largest = F.least(F.pow(F.lit(2.0), F.floor(F.log2(size.cast("double"))) + 1) - 1, F.lit(float(1 << 30)))
-    keep = F.least(size, (F.floor(largest * F.lit(1 - contained) + 1e-9) + 1).cast("int"))
-    return items.filter(size > 0).select("item_id", F.explode(F.slice(F.sort_array("h"), F.lit(1), keep)).alias("h"))
+    keep = F.least(size, (2 * lack(largest) + 1).cast("int"))
+    need = (keep - lack(size.cast("double"))).cast("int")
+    return items.filter(size > 0).select("item_id", need.alias("need"), F.explode(F.slice(F.sort_array("h"), F.lit(1), keep)).alias("h"))
+
+
+def met(left: DataFrame, right: DataFrame, key: str, small: bool) -> DataFrame:
+    """The inner join of rows (_key, `key`) with a table of items: broadcast if that is small, else with each of its keys dealt to SALTS tasks."""
+    if small:
+        return left.join(F.broadcast(right), key)
+    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"]).drop("_salt")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", contained: float = CONTAINED) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", contained: float = CONTAINED, most: int = BROADCAST_ROWS) -> DataFrame:
     """Pairs (key, item_id, n_shingles of the item, n_found, containment) with at least `contained` of the item's shingles in the text.
 
-    Items of fewer words than a shingle are one shingle of all their words, found only in texts that are equal
-    to it. Null and empty texts and items give no pair. Rows of `docs` that share a key count as one document;
-    rows without a key are left out. Items of the same id count as one item. Other columns are ignored.
+    An item of fewer words than SHINGLE is found wherever its words stand in a row. Null and empty texts and items
+    give no pair. Rows of `docs` that share a key count as one document, so repeated rows add nothing; rows without
+    a key are left out. Items of the same id count as one item. Other columns are ignored.
     """
-    bench = benchmark.select("item_id", F.explode(strings(F.col("text"))).alias("s")).filter(F.col("item_id").isNotNull()).distinct()
-    bench = cut(bench)
-    hashed = bench.groupBy("item_id").agg(F.collect_list(F.xxhash64(*[F.get(F.split("s", " "), k) for k in range(SHINGLE)])).alias("h5"), F.collect_list(F.xxhash64("s")).alias("h1"), F.min(F.size(F.split("s", " "))).alias("w"))
-    sketch = cut(sketches(hashed.select("item_id", F.when(F.col("w") == SHINGLE, F.col("h5")).otherwise(F.col("h1")).alias("h")), contained))
+    bench = cut(item_shingles(benchmark))
+    lengths = sorted(r["n_words"] for r in bench.select("n_words").distinct().collect()) or [SHINGLE]  # SHINGLE rows at most
+    sketch = cut(sketches(bench.groupBy("item_id").agg(F.collect_list("h").alias("h")), contained))
+    small = few(bench, most)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.col("_key").isNotNull())
 
-    # candidates: documents that hold a hash of an item's sketch
-    probes = rows.select("_key", F.explode(hashes(F.col("_text"))).alias("h"))
-    found = cut(probes.join(sized(sketch), "h").select("_key", "item_id").distinct())
+    # a document's sketch: its minwise hashes up to the largest that any item's sketch has
+    top = sketch.agg(F.max("h")).first()[0]
+    kept = F.filter(doc_shingles(F.col("_text"), lengths, hashed), lambda h: h <= F.lit(top).cast("long"))
+    probes = rows.select("_key", F.explode(kept).alias("h"))
+    found = met(probes, sketch, "h", small).groupBy("_key", "item_id", "need").agg(F.count_distinct("h").alias("n"))
+    found = cut(found.filter("n >= need").select("_key", "item_id"))
 
     # exact containment, over the candidates alone
     ids = cut(found.select("_key").distinct())
-    texts = rows.join(F.broadcast(ids) if few(ids) else ids, "_key", "left_semi")
-    held = texts.select("_key", F.explode(strings(F.col("_text"))).alias("s"))
+    texts = rows.join(sized(ids, most), "_key", "left_semi")
+    held = texts.select("_key", F.explode(doc_shingles(F.col("_text"), lengths, spelt)).alias("s"))
     sizes = bench.groupBy("item_id").agg(F.count("*").alias("n_shingles"))
-    small = few(bench)
-    wanted = bench.join(sizes, "item_id")
-    exact = held.join(F.broadcast(wanted) if small else wanted, "s").join(found, ["_key", "item_id"], "left_semi")
+    wanted = cut(bench.select("item_id", "s").join(sizes, "item_id"))
+    exact = met(held, wanted, "s", small).join(found, ["_key", "item_id"], "left_semi")
     exact = exact.groupBy("_key", "item_id", "n_shingles").agg(F.count_distinct("s").alias("n_found"))
     share = F.col("n_found") / F.col("n_shingles")
     return exact.filter(share >= contained - 1e-12).select(F.col("_key").alias(key), "item_id", "n_shingles", "n_found", share.alias("containment"))
@@ -87,10 +120,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
-_SHINGLES = "CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
+_SHINGLES = "list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' ')))"
 SQL = rf"""
-WITH b AS (SELECT DISTINCT item_id, unnest({_SHINGLES}) AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
-d AS (SELECT DISTINCT doc_id, unnest({_SHINGLES}) AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+WITH b AS (SELECT DISTINCT item_id, k, unnest({_SHINGLES}) AS s FROM (SELECT item_id, w, least(5, len(w)) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)) WHERE k > 0),
+d AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= k THEN {_SHINGLES} ELSE [] END) AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents), (SELECT DISTINCT k FROM b)),
 n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id)
 SELECT doc_id, item_id, n_shingles, count(*) AS n_found, count(*) / n_shingles AS containment
 FROM d JOIN b USING (s) JOIN n USING (item_id)

@@ -5,17 +5,21 @@ from bookflow.llm import decontaminate
 from tests.llm.helpers import LONG, ODD, documents
 
 
-def grams(text):
-    w = re.findall(r"[^\W_]+", (text or "").lower())
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+def words(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def grams(w, n):
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
 
 
 def brute(docs, items):
     out = set()
     for d, t in docs:
-        g = grams(t)
+        w = words(t)
         for i, s in items:
-            q = grams(s)
+            n = min(5, len(words(s)))
+            g, q = grams(w, n), grams(words(s), n)
             if d is not None and q and len(g & q) >= 0.8 * len(q):
                 out.add((d, i, len(q), len(g & q)))
     return out
@@ -45,7 +49,16 @@ def test_random(spark):
         docs.append((d, " ".join(words)))
     docs += [(500, items[0][1]), (501, "same same same same same same")]
     want = brute(docs, items)
-    assert len(want) > 30 and got(decontaminate.leaks(documents(spark, docs), bench(spark, items))) == want
+    assert len(want) > 30
+    for most in (1_000_000, -1):  # items by broadcast, and by a salted shuffle
+        assert got(decontaminate.leaks(documents(spark, docs), bench(spark, items), most=most)) == want
+
+
+def test_short_items_inside_long_documents(spark):
+    items = [(1, "what is love now"), (2, "zebra"), (3, "no such words"), (4, "zebra")]
+    docs = [(1, "deep river " * 3000 + "and WHAT, is love; now? " + "deep river " * 3000), (2, "what is love"), (3, "now what is love and a zebra"), (4, "zebras no such")]
+    want = {(1, 1, 1, 1), (3, 2, 1, 1), (3, 4, 1, 1)}
+    assert brute(docs, items) == want and got(decontaminate.leaks(documents(spark, docs), bench(spark, items))) == want
 
 
 def test_odd_rows(spark):
