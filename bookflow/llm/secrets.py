@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +22,16 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 WINDOW = 20
 #: Lowest entropy in bits of a window's characters, by the class of the whole candidate. A class is the
 #: narrowest alphabet that holds the string; strings of letters of one case are words, not secrets.
-CLASSES = (("hex", r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]+$", 3.0), ("alnum", r"^(?=.*[0-9])(?=.*[A-Za-z])[0-9A-Za-z]+$", 3.6), ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z]).+$", 3.8))
-#: Candidates that are known to be harmless: UUIDs, digests named as such, placeholders, paths of words.
-ALLOW = (r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^sha(?:1|256|384|512)-", r"(?i)example|placeholder|changeme|xxxx", r"^(?:/?[A-Za-z]+)+/?$", r"^(?:[0-9]{1,4}[-/_]?)+$")
+CLASSES = (
+    ("hex", r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]+$", 3.0),
+    ("alnum", r"^(?=.*[0-9])(?=.*[A-Za-z])[0-9A-Za-z]+$", 3.6),
+    ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z]).+$", 3.8),
+    ("groups", r"^(?=.*[0-9])(?=.*[A-Za-z]).+$", 3.85),  # digits and letters of one case between separators
+    ("letters", r"^(?=.*[a-z])(?=.*[A-Z]).+$", 4.0),  # both cases, and no digit
+)
+#: Candidates that are known to be harmless: UUIDs, digests named as such, placeholders (in long strings such a word
+#: comes up by chance), paths of words, numbers.
+ALLOW = (r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^sha(?:1|256|384|512)-", r"(?i)^.{0,100}(?:example|placeholder|changeme|xxxx).{0,100}$", r"^(?!.*//)(?=.*[A-Za-z])(?=.*/)[A-Za-z/]+$", r"^(?!.*[-/_]{2})[0-9][-0-9/_]*$")
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -54,35 +62,57 @@ def spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
     return F.when(F.regexp_like(text, F.lit(pattern)), found)
 
 
-def windows(s: Column, low: Column) -> Column:
-    """(start, end) in `s` of the union of its windows whose entropy reaches `low`; start -1 if there is none.
+#: n * log2(n) for the counts n that a window can have.
+_WEIGHTS = [n * math.log2(n) if n else 0.0 for n in range(WINDOW + 2)]
+#: Counts are packed, BITS bits for each character, EACH of them in a long; codes are ASCII less LOWEST.
+BITS, EACH, LOWEST, HIGHEST = 5, 12, 43, 122
+RUNS = "array<struct<from:int,to:int>>"
+
+
+def windows(s: Column, low: Column, clear) -> Column:
+    """The unions (from, to) of overlapping windows of `s` whose entropy reaches `low` and for which `clear(from, to)` holds.
 
     The counts of a window's characters follow from the last window's by one character in and one out, and
-    with them the sum of c * log2(c); the entropy is log2(WINDOW) - sum / WINDOW.
+    with them the sum of n * log2(n); the entropy is log2(WINDOW) - sum / WINDOW. Each step is of fixed cost.
     """
-    f = lambda c: F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    code = lambda i: F.least(F.ascii(F.substring(s, i, F.lit(1))), F.lit(127)).cast("int")
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).cast("double").alias("sum"), F.lit(-1).alias("from"), F.lit(-1).alias("to"))
-
-    def step(z: Column, i: Column) -> Column:
-        def moved(codes: Column) -> Column:
-            into, out = codes["into"], codes["out"]
-            n_in = F.element_at(z["n"], into + 1)
-            # the character that leaves is counted after the other has entered
-            n_out = F.element_at(z["n"], out + 1) + F.when(into == out, 1).otherwise(0)
-            total = z["sum"] + f(n_in + 1) - f(n_in) + F.when(out >= 0, f(n_out - 1) - f(n_out)).otherwise(F.lit(0.0))
-            counts = F.transform(z["n"], lambda c, k: c + F.when(k == into, 1).otherwise(0) - F.when(k == out, 1).otherwise(0))
-            high = (i >= WINDOW) & ((F.log2(F.lit(float(WINDOW))) - total / WINDOW) >= low)
-            return F.struct(
-                counts.alias("n"), total.alias("sum"),
-                F.when(high & (z["from"] < 0), i - WINDOW).otherwise(z["from"]).alias("from"),
-                F.when(high, i).otherwise(z["to"]).alias("to"),
-            )
-
-        codes = F.struct(code(i).alias("into"), F.when(i > WINDOW, code(F.greatest(i - WINDOW, F.lit(1)))).otherwise(F.lit(-2)).alias("out"))
-        return let(codes, moved)
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), start, step, lambda z: F.struct(z["from"].alias("from"), z["to"].alias("to")))
+    longs = (HIGHEST - LOWEST) // EACH + 1
+    place = lambda c: F.struct(F.floor(c / EACH).cast("int").alias("slot"), (c % EACH * BITS).cast("int").alias("bit"))
+    chars = F.transform(F.split(s, ""), lambda x: place(F.ascii(x) - LOWEST))
+    weight = lambda n: F.element_at(F.array(*map(F.lit, _WEIGHTS)), n + 1)
+    one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c["bit"])
+    count = lambda n, c: F.call_function("shiftright", F.element_at(n, c["slot"] + 1), c["bit"]).bitwiseAND(F.lit(31)).cast("int")
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), longs).alias("n"), F.lit(0.0).alias("sum"), F.lit(-1).alias("from"), F.lit(-1).alias("to"), F.array().cast(RUNS).alias("out"))
+    run = lambda z: F.struct(z["from"].alias("from"), z["to"].alias("to"))
+
+    def over(c: Column) -> Column:
+        def step(z: Column, i: Column) -> Column:
+            into, out, full = F.element_at(c, i), F.element_at(c, F.greatest(i - WINDOW, F.lit(1))), i > WINDOW
+
+            def moved(m: Column) -> Column:
+                fewer, more = m["fewer"], m["more"]
+                total = z["sum"] + F.when(full, weight(fewer) - weight(fewer + 1)).otherwise(F.lit(0.0)) + weight(more + 1) - weight(more)
+                counts = F.transform(z["n"], lambda x, k: x + F.when(k == into["slot"], one(into)).otherwise(F.lit(0)) - F.when(full & (k == out["slot"]), one(out)).otherwise(F.lit(0)))
+                return F.struct(counts.alias("n"), total.alias("sum"))
+
+            # counts without the character that leaves: of itself, and of the one that enters
+            fewer = count(z["n"], out) - 1
+            more = count(z["n"], into) - F.when(full & (into == out), 1).otherwise(0)
+
+            def seen(y: Column) -> Column:
+                high = (i >= WINDOW) & ((F.lit(math.log2(WINDOW)) - y["sum"] / WINDOW) >= low - 1e-9) & clear(i - WINDOW, i)
+                apart = high & (z["from"] >= 0) & (i - WINDOW > z["to"])
+                return F.struct(
+                    y["n"].alias("n"), y["sum"].alias("sum"),
+                    F.when(high & ((z["from"] < 0) | apart), i - WINDOW).otherwise(z["from"]).alias("from"),
+                    F.when(high, i).otherwise(z["to"]).alias("to"),
+                    F.when(apart, F.array_append(z["out"], run(z))).otherwise(z["out"]).alias("out"),
+                )
+
+            return let(let(F.struct(fewer.alias("fewer"), more.alias("more")), moved), seen)
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(c)), start, step, lambda z: F.when(z["from"] >= 0, F.array_append(z["out"], run(z))).otherwise(z["out"]))
+
+    return let(chars, over)
 
 
 def threshold(s: Column) -> Column:
@@ -99,15 +129,15 @@ def entropy_spans(text: Column, base: Column, kind: int) -> Column:
 
     def parts(c: Column) -> Column:
         def measured(s: Column) -> Column:
-            low = threshold(s)
-            hit = let(windows(s, low), lambda w: F.struct((c["start"] + w["from"]).alias("start"), F.lit(kind).alias("kind"), (c["start"] + w["to"]).alias("end"), (w["from"] >= 0).alias("ok")))
-            return F.when(low.isNotNull(), hit)
+            own = F.filter(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+            clear = lambda inside: lambda low, high: ~F.exists(inside, lambda b: (b["start"] < c["start"] + high) & (c["start"] + low < b["end"]))
+            return let(own, lambda inside: let(threshold(s), lambda low: windows(s, low, clear(inside))))
 
-        return let(F.substring(text, c["start"] + 1, c["end"] - c["start"]), measured)
+        found = let(F.substring(text, c["start"] + 1, c["end"] - c["start"]), measured)
+        return F.transform(found, lambda w: F.struct((c["start"] + w["from"]).alias("start"), F.lit(kind).alias("kind"), (c["start"] + w["to"]).alias("end")))
 
     candidates = F.coalesce(spans(text, CANDIDATE, kind, lambda m: threshold(m).isNotNull()), F.array().cast(SPAN))
-    clear = F.filter(F.transform(candidates, parts), lambda h: h["ok"] & ~F.exists(base, lambda b: (b["start"] < h["end"]) & (h["start"] < b["end"])))
-    return F.transform(clear, lambda h: F.struct(h["start"].alias("start"), F.lit(kind).alias("kind"), h["end"].alias("end")))
+    return F.flatten(F.transform(candidates, parts))
 
 
 KINDS = ("assign", "access", "hex", "entropy")
@@ -122,7 +152,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with `base_spans` and `entropy_spans`: arrays of (start, kind number, end) in code points, end exclusive.
 
     Base kinds are assign (a value of 12 characters or more), access and hex; entropy spans never replace one.
-    Null and empty texts have no spans. Every row is scanned alike and repeated rows give equal spans; columns
+    An entropy span is the union of overlapping windows of high entropy that touch no base span. Null and empty
+    texts have no spans. The work grows with a text's length, however long its candidates are. Every row is scanned alike and repeated rows give equal spans; columns
     of `docs` named base_spans or entropy_spans are replaced, others kept.
     """
     body = F.coalesce(F.col(text), F.lit(""))

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 from bookflow.llm import secrets
 from tests.llm.helpers import ODD, documents
@@ -31,11 +32,15 @@ def brute_windows(text, base):
         low = next((x for _, p, x in secrets.CLASSES if re.search(p, s)), None)
         if low is None:
             continue
-        hits = [i for i in range(len(s) - secrets.WINDOW + 1) if entropy(s[i : i + secrets.WINDOW]) >= low - 1e-12]
-        if hits:
-            a, b = m.start() + hits[0], m.start() + hits[-1] + secrets.WINDOW
-            if not any(x < b and a < y for x, _, y in base):
-                out.append((a, 3, b))
+        runs = []
+        for i in range(m.start(), m.end() - secrets.WINDOW + 1):
+            j = i + secrets.WINDOW
+            if entropy(text[i:j]) >= low - 1e-9 and not any(x < j and i < y for x, _, y in base):
+                if runs and i <= runs[-1][1]:
+                    runs[-1][1] = j
+                else:
+                    runs.append([i, j])
+        out += [(a, 3, b) for a, b in runs]
     return out
 
 
@@ -68,6 +73,8 @@ def test_hard_cases(spark):
     for n in (19, 20, 21, 40, 300):
         texts += ["".join(rnd.choice(b64) for _ in range(n)) for _ in range(6)]
         texts += ["".join(rnd.choice("0123456789abcdef") for _ in range(n)) for _ in range(3)] + ["".join(rnd.choice("0123456789ABCDEF") for _ in range(n)) for _ in range(3)]
+        texts += ["".join(rnd.choice(b64[:52]) for _ in range(n)), "-".join("".join(rnd.choice(b64[26:62]) for _ in range(7)) for _ in range(n // 8 + 1))]
+        texts += ["".join(rnd.choice(b64) for _ in range(n)) + "deadbeef" * 3 + "G" + "".join(rnd.choice(b64) for _ in range(n))]
         texts += ["aZ1" * (n // 3) + "".join(rnd.choice(b64) for _ in range(n)), "A1" * n]
     for _ in range(300):
         texts.append("".join(rnd.choice(["token", "=", " ", ":", "'", "AKIA", "0123456789ab", "cafe", "X9", "password", "é", "\n", "api_key"]) for _ in range(rnd.randint(1, 25))))
@@ -78,3 +85,19 @@ def test_odd_rows(spark):
     check(spark, ODD)
     assert secrets.scan(documents(spark, ODD)).count() == len(ODD)
     assert secrets.scan(documents(spark, [(1, "a")]).filter("doc_id > 1")).count() == 0
+
+
+def test_long_candidates(spark):
+    """The work grows with the length of a candidate, whatever its letters are."""
+    rnd = random.Random(9)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    secrets.scan(documents(spark, [(1, "x" * 30)])).collect()
+    for n, most in ((100_000, 20), (1_000_000, 90)):
+        texts = ["".join(rnd.choices(b64, k=n)), "a" * n + "1", "ab/" * (n // 3) + "1", "12-" * (n // 3) + "x"]
+        began = time.time()
+        rows = secrets.scan(documents(spark, list(enumerate(texts)))).select("doc_id", "text", "base_spans", "entropy_spans").collect()
+        assert time.time() - began < most
+        if n < 200_000:
+            for r in rows:
+                assert [tuple(s) for s in r.entropy_spans] == brute_windows(r.text, brute(r.text))
+        assert [len(r.entropy_spans) > 0 for r in sorted(rows, key=lambda r: r.doc_id)] == [True, False, False, False]
