@@ -28,28 +28,42 @@ AROUND_NAMES = re.compile(
     re.IGNORECASE,
 )
 INSIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:article\w*|main|content|entry|post|story|body|text)(?=$|[\s_-])", re.IGNORECASE)
+#: Class names that say what an element has, lacks or is about, not what it is.
+ASIDE_NAMES = re.compile(r"(?i)(?:has|have|with|no|not|without|is|show|hide|tag|category|format|status|type)-.*|.*-(?:fixed|sticky|open|opened|closed|visible|enabled|disabled|active|collapsed|loaded)")
+READERS = re.compile(r"(?i)(?:^|[\s_-])(?:comments?|reply|replies|teasers?|related|cards?)(?=$|[\s_-])")
 SPACES = re.compile(r"\s+")
 
 #: What the tree sees of a block: its words and link density, those of the blocks before and after, and its place:
-#: in a part around the text (menu, footer, ...), inside a marked article, or beside the article that the page marks.
+#: in a part around the text (menu, footer, ...); in an article (2) or in a part that is named like one (1); or
+#: beside the article that the page marks.
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "around", "inside", "beside", "item", "heading")
-#: The order in which the tree tries them; of equally good splits the first is taken, so place goes before size.
-ORDER = (6, 8, 7, 1, 0, 3, 5, 2, 4, 9, 10)
+#: The order in which the tree tries them; of equally good splits the first is taken, so place goes before density and size.
+ORDER = (6, 8, 7, 1, 3, 5, 0, 2, 4, 9, 10)
 
 # A small labelled table, as seen on common pages: (FEATURES..., 1 if main text).
 LABELLED = (
     # paragraphs of an article
-    (80, 0.0, 60, 0.0, 70, 0.0, 0, 1, 0, 0, 0, 1), (45, 0.1, 9, 0.0, 70, 0.0, 0, 1, 0, 0, 0, 1), (3, 0.0, 80, 0.0, 66, 0.0, 0, 1, 0, 0, 0, 1),
-    (1, 0.0, 1, 0.0, 90, 0.1, 0, 1, 0, 0, 0, 1), (1, 0.0, 30, 0.0, 12, 0.0, 0, 1, 0, 0, 0, 1), (12, 1.0, 55, 0.0, 61, 0.0, 0, 1, 0, 0, 0, 1),
-    (2, 0.5, 40, 0.0, 33, 0.0, 0, 1, 0, 0, 0, 1), (4, 1.0, 3, 1.0, 2, 1.0, 0, 1, 0, 1, 0, 1), (20, 0.9, 2, 0.0, 8, 0.0, 0, 1, 0, 0, 0, 1), (3, 1.0, 5, 0.0, 6, 0.0, 0, 1, 0, 0, 0, 1), (9, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 0, 0, 1), (25, 0.2, 6, 1.0, 7, 1.0, 0, 1, 0, 0, 0, 1),
+    (80, 0.0, 60, 0.0, 70, 0.0, 0, 2, 0, 0, 0, 1), (45, 0.1, 9, 0.0, 70, 0.0, 0, 2, 0, 0, 0, 1), (3, 0.0, 80, 0.0, 66, 0.0, 0, 2, 0, 0, 0, 1),
+    (1, 0.0, 1, 0.0, 90, 0.1, 0, 2, 0, 0, 0, 1), (1, 0.0, 30, 0.0, 12, 0.0, 0, 2, 0, 0, 0, 1), (12, 1.0, 55, 0.0, 61, 0.0, 0, 2, 0, 0, 0, 1),
+    (2, 0.5, 40, 0.0, 33, 0.0, 0, 2, 0, 0, 0, 1), (4, 1.0, 3, 1.0, 2, 1.0, 0, 2, 0, 1, 0, 1), (20, 0.9, 2, 0.0, 8, 0.0, 0, 2, 0, 0, 0, 1), (3, 1.0, 5, 0.0, 6, 0.0, 0, 2, 0, 0, 0, 1), (9, 0.0, 0, 0.0, 0, 0.0, 0, 2, 0, 0, 0, 1), (25, 0.2, 6, 1.0, 7, 1.0, 0, 2, 0, 0, 0, 1),
+    # in an article lists of links are its sources and contents
+    (4, 1.0, 60, 0.0, 3, 1.0, 0, 2, 0, 1, 0, 1), (2, 1.0, 3, 1.0, 4, 1.0, 0, 2, 0, 1, 0, 1), (6, 1.0, 5, 1.0, 41, 0.0, 0, 2, 0, 1, 0, 1),
+    (9, 1.0, 12, 0.9, 8, 1.0, 0, 2, 0, 0, 0, 1), (3, 0.8, 70, 0.0, 5, 1.0, 0, 2, 0, 0, 0, 1), (5, 0.0, 6, 1.0, 7, 1.0, 0, 2, 0, 0, 1, 1),
+    (7, 1.0, 80, 0.1, 0, 0.0, 0, 2, 0, 0, 0, 1), (1, 1.0, 2, 1.0, 1, 1.0, 0, 2, 0, 1, 0, 1), (3, 1.0, 4, 1.0, 90, 0.0, 0, 2, 0, 0, 0, 1),
+    (5, 1.0, 44, 0.0, 2, 1.0, 0, 2, 0, 1, 0, 1), (3, 1.0, 20, 0.0, 6, 1.0, 0, 2, 0, 1, 0, 1), (2, 1.0, 35, 0.0, 1, 1.0, 0, 2, 0, 0, 0, 1),
+    (30, 0.0, 3, 0.0, 2, 1.0, 0, 2, 0, 0, 0, 1), (12, 0.1, 2, 0.0, 6, 1.0, 0, 2, 0, 0, 0, 1), (4, 0.0, 1, 0.0, 3, 1.0, 0, 2, 0, 0, 0, 1),
+    (8, 0.0, 4, 1.0, 9, 1.0, 0, 2, 0, 0, 0, 1), (2, 0.0, 2, 0.0, 1, 1.0, 0, 2, 0, 1, 0, 1), (5, 0.0, 0, 0.0, 4, 1.0, 0, 2, 0, 0, 1, 1),
+    (1, 0.0, 1, 1.0, 40, 0.0, 0, 2, 0, 0, 1, 1), (6, 0.0, 2, 1.0, 30, 0.0, 0, 2, 0, 0, 1, 1), (3, 0.0, 1, 1.0, 12, 0.0, 0, 2, 0, 0, 0, 1),
+    (5, 0.0, 1, 1.0, 5, 0.0, 0, 2, 0, 0, 0, 1), (2, 0.0, 3, 1.0, 0, 0.0, 0, 2, 0, 0, 0, 1), (4, 0.0, 2, 0.8, 8, 1.0, 0, 2, 0, 1, 0, 1),
+    (3, 0.0, 4, 1.0, 2, 1.0, 0, 2, 0, 0, 0, 1), (6, 0.0, 8, 0.9, 5, 1.0, 0, 2, 0, 0, 1, 1), (2, 0.0, 1, 1.0, 3, 1.0, 0, 2, 0, 1, 0, 1), (7, 0.1, 5, 1.0, 4, 0.8, 0, 2, 0, 0, 0, 1),
     # its headings and lists
-    (7, 0.0, 8, 1.0, 60, 0.0, 0, 1, 0, 0, 1, 1), (5, 0.0, 60, 0.0, 44, 0.0, 0, 1, 0, 0, 1, 1), (9, 1.0, 12, 0.0, 75, 0.0, 0, 1, 0, 0, 1, 1),
-    (6, 0.0, 20, 0.0, 5, 0.0, 0, 1, 0, 1, 0, 1), (14, 0.3, 7, 0.0, 11, 0.0, 0, 1, 0, 1, 0, 1), (2, 0.0, 3, 0.0, 2, 0.0, 0, 1, 0, 1, 0, 1),
+    (7, 0.0, 8, 1.0, 60, 0.0, 0, 2, 0, 0, 1, 1), (5, 0.0, 60, 0.0, 44, 0.0, 0, 2, 0, 0, 1, 1), (9, 1.0, 12, 0.0, 75, 0.0, 0, 2, 0, 0, 1, 1),
+    (6, 0.0, 20, 0.0, 5, 0.0, 0, 2, 0, 1, 0, 1), (14, 0.3, 7, 0.0, 11, 0.0, 0, 2, 0, 1, 0, 1), (2, 0.0, 3, 0.0, 2, 0.0, 0, 2, 0, 1, 0, 1),
     # menus, headers, footers, sidebars, notices, adverts, forms, comments
     (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 1, 0, 0), (2, 1.0, 0, 0.0, 2, 1.0, 1, 0, 0, 1, 0, 0), (8, 0.0, 1, 1.0, 7, 0.0, 1, 0, 0, 0, 0, 0),
     (40, 0.0, 60, 0.0, 6, 0.0, 1, 0, 0, 0, 0, 0), (90, 0.0, 50, 0.0, 0, 0.0, 1, 0, 0, 0, 0, 0), (12, 0.4, 9, 0.0, 0, 0.0, 1, 0, 0, 0, 0, 0),
-    (15, 0.0, 70, 0.0, 55, 0.0, 1, 1, 0, 0, 0, 0), (30, 0.0, 64, 0.0, 20, 0.1, 1, 1, 0, 0, 0, 0), (2, 1.0, 88, 0.0, 2, 1.0, 1, 1, 0, 1, 0, 0),
-    (6, 0.0, 2, 1.0, 7, 0.0, 1, 0, 0, 0, 1, 0), (4, 0.0, 81, 0.0, 30, 0.1, 1, 1, 0, 0, 1, 0), (33, 0.1, 5, 0.0, 41, 0.0, 1, 0, 0, 0, 0, 0),
+    (15, 0.0, 70, 0.0, 55, 0.0, 1, 2, 0, 0, 0, 0), (30, 0.0, 64, 0.0, 20, 0.1, 1, 2, 0, 0, 0, 0), (2, 1.0, 88, 0.0, 2, 1.0, 1, 2, 0, 1, 0, 0),
+    (6, 0.0, 2, 1.0, 7, 0.0, 1, 0, 0, 0, 1, 0), (4, 0.0, 81, 0.0, 30, 0.1, 1, 2, 0, 0, 1, 0), (33, 0.1, 5, 0.0, 41, 0.0, 1, 0, 0, 0, 0, 0),
     (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 1, 0, 0), (10, 0.0, 1, 1.0, 60, 0.0, 1, 0, 0, 0, 0, 0), (70, 0.0, 44, 0.0, 38, 0.0, 1, 0, 0, 0, 0, 0),
     # what stands beside an article that the page marks
     (9, 0.0, 1, 1.0, 8, 0.0, 0, 0, 1, 0, 0, 0), (50, 0.0, 7, 0.0, 12, 0.0, 0, 0, 1, 0, 0, 0), (3, 1.0, 3, 1.0, 3, 1.0, 0, 0, 1, 1, 0, 0),
@@ -57,6 +71,22 @@ LABELLED = (
     (35, 0.0, 48, 0.0, 9, 0.0, 0, 0, 1, 0, 0, 0), (70, 0.1, 20, 0.0, 66, 0.0, 0, 0, 1, 0, 0, 0), (14, 0.0, 85, 0.0, 31, 0.0, 0, 0, 1, 0, 0, 0),
     (27, 0.0, 3, 1.0, 54, 0.0, 0, 0, 1, 0, 0, 0), (6, 0.0, 72, 0.0, 40, 0.0, 0, 0, 1, 0, 1, 0), (19, 0.2, 63, 0.0, 12, 0.3, 0, 0, 1, 1, 0, 0),
     (41, 0.0, 37, 0.0, 58, 0.1, 0, 0, 1, 0, 0, 0), (11, 0.0, 95, 0.0, 0, 0.0, 0, 0, 1, 0, 0, 0), (56, 0.0, 0, 0.0, 30, 0.0, 0, 0, 1, 0, 0, 0),
+    # parts named like a text, which may hold menus too: a link stays where it stands between texts, a run of links goes
+    (80, 0.0, 60, 0.0, 70, 0.0, 0, 1, 0, 0, 0, 1), (45, 0.1, 9, 0.0, 70, 0.0, 0, 1, 0, 0, 0, 1), (3, 0.0, 80, 0.0, 66, 0.0, 0, 1, 0, 0, 0, 1),
+    (1, 0.0, 1, 0.0, 90, 0.1, 0, 1, 0, 0, 0, 1), (12, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 0, 0, 1), (7, 0.0, 0, 0.0, 60, 0.0, 0, 1, 0, 0, 1, 1),
+    (5, 0.0, 60, 0.0, 44, 0.0, 0, 1, 0, 0, 1, 1), (6, 0.0, 20, 0.0, 5, 0.0, 0, 1, 0, 1, 0, 1), (14, 0.3, 7, 0.0, 11, 0.0, 0, 1, 0, 1, 0, 1),
+    (25, 0.2, 6, 1.0, 7, 1.0, 0, 1, 0, 0, 0, 1), (33, 0.4, 50, 0.0, 20, 0.1, 0, 1, 0, 0, 0, 1), (9, 0.0, 4, 1.0, 55, 0.0, 0, 1, 0, 0, 1, 1),
+    (12, 1.0, 55, 0.0, 61, 0.0, 0, 1, 0, 0, 0, 1), (3, 1.0, 40, 0.0, 33, 0.1, 0, 1, 0, 0, 0, 1), (6, 0.9, 20, 0.0, 8, 0.0, 0, 1, 0, 0, 0, 1),
+    (4, 1.0, 9, 0.0, 12, 0.0, 0, 1, 0, 1, 0, 1), (5, 1.0, 70, 0.1, 0, 0.0, 0, 1, 0, 0, 0, 1), (2, 1.0, 15, 0.2, 26, 0.0, 0, 1, 0, 0, 0, 1),
+    (6, 0.0, 1, 1.0, 38, 0.0, 0, 1, 0, 0, 1, 1), (3, 0.0, 2, 1.0, 20, 0.0, 0, 1, 0, 0, 0, 1), (7, 0.0, 4, 1.0, 9, 0.0, 0, 1, 0, 0, 0, 1),
+    (40, 0.0, 3, 1.0, 2, 1.0, 0, 1, 0, 0, 0, 1), (18, 0.0, 2, 0.0, 5, 1.0, 0, 1, 0, 0, 0, 1), (9, 0.0, 4, 0.0, 3, 1.0, 0, 1, 0, 0, 0, 1),
+    (7, 1.0, 80, 0.0, 64, 0.0, 0, 1, 0, 0, 0, 1), (4, 1.0, 92, 0.1, 12, 0.0, 0, 1, 0, 0, 0, 1), (10, 0.8, 66, 0.0, 75, 0.2, 0, 1, 0, 1, 0, 1),
+    (8, 1.0, 71, 0.0, 39, 0.0, 0, 1, 0, 0, 0, 1), (5, 0.9, 63, 0.0, 80, 0.0, 0, 1, 0, 0, 0, 1), (3, 1.0, 85, 0.0, 7, 0.1, 0, 1, 0, 1, 0, 1),
+    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 1, 0, 0), (2, 1.0, 0, 0.0, 2, 1.0, 0, 1, 0, 1, 0, 0), (3, 1.0, 60, 0.0, 4, 1.0, 0, 1, 0, 1, 0, 0),
+    (4, 1.0, 3, 1.0, 52, 0.0, 0, 1, 0, 1, 0, 0), (2, 1.0, 5, 1.0, 0, 0.0, 0, 1, 0, 0, 0, 0), (8, 0.9, 9, 1.0, 7, 0.9, 0, 1, 0, 0, 0, 0),
+    (5, 1.0, 4, 1.0, 6, 0.0, 0, 1, 0, 0, 1, 0), (6, 1.0, 30, 0.0, 5, 1.0, 0, 1, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 44, 0.0, 0, 1, 0, 0, 0, 0),
+    (1, 1.0, 70, 0.0, 1, 1.0, 0, 1, 0, 1, 0, 0), (9, 1.0, 25, 0.1, 8, 1.0, 0, 1, 0, 0, 0, 0), (2, 1.0, 2, 1.0, 18, 0.2, 0, 1, 0, 1, 0, 0),
+    (2, 1.0, 4, 1.0, 60, 0.0, 0, 1, 0, 1, 0, 0), (5, 1.0, 3, 1.0, 77, 0.1, 0, 1, 0, 1, 0, 0), (3, 1.0, 81, 0.0, 2, 1.0, 0, 1, 0, 1, 0, 0),
     # pages that mark no article: long blocks of few links and what is near them
     (60, 0.0, 55, 0.0, 48, 0.1, 0, 0, 0, 0, 0, 1), (25, 0.1, 70, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 1), (40, 0.0, 4, 1.0, 80, 0.0, 0, 0, 0, 0, 0, 1),
     (7, 0.0, 66, 0.0, 59, 0.0, 0, 0, 0, 0, 0, 1), (2, 0.0, 31, 0.0, 72, 0.0, 0, 0, 0, 0, 0, 1), (6, 0.0, 2, 1.0, 85, 0.0, 0, 0, 0, 0, 1, 1),
@@ -68,6 +98,18 @@ LABELLED = (
     (3, 0.0, 44, 0.0, 52, 0.0, 0, 0, 0, 0, 0, 1), (10, 0.1, 38, 0.0, 41, 0.0, 0, 0, 0, 0, 0, 1), (8, 0.0, 29, 0.0, 64, 0.1, 0, 0, 0, 0, 0, 1),
     (3, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 0), (7, 0.0, 2, 1.0, 1, 1.0, 0, 0, 0, 0, 0, 0), (4, 0.0, 5, 0.0, 1, 1.0, 0, 0, 0, 1, 0, 0),
     (60, 0.9, 2, 1.0, 55, 0.0, 0, 0, 0, 0, 0, 0), (28, 0.7, 61, 0.0, 34, 0.0, 0, 0, 0, 0, 0, 0), (5, 1.0, 70, 0.0, 48, 0.0, 0, 0, 0, 1, 0, 0),
+    (40, 0.0, 75, 0.0, 52, 0.0, 0, 0, 0, 0, 0, 1), (22, 0.1, 90, 0.0, 18, 0.0, 0, 0, 0, 0, 0, 1), (3, 0.0, 110, 0.0, 64, 0.0, 0, 0, 0, 0, 0, 1),
+    (12, 0.0, 68, 0.0, 9, 0.0, 0, 0, 0, 0, 0, 1), (4, 0.0, 83, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1), (9, 0.0, 72, 0.1, 44, 0.0, 0, 0, 0, 1, 0, 1),
+    (3, 1.0, 12, 0.0, 20, 0.0, 0, 0, 0, 0, 0, 0), (6, 0.9, 30, 0.0, 8, 0.0, 0, 0, 0, 0, 0, 0), (2, 1.0, 9, 0.0, 14, 0.1, 0, 0, 0, 1, 0, 0),
+    (8, 1.0, 44, 0.0, 33, 0.0, 0, 0, 0, 0, 0, 0), (4, 0.8, 18, 0.0, 52, 0.0, 0, 0, 0, 0, 0, 0), (11, 1.0, 88, 0.0, 70, 0.0, 0, 0, 0, 0, 0, 0),
+    (4, 0.0, 1, 1.0, 70, 0.0, 0, 0, 0, 0, 1, 1), (8, 0.0, 3, 1.0, 95, 0.0, 0, 0, 0, 0, 1, 1), (5, 0.0, 4, 1.0, 60, 0.1, 0, 0, 0, 0, 1, 1),
+    (5, 1.0, 2, 1.0, 66, 0.0, 0, 0, 0, 1, 0, 0), (3, 1.0, 1, 1.0, 91, 0.0, 0, 0, 0, 0, 0, 0), (8, 1.0, 6, 1.0, 58, 0.1, 0, 0, 0, 0, 0, 0),
+    (70, 0.0, 3, 1.0, 4, 1.0, 0, 0, 0, 0, 0, 1), (55, 0.1, 2, 1.0, 1, 1.0, 0, 0, 0, 0, 0, 1), (110, 0.0, 5, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 1), (30, 0.0, 4, 1.0, 3, 0.9, 0, 0, 0, 0, 0, 1),
+    (3, 0.0, 1, 1.0, 40, 0.0, 0, 0, 0, 0, 1, 1), (6, 0.0, 2, 1.0, 35, 0.0, 0, 0, 0, 0, 1, 1), (2, 0.0, 1, 1.0, 28, 0.0, 0, 0, 0, 0, 1, 1),
+    # there the neighbours tell the last line of a text from the heading of a list of links
+    (6, 0.0, 5, 1.0, 40, 0.9, 0, 0, 0, 0, 0, 0), (5, 0.0, 3, 1.0, 28, 0.8, 0, 0, 0, 0, 1, 0), (7, 0.1, 2, 1.0, 33, 1.0, 0, 0, 0, 0, 0, 0),
+    (4, 0.0, 6, 0.9, 50, 0.9, 0, 0, 0, 0, 1, 0), (6, 0.0, 60, 0.0, 40, 0.9, 0, 0, 0, 0, 0, 1), (8, 0.0, 45, 0.0, 25, 1.0, 0, 0, 0, 0, 0, 1),
+    (5, 0.0, 70, 0.1, 30, 0.8, 0, 0, 0, 0, 0, 1), (4, 0.0, 52, 0.0, 45, 1.0, 0, 0, 0, 0, 0, 1), (7, 0.0, 36, 0.0, 2, 1.0, 0, 0, 0, 0, 0, 1),
     (12, 1.0, 50, 0.0, 3, 1.0, 0, 0, 0, 1, 0, 0), (4, 1.0, 3, 1.0, 45, 0.0, 0, 0, 0, 0, 1, 0), (2, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 1, 0, 0),
 )
 
@@ -93,8 +135,16 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> tuple:
 
 
 def train(rows=LABELLED) -> tuple:
-    """The tree that `rows` teach."""
+    """The tree that `rows` teach, and that each block of theirs would be no main text in a part around it or beside the article."""
     data = np.array(rows, float)
+    moved = []
+    for place in ("around", "beside"):
+        other = data.copy()
+        other[:, FEATURES.index(place)], other[:, -1] = 1, 0
+        if place == "beside":
+            other[:, FEATURES.index("inside")] = 0
+        moved.append(other)
+    data = np.concatenate([data, *moved])
     return grow(data[:, :-1], data[:, -1])
 
 
@@ -104,28 +154,42 @@ def decide(tree: tuple, x: tuple) -> int:
     return tree[0]
 
 
+def used(tree: tuple) -> set[str]:
+    """The features that a tree asks for."""
+    return {FEATURES[tree[0]]} | used(tree[2]) | used(tree[3]) if len(tree) > 1 else set()
+
+
 @dataclass
 class Block:
     text: str
     words: int
     links: float
     around: int
+    named: tuple[int, ...]
     inside: int
     item: int
     heading: int
     form: int
 
+    @property
+    def weight(self) -> int:
+        """Its words, if they are text and no links."""
+        return self.words if self.links <= 0.5 else 0
+
 
 @dataclass
 class _Open:
-    tag: str
-    around: int
-    inside: int
-    hidden: int
-    item: int
-    heading: int
-    link: int
-    form: int
+    tag: str = ""
+    around: int = 0
+    named: tuple[int, ...] = ()
+    inside: int = 0
+    article: int = 0
+    head: int = 0
+    hidden: int = 0
+    item: int = 0
+    heading: int = 0
+    link: int = 0
+    form: int = 0
 
 
 @dataclass
@@ -135,13 +199,19 @@ class _Piece:
 
 
 class Flat(HTMLParser):
-    """The text blocks of a page in order; unclosed and stray tags are borne."""
+    """The text blocks of a page in order; unclosed and stray tags are borne.
+
+    Parts that are around the text by their element are told apart from parts that only have such a name, each
+    with a number: `titled` has the numbers of those in which an article, a main part or a first heading begins.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.stack = [_Open("", 0, 0, 0, 0, 0, 0, 0)]
+        self.stack = [_Open()]
         self.piece = _Piece()
+        self.names = 0
+        self.titled: set[int] = set()
 
     def cut(self) -> None:
         """End the block at hand."""
@@ -151,7 +221,8 @@ class Flat(HTMLParser):
         if text:
             counts = [(len(p.split()), own) for p, own in zip(self.piece.parts, self.piece.linked, strict=True)]
             n, top = max(1, sum(c for c, _ in counts)), self.stack[-1]
-            self.blocks.append(Block(text, len(text.split(" ")), sum(c for c, own in counts if own) / n, top.around, top.inside, top.item, top.heading, top.form))
+            around = int(top.around or (top.head and not top.heading))
+            self.blocks.append(Block(text, len(text.split(" ")), sum(c for c, own in counts if own) / n, around, top.named, top.inside, top.item, top.heading, top.form))
         self.piece = _Piece()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -164,16 +235,34 @@ class Flat(HTMLParser):
         while tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and self.closes(tag):
             pass
         top = self.stack[-1]
-        names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
+        names = " ".join(x for k, v in attrs if k in ("class", "id", "role") and v for x in v.split() if not ASIDE_NAMES.fullmatch(x))
         style = next((v or "" for k, v in attrs if k == "style"), "").replace(" ", "").lower()
         hidden = tag in HIDDEN_TAGS or "display:none" in style or any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
-        inside = tag in INSIDE_TAGS or (tag in ("div", "section", "td") and bool(names) and bool(INSIDE_NAMES.search(names)))
-        around = tag in AROUND_TAGS or (tag not in ("html", "body", *INSIDE_TAGS) and bool(names) and bool(AROUND_NAMES.search(names)))
-        if tag == "article" and (top.around or (names and re.search(r"(?i)\b(?:comment|reply|teaser|related)", names))):
-            around, inside = True, False
+        inside = 2 if tag == "article" else int(tag == "main" or (tag in ("div", "section", "td") and bool(INSIDE_NAMES.search(names))))
+        around, named = tag in AROUND_TAGS, top.named
+        head = top.head
+        if tag == "article":
+            if READERS.search(names) or top.around:
+                around, inside = True, 0
+        elif tag not in ("html", "body", "main") and AROUND_NAMES.search(names):
+            if top.article and re.search("(?i)header", names):
+                head = 1
+            else:
+                self.names += 1
+                named = (*named, self.names)
+        if tag in ("header", "hgroup") and top.article:
+            around, head = False, 1  # an article's own: its headings are text
+        if tag in ("article", "main", "h1") and not around:
+            self.titled.update(top.named)
         # a form around an article is the page's, not a part of it
         form = 0 if inside else int(tag == "form" or top.form)
-        self.stack.append(_Open(tag, top.around or int(around), top.inside or int(inside and not around), top.hidden or int(hidden), int(tag == "li" or (top.item and tag not in BLOCK_TAGS)), int(re.fullmatch("h[1-6]", tag) is not None or (top.heading and tag not in BLOCK_TAGS)), int(tag == "a" or (top.link and tag not in BLOCK_TAGS)), form))
+        self.stack.append(
+            _Open(
+                tag, int(top.around or around), named, max(top.inside, inside), int(top.article or (tag == "article" and not around)), head, int(top.hidden or hidden),
+                int(tag == "li" or (top.item and tag not in BLOCK_TAGS)), int(re.fullmatch("h[1-6]", tag) is not None or (top.heading and tag not in BLOCK_TAGS)),
+                int(tag == "a" or (top.link and tag not in BLOCK_TAGS)), form,
+            )
+        )
 
     def closes(self, tag: str) -> bool:
         """Whether an element that the start of `tag` ends is open; it is closed."""
@@ -207,30 +296,49 @@ class Flat(HTMLParser):
             self.piece.linked.append(bool(top.link))
 
 
-def flat_blocks(html: str | None) -> list[Block]:
-    """The text blocks of a page; none for null, empty or blank pages."""
-    if not html:
-        return []
+def parsed(html: str | None) -> Flat:
+    """A page's text blocks; none for null, empty or blank pages."""
     parser = Flat()
-    parser.feed(html)
-    parser.close()
-    parser.cut()
-    return parser.blocks
+    if html:
+        parser.feed(html)
+        parser.close()
+        parser.cut()
+    return parser
 
 
 def main_text(html: str | None, tree: tuple) -> str:
-    """The main text of a page. Forms are parts around it, but where nothing would be left: then a form holds the page."""
-    blocks = flat_blocks(html)
-    return chosen(blocks, tree, True) or (chosen(blocks, tree, False) if any(b.form for b in blocks) else "")
+    """The main text of a page.
 
-
-def chosen(blocks: list[Block], tree: tuple, forms: bool) -> str:
-    around = [int(b.around or (forms and b.form)) for b in blocks]
-    marked = any(b.inside and not own for b, own in zip(blocks, around, strict=True))
+    A part with a name of parts around the text is the page's wrapper, whatever its name, if it holds an article,
+    a main part or a first heading and half of the words. Forms are parts around it, too. Where nothing would be
+    left, every part that holds half of the words counts as a wrapper, and then forms as well.
+    """
+    page = parsed(html)
+    held: dict[int, int] = {}
+    for b in page.blocks:
+        for k in b.named:
+            held[k] = held.get(k, 0) + (0 if b.around else b.weight)
+    half = sum(b.weight for b in page.blocks if not b.around) / 2
+    wide = {k for k, n in held.items() if n >= half}
+    for wrappers, forms in ((wide & page.titled, True), (wide, True), (wide, False)):
+        text = chosen(page.blocks, tree, wrappers, forms)
+        if text:
+            return text
+    return ""
+
+
+def chosen(blocks: list[Block], tree: tuple, wrappers: set[int], forms: bool) -> str:
+    around = [int(b.around or (forms and b.form) or any(k not in wrappers for k in b.named)) for b in blocks]
+    weight = [0, 0, 0]  # words outside, in parts named like a text, and in articles
+    for b, own in zip(blocks, around, strict=True):
+        weight[b.inside] += 0 if own else b.weight
+    found = {b.inside for b, own in zip(blocks, around, strict=True) if not own}
+    # what the page marks: articles, unless most of the text is in parts named like one; such a part, if it holds a third
+    mark = 2 if 2 in found and weight[2] >= weight[1] else 1 if 1 in found and 3 * (weight[1] + weight[2]) >= sum(weight) else 0
     out = []
     for i, (b, own) in enumerate(zip(blocks, around, strict=True)):
         before, after = blocks[i - 1] if i else None, blocks[i + 1] if i + 1 < len(blocks) else None
-        x = (b.words, b.links, before.words if before else 0, before.links if before else 0.0, after.words if after else 0, after.links if after else 0.0, own, b.inside, int(marked and not b.inside and not own), b.item, b.heading)
+        x = (b.words, b.links, before.words if before else 0, before.links if before else 0.0, after.words if after else 0, after.links if after else 0.0, own, min(b.inside, mark), int(b.inside < mark and not own), b.item, b.heading)
         if decide(tree, x):
             out.append(b.text)
     return "\n\n".join(out)

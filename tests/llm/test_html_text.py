@@ -14,6 +14,51 @@ def text(page):
 def test_tree_fits_its_table():
     good = sum(html_text.decide(TREE, row[:-1]) == row[-1] for row in html_text.LABELLED)
     assert good >= 0.97 * len(html_text.LABELLED)
+    assert html_text.used(TREE) >= {"words", "links", "links_before", "links_after", "words_before", "around", "inside", "beside"}
+
+
+def test_wrappers_whose_names_tell_of_other_parts():
+    long = " ".join(["word"] * 40)
+    for name in ("with-sidebar", "has-sidebar", "content no-sidebar", "page-header-fixed", "layout sidebar", "post tag-python", "page has-banner", "widget-page"):
+        for body in (f"<article><h1>T</h1><p>{long}</p><p>Short.</p></article>", f"<h1>T</h1><p>{long}</p><p>{long}</p>"):
+            got = text(f"<div class='{name}'><nav><a href=/>Home</a></nav>{body}<div class=ad>Buy it</div></div><footer>by us</footer>")
+            assert got.startswith(f"T\n\n{long}") and "Buy" not in got and "Home" not in got, (name, got)
+    assert text(f"<div class='sidebar'><p>{long}</p></div><article><p>{long} one</p></article>") == f"{long} one"
+    assert text(f"<article><p>Tiny.</p></article><div class='comments'><h2>C</h2><p>{long}</p><p>{long}</p></div>") == "Tiny."
+
+
+def test_an_articles_own_header():
+    page = "<header><h1>Site</h1></header><article><header><h1>Title</h1><p class=meta>By me, today</p></header><p>Body of it.</p><footer>shares</footer></article>"
+    assert text(page) == "Title\n\nBody of it."
+    assert text(page.replace("<article><header>", "<article><div class='entry-header'>").replace("</header><p>B", "</div><p>B")) == "Title\n\nBody of it."
+
+
+def test_links_in_parts_named_like_a_text():
+    long = " ".join(["word"] * 40)
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>Part {i}</a></li>" for i in range(6)) + "</ul>"
+    assert text(f"<div id=content>{menu}<h1>T</h1><p>{long}</p><p><a href=x>A source of it</a></p><p>{long}</p>{menu}</div>") == f"T\n\n{long}\n\nA source of it\n\n{long}"
+    assert text(f"<article><p>{long}</p>{menu}</article>").count("Part") == 6
+
+
+def test_large_and_deep_pages():
+    para = " ".join(["word"] * 30)
+    assert text("<article>" + f"<p>{para}</p>" * 40_000 + "</article>") == "\n\n".join([para] * 40_000)
+    assert text("<div>" * 20_000 + f"<article><p>{para}</p></article>") == para
+
+
+def test_whole_pages_by_a_plain_model():
+    """Random pages of parts whose place is sure: every paragraph of the article and nothing else comes out."""
+    rnd = random.Random(8)
+    some = lambda k: " ".join(rnd.choice(["one", "two", "é", "three"]) for _ in range(rnd.randint(1, k)))
+    around = [lambda: f"<nav><ul><li><a href=/>{some(3)}</a></ul></nav>", lambda: f"<div class='ad'>{some(30)}</div>", lambda: f"<aside><p>{some(40)}</p></aside>", lambda: f"<footer>{some(20)}</footer>", lambda: f"<script>{some(9)}</script>", lambda: f"<form><p>{some(9)}</p></form>", lambda: f"<!-- {some(9)} -->", lambda: f"<section id=comments><p>{some(60)}</p></section>"]
+    for _ in range(200):
+        paras, inner = [], ""
+        for _ in range(rnd.randint(1, 8)):
+            paras.append(some(rnd.choice([2, 60])))
+            tag = rnd.choice(["p", "div", "h2", "li", "blockquote"])
+            inner += f"<{tag}>{paras[-1]}</{tag}>" + (rnd.choice(around)() if rnd.random() < 0.3 else "")
+        page = "".join(rnd.choice(around)() for _ in range(rnd.randint(0, 3))) + f"<article>{inner}</article>" + "".join(rnd.choice(around)() for _ in range(rnd.randint(0, 3)))
+        assert text(f"<html><body>{page}</body></html>") == "\n\n".join(paras), page
 
 
 def test_parts_around_the_article():
