@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, few, lookup, sized, small_batches, table
+from .common import BROADCAST_ROWS, cut, lookup, sized, small_batches, table
 
 #: Words in a shingle, and the least similarity of a link in percent.
 SHINGLE, PERCENT = 5, 80
@@ -19,13 +20,17 @@ SHINGLE, PERCENT = 5, 80
 #: Two documents of similarity s meet in a tree's first nodes with s^FIRST, so that of the pairs at 0.8 fewer
 #: than 2 in 100,000 meet in no tree's first nodes.
 TOKENS, TREES, FIRST = 64, 16, 3
-#: A node of at most so many documents is compared exhaustively; a larger one branches at most DEEPEST times, by
-#: two tokens at the levels WIDE, then by one. The wide levels come first: of the pairs at s that meet in a large
-#: node, 0.92 (s = 0.8) or 0.97 (s = 0.85) stay together on one of its paths at least, were all tokens independent.
-SMALL, WIDE, DEEPEST = 512, (0, 1, 2, 3, 4), 8
+#: A node of at most so many documents is compared exhaustively; a larger one branches at most DEEPEST times, each
+#: time by STEP tokens, on as many paths as keep the number of rows about the same: MOST where its documents are
+#: loosely alike, so that sub-nodes are small, 2 where they are nearly alike.
+SMALL, DEEPEST, STEP, MOST = 512, 6, 3, 4
 #: A large node branches no more, and is compared by its leaders, if half of one in SAMPLE of its members agree with
 #: HEADS of them in as many tokens as a link needs. This only chooses the cheaper way: neither loses a link in a node.
 SAMPLE, HEADS = 16, 4
+#: Trees of the first round. Its components spare later rounds all nodes whose texts are one component already.
+EARLY = 2
+#: A node of more shingles than this counts as large, however few its texts.
+WEIGHT = 2_000_000
 #: Members of a node that is large still, and so nearly all alike, which meet all its blocks.
 LEADERS = 16
 
@@ -134,8 +139,9 @@ def linked(reps: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple
 
 def compare(blocks: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links (u < v) that span what is linked in each block. blocks: (node, rep), each of bounded size; docs: (doc_id, text)."""
-    needed = sized(cut(blocks.select(F.col("rep").alias("doc_id")).distinct()))
-    sets = cut(docs.join(needed, "doc_id", "left_semi").mapInArrow(_sets, "rep long, shingles binary"))
+    needed = sized(cut_ids(blocks.select(F.col("rep").alias("doc_id")).distinct()))
+    with small_batches(docs.sparkSession):
+        sets = cut(docs.join(needed, "doc_id", "left_semi").mapInArrow(_sets, "rep long, shingles binary"))
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
@@ -145,65 +151,138 @@ def compare(blocks: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return blocks.join(sets, "rep").groupBy("node").applyInPandas(link, "u long, v long").distinct()
 
 
+def cut_ids(df: DataFrame) -> DataFrame:
+    """`cut` for what is left of a shuffle of ids: no more tasks and files than four for each core."""
+    return cut(df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(v, u): each vertex of the links (u < v) but the smallest of its component, with that smallest one.
 
-    Large-star and small-star rounds (Kiveris et al., 2014), each written to the shared folder.
+    Large-star and small-star rounds (Kiveris et al., 2014), each written to the shared folder. Links are not
+    dealt by their vertices, of which one may have most: see `lookup`.
     """
-    stars, before = cut(links), None
-    while True:
+    stars, before = cut_ids(links), None
+    n = stars.count()
+    while n:
+        small = 2 * n <= BROADCAST_ROWS
         both = stars.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(stars.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.filter("y > x").join(least, "x").select(F.col("m").alias("u"), F.col("y").alias("v")).distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").filter("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))
-        stars = cut(small.unionByName(low.select(F.col("m").alias("u"), "v")).distinct())
+        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"), F.count("*").alias("n"))
+        up = both.filter("y > x")
+        met = up.join(F.broadcast(least), "x") if small else lookup(cut(up), cut(least), "x", "n")
+        large = cut_ids(met.select(F.col("m").alias("u"), F.col("y").alias("v")).distinct())
+        low = large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
+        met = large.join(F.broadcast(low), "v") if small else lookup(large, cut(low), "v", "n")
+        # the star that `low` makes has its rows in `met` too: where u is the least of its v, the link is u - v itself
+        own = F.col("u") == F.col("m")
+        stars = cut_ids(met.select("m", F.when(own, F.col("v")).otherwise(F.col("u")).alias("v")).select(F.col("m").alias("u"), "v").distinct())
         now = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
-            return stars
-        before = now
-
-
-def alike(rows: DataFrame, percent: int) -> DataFrame:
-    """(node): the nodes whose members mostly agree in `percent` of the tokens. rows: (node, rep, tokens) of large nodes."""
-    some = cut(rows.filter(F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(SAMPLE)) == 0))
-    heads = some.groupBy("node", F.pmod(F.xxhash64("rep"), F.lit(HEADS)).alias("slot")).agg(F.min_by("tokens", "rep").alias("head")).select("node", "head")
-    same = F.aggregate(F.zip_with("tokens", "head", lambda a, b: (a == b).cast("int")), F.lit(0), lambda x, y: x + y)
-    each = some.join(sized(cut(heads)), "node").groupBy("node", "rep").agg(F.avg(same).alias("same"))
-    return each.groupBy("node").agg(F.avg((100 * F.col("same") >= percent * TOKENS).cast("int")).alias("share")).filter("share >= 0.5").select("node")
+            break
+        before, n = now, now[0]
+    return stars.select("u", "v")
 
 
-def nodes(classes: DataFrame, small: int = SMALL, deepest: int = DEEPEST, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """The trees' leaves: (node, rep) of all nodes of 2 to `small` documents, and of larger ones that branch no more.
+def agreement(rows: DataFrame, percent: int) -> DataFrame:
+    """(node, share, mean): the share of a sample of each node's members that agree in `percent` of the tokens with its heads, and the mean agreement.
 
-    classes: (rep, tokens). A node's documents branch by tokens that the node chooses; equal nodes of different
-    trees are taken once. Nodes of documents that are mostly alike, or `deepest` levels down, stay large.
+    rows: (node, rep, tokens) of large nodes.
     """
-    rows = classes.select("rep", "tokens", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    some = cut(rows.filter(F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(SAMPLE)) == 0).select("node", "rep", "tokens"))
+    slot = F.pmod(F.xxhash64("rep"), F.lit(HEADS))
+    heads = some.groupBy("node").agg(*[F.min_by("tokens", F.when(slot == k, F.col("rep"))).alias(f"h{k}") for k in range(HEADS)])
+    heads = cut_ids(heads.select("node", F.array_compact(F.array(*[f"h{k}" for k in range(HEADS)])).alias("heads")))
+    agree = lambda head: F.aggregate(F.zip_with("tokens", head, lambda a, b: (a == b).cast("int")), F.lit(0), lambda x, y: x + y)
+    same = F.aggregate(F.transform("heads", agree), F.lit(0), lambda x, y: x + y) / (F.size("heads") * TOKENS)
+    each = some.join(sized(heads), "node").select("node", same.alias("same"))
+    return each.groupBy("node").agg(F.avg((100 * F.col("same") >= percent).cast("int")).alias("share"), F.avg("same").alias("mean"))
+
+
+def nodes(classes: DataFrame, small: int = SMALL, deepest: int = DEEPEST, percent: int = PERCENT, trees: range = range(TREES)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The trees' leaves: (node, rep, n_shingles) of all nodes of 2 to `small` documents, and of larger ones that branch no more; and ruled nodes.
+
+    classes: (rep, comp, n_shingles, tokens). A node's documents branch by tokens that the node chooses. Nodes of
+    one component (comp) have nothing to find and are left out, wherever they come up; equal nodes of different
+    trees are taken once. Nodes of documents that are mostly alike, or `deepest` levels down, stay large. A large
+    node is ruled, and branches no more, if all but `small` of its documents are of one component:
+    those rows also have `comp` and `top`, the component that rules.
+    """
+    rows = classes.select("rep", "comp", "n_shingles", "tokens", F.explode(F.array(*map(F.lit, trees))).alias("tree"))
     pick = [F.get("tokens", (F.col("tree") * FIRST + k) % TOKENS) for k in range(FIRST)]
-    rows = rows.select("rep", "tokens", F.xxhash64("tree", *pick).alias("node"))
-    leaves = rest = None
+    rows = rows.withColumn("node", F.xxhash64("tree", *pick)).drop("tree")
+    leaves, rest, ruled = [], [], []
+    one = lambda parts: reduce(DataFrame.unionByName, parts)
     for level in range(deepest + 1):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("all"))
-        sizes = sizes.filter("n > 1").groupBy("n", "all").agg(F.min("node").alias("node"))
-        sizes = cut(sizes.select("node", "n"))
-        kept = rows.select("node", "rep").join(sizes.filter(F.col("n") <= small).select("node"), "node")
-        leaves = kept if leaves is None else leaves.unionByName(kept)
-        large = sizes.filter(F.col("n") > small).select("node")
+        own = rows.groupBy("node", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.bit_xor(F.xxhash64("rep")).alias("all"))
+        sizes = own.groupBy("node").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.bit_xor("all").alias("all"), F.max(F.struct("n", "comp")).alias("first"), F.count("*").alias("comps"))
+        sizes = sizes.filter("comps > 1").groupBy("n", "all", "weight").agg(F.min("node").alias("node"), F.max("first").alias("first"))
+        fits = (F.col("n") <= small) & ((F.col("weight") <= WEIGHT) | (F.col("n") == 2))
+        kind = F.when(fits, "leaf").when(F.col("n") - F.col("first.n") <= small, "ruled").otherwise("large")
+        sizes = cut_ids(sizes.select("node", kind.alias("kind"), F.col("first.comp").alias("top")))
+        leaves.append(rows.select("node", "rep", "n_shingles").join(sizes.filter("kind = 'leaf'").select("node"), "node"))
+        ruled.append(rows.select("node", "rep", "n_shingles", "comp").join(sizes.filter("kind = 'ruled'").select("node", "top"), "node"))
+        large = sizes.filter("kind = 'large'").select("node")
         if level == deepest or not large.take(1):
-            last = rows.select("node", "rep").join(sized(large), "node")
-            return leaves, last if rest is None else rest.unionByName(last)
+            rest.append(rows.select("node", "rep", "n_shingles").join(sized(large), "node"))
+            return one(leaves), one(rest), one(ruled)
         rows = rows.join(sized(large), "node")
-        done = sized(cut(alike(rows, percent)))
-        ended = rows.select("node", "rep").join(done, "node")
-        rest = ended if rest is None else rest.unionByName(ended)
-        wide = 2 if level in WIDE else 1
-        rows = rows.join(done, "node", "left_anti").withColumn("branch", F.explode(F.sequence(F.lit(1), F.lit(wide))))
-        token = F.get("tokens", F.pmod(F.xxhash64("node", "branch", F.lit(level)), F.lit(TOKENS)).cast("int"))
-        rows = cut(rows.select("rep", "tokens", F.xxhash64("node", "branch", token).alias("node")))
+        rows = rows.join(sized(cut_ids(agreement(rows, percent))), "node", "left")
+        rest.append(rows.filter("share >= 0.5").select("node", "rep", "n_shingles"))
+        paths = F.least(F.greatest(F.round(1.25 / F.pow("mean", F.lit(STEP))), F.lit(2)), F.lit(MOST)).cast("int")
+        rows = rows.filter("share IS NULL OR share < 0.5").withColumn("path", F.explode(F.sequence(F.lit(1), F.coalesce(paths, F.lit(2)))))
+        chosen = [F.get("tokens", F.pmod(F.xxhash64("node", "path", F.lit(level * STEP + k)), F.lit(TOKENS)).cast("int")) for k in range(STEP)]
+        rows = cut(rows.withColumn("node", F.xxhash64("node", "path", *chosen)).drop("path", "share", "mean"))
     raise AssertionError
 
 
+def parts_of(n: Column, weight: Column, small: int) -> Column:
+    """Into how many parts of half a node, in texts and in shingles, so many documents go."""
+    return F.ceil(F.greatest(n / max(1, (small - LEADERS) // 2), weight / (WEIGHT // 2))).cast("int")
+
+
+def strays_with_all(placed: DataFrame, strays: DataFrame, small: int) -> DataFrame:
+    """Blocks (node, rep) in which each of a node's strays meets all its members. placed: (node, rep, part, parts) and strays: (node, rep, n_shingles, parts)."""
+    groups = sized(cut_ids(strays.groupBy("node").agg(parts_of(F.count("*"), F.sum("n_shingles"), small).alias("groups"))))
+    every = placed.join(groups, "node").select("node", "rep", "part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
+    odd = strays.join(groups, "node").withColumn("group", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("groups")).cast("int"))
+    odd = odd.select("node", "rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "group")
+    return cut_ids(every.unionByName(odd).distinct().select(F.xxhash64("node", "part", "group").alias("node"), "rep"))
+
+
+def in_parts(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """`members` with the number of parts of their node, and the part that each is in."""
+    part = F.pmod(F.xxhash64("rep", "node"), F.col("parts")).cast("int")
+    return cut(members.join(sized(parts), "node").withColumn("part", part))
+
+
+def joined_by(classes: DataFrame, known: DataFrame, texts: DataFrame, trees: range, percent: int, small: int, deepest: int) -> DataFrame:
+    """The components (v, u) of the links `known` (u < v) and of those that `trees` find."""
+    comps = classes.join(sized(known.select(F.col("v").alias("rep"), "u")), "rep", "left").withColumn("comp", F.coalesce("u", "rep")).drop("u")
+    leaves, rest, ruled = nodes(cut(comps), small, deepest, percent, trees)
+    blocks, ruled, rest = leaves.select("node", "rep"), cut(ruled), cut(rest)
+    if ruled.take(1):
+        counts = cut_ids(ruled.groupBy("node").agg(parts_of(F.count("*"), F.sum("n_shingles"), small).alias("parts")))
+        placed = in_parts(ruled, counts)
+        blocks = blocks.unionByName(strays_with_all(placed, placed.filter("comp <> top"), small))
+    links = known.select("u", "v").unionByName(compare(cut(blocks), texts, percent))
+    if not rest.take(1):
+        return components(links)
+    slots = rest.groupBy("node", F.pmod(F.xxhash64("rep"), F.lit(LEADERS)).alias("slot")).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.min("rep").alias("lead"))
+    counted = cut_ids(slots.groupBy("node").agg(parts_of(F.sum("n"), F.sum("weight"), small).alias("parts"), F.array_sort(F.collect_list("lead")).alias("leaders")))
+    placed = in_parts(rest, counted.select("node", "parts"))
+    leads = counted.select("node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.explode("leaders").alias("rep"))
+    blocks = placed.select("node", "part", "rep").unionByName(leads.select("node", "part", "rep")).distinct()
+    links = cut_ids(links.unionByName(compare(cut_ids(blocks.select(F.xxhash64("node", "part").alias("node"), "rep")), texts, percent)))
+    joined = components(links)
+    # strays: members outside the component of their node's first leader
+    named = placed.join(sized(joined.select(F.col("v").alias("rep"), "u")), "rep", "left").withColumn("comp", F.coalesce("u", "rep")).drop("u")
+    heads = counted.select("node", F.element_at("leaders", 1).alias("v")).join(joined, "v", "left").select("node", F.coalesce("u", "v").alias("head"))
+    strays = cut(named.join(sized(cut(heads)), "node").filter("comp <> head").select("node", "rep", "n_shingles", "parts"))
+    if not strays.take(1):
+        return joined
+    return components(joined.select("u", "v").unionByName(compare(strays_with_all(placed, strays, small), texts, percent)))
+
+
 def link_documents(docs: DataFrame, percent: int = PERCENT, text: str = "text", key: str = "doc_id", small: int = SMALL, deepest: int = DEEPEST) -> DataFrame:
     """One row for each row of `docs`: key, n_shingles, component_id and kept.
 
@@ -213,48 +292,26 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, text: str = "text",
     are one vertex, with all their links. Other columns are ignored.
 
     Equal sets are one class from the start. The classes' minwise tokens are branched by chosen paths in TREES
-    trees until nodes are small; a node is compared exhaustively on full sets. Nodes that stay large hold texts
-    that are mostly alike or agree in all tokens chosen: they are compared in blocks which all hold the node's leaders, and then
-    every member outside the leaders' component against the whole node, so that no link is lost.
+    trees until nodes are small; a node is compared exhaustively on full sets. The first EARLY trees make
+    components; the others only look into nodes that hold more than one, and where one of them rules a large node its
+    strays meet all its members. Nodes that stay large hold texts that
+    are mostly alike or agree in all tokens chosen: they are compared in blocks which all hold the node's leaders,
+    and then every member outside the leaders' component against the whole node, so that no link between
+    components is lost. Blocks are bounded in texts and, but for single texts, in shingles.
     """
-    small_batches(docs.sparkSession)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    sketched = cut(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, fp binary, tokens array<int>"))
+    with small_batches(docs.sparkSession):
+        sketched = cut(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, fp binary, tokens array<int>"))
     able = sketched.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = cut(able.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("tokens").alias("tokens")))
+    classes = cut(able.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")))
     # a key that several texts share links their classes
     keyed = able.select("doc_id", "fp").distinct().groupBy("doc_id").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
-    shared = keyed.select(F.explode("fps").alias("fp"), "doc_id").join(classes.select("fp", "rep"), "fp").filter("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
+    joined = keyed.select(F.explode("fps").alias("fp"), "doc_id").join(classes.select("fp", "rep"), "fp").filter("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
+    joined = components(joined)
+    for trees in (range(EARLY), range(EARLY, TREES)):
+        joined = joined_by(classes.select("rep", "n_shingles", "tokens"), joined, texts, trees, percent, small, deepest)
 
-    leaves, rest = nodes(classes, small, deepest, percent)
-    links = compare(cut(leaves), texts, percent).unionByName(shared)
-    rest = cut(rest)
-    if not rest.take(1):
-        joined = components(links)
-    else:
-        half = max(1, (small - LEADERS) // 2)
-        slots = rest.groupBy("node", F.pmod(F.xxhash64("rep"), F.lit(LEADERS)).alias("slot")).agg(F.count("*").alias("n"), F.min("rep").alias("lead"))
-        counted = cut(slots.groupBy("node").agg(F.ceil(F.sum("n") / half).cast("int").alias("parts"), F.array_sort(F.collect_list("lead")).alias("leaders")))
-        part = lambda n: F.pmod(F.xxhash64("rep", "node"), F.col(n)).cast("int")
-        placed = cut(rest.join(counted.select("node", "parts"), "node").withColumn("part", part("parts")))
-        leads = counted.select("node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.explode("leaders").alias("rep"))
-        blocks = placed.select("node", "part", "rep").unionByName(leads.select("node", "part", "rep")).distinct()
-        links = cut(links.unionByName(compare(cut(blocks.select(F.xxhash64("node", "part").alias("node"), "rep")), texts, percent)))
-        joined = components(links)
-        # strays: members outside the component of their node's first leader
-        named = placed.join(joined.select(F.col("v").alias("rep"), "u"), "rep", "left").withColumn("comp", F.coalesce("u", "rep")).drop("u")
-        heads = counted.select("node", F.element_at("leaders", 1).alias("v")).join(joined, "v", "left").select("node", F.coalesce("u", "v").alias("head"))
-        strays = cut(named.join(heads, "node").filter("comp <> head").select("node", "rep", F.pmod(F.xxhash64("rep"), F.lit(1 << 30)).alias("h")))
-        if strays.take(1):
-            groups = cut(strays.groupBy("node").agg(F.ceil(F.count("*") / half).cast("int").alias("groups")))
-            strays = strays.join(groups, "node").withColumn("group", F.pmod("h", "groups").cast("int"))
-            parts = counted.select("node", "parts").join(groups, "node")
-            every = placed.join(groups, "node").select("node", "rep", "part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
-            odd = strays.join(parts.select("node", "parts"), "node").select("node", "rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "group")
-            blocks = every.unionByName(odd).distinct().select(F.xxhash64("node", "part", "group").alias("node"), "rep")
-            joined = components(links.unionByName(compare(cut(blocks), texts, percent)))
-
-    found = classes.join(joined.select(F.col("v").alias("rep"), "u"), "rep", "left")
+    found = classes.join(sized(joined.select(F.col("v").alias("rep"), "u")), "rep", "left")
     found = cut(found.select("fp", F.coalesce("u", "rep").alias("component"), "members", "rep").filter("members > 1 OR component <> rep").drop("rep"))
     labelled = lookup(sketched.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("fp")).alias("fp")), found, "fp", "members")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -264,7 +321,7 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, text: str = "text",
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that stay: of each component those of its smallest doc_id, and rows without a doc_id."""
     gone = cut(link_documents(docs, **options).filter("NOT kept").select("doc_id").distinct())
-    return docs.join(F.broadcast(gone) if few(gone) else gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(sized(gone), "doc_id", "left_anti").select(docs.columns)
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
