@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bookflow.functions.text import BRANDS, in_order, preferred_link
+from bookflow.operators.scan import MOST, numbered, same, scan
 
 # The label whose line an infobox leaves out.
 UNLABELLED = "KADOKAWA 単行本"
@@ -32,12 +33,17 @@ def log_rollup(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return logs.groupBy(*keys).agg(F.count("*").alias("n_logs"), newly.alias("newly"), F.min_by("total", "ord").alias("total"), F.max_by("action", "ord").alias("last_action"), F.max_by("ts_ms", "ord").alias("last_ts_ms"))
 
 
-def next_log(logs: DataFrame, books: DataFrame, now_ms: int, force: bool = False) -> DataFrame:
-    """The log row to add before a search, if any: `post-first` after one log; `post-append` when forced, all books were searched and 12 hours have gone."""
-    rolled = log_rollup(logs).crossJoin(F.broadcast(books.agg(F.coalesce(F.bool_and(F.col("page").isNotNull()), F.lit(True)).alias("searched"))))
-    again = F.lit(force) & F.col("searched") & (F.lit(now_ms) - F.col("last_ts_ms") > FAR_MS)
+def next_log(logs: DataFrame, books: DataFrame, now_ms: int, force: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The log row to add before a search, if any: `post-first` after one log; `post-append` when forced, all books were searched and 12 hours have gone.
+
+    With `keys` (such as the month) each key's logs and books count by themselves; a key without books has all of them searched.
+    """
+    state = books.groupBy(*keys).agg(F.bool_and(F.col("page").isNotNull()).alias("searched"))
+    rolled = log_rollup(logs, keys)
+    rolled = rolled.join(state, list(keys), "left") if keys else rolled.crossJoin(F.broadcast(state))  # one row
+    again = F.lit(force) & F.coalesce("searched", F.lit(True)) & (F.lit(now_ms) - F.col("last_ts_ms") > FAR_MS)
     action = F.when(F.col("n_logs") == 1, F.lit("post-first")).when(again, F.lit("post-append"))
-    return rolled.select(F.col("n_logs").cast("int").alias("ord"), action.alias("action"), F.lit(now_ms).alias("ts_ms"), F.lit(None).cast("long").alias("total"), F.lit(0).cast("long").alias("increment")).filter("action IS NOT NULL")
+    return rolled.select(*keys, F.col("n_logs").cast("int").alias("ord"), action.alias("action"), F.lit(now_ms).alias("ts_ms"), F.lit(None).cast("long").alias("total"), F.lit(0).cast("long").alias("increment")).filter("action IS NOT NULL")
 
 
 def completeness(rows: DataFrame, done: Column, keys: tuple[str, ...] = (), what: Column | None = None) -> DataFrame:
@@ -47,20 +53,23 @@ def completeness(rows: DataFrame, done: Column, keys: tuple[str, ...] = (), what
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.bool_and(good).alias("complete"), F.count_if(~good).alias("n_open"), *extra)
 
 
-def backfill(books: DataFrame, feedback: DataFrame, base: str = "") -> DataFrame:
+def backfill(books: DataFrame, feedback: DataFrame, base: str = "", most: int = MOST) -> DataFrame:
     """The books with pages filled in: the k-th feedback item of a title goes to the k-th book of that title whose page is ''.
 
     books: (ord, title, page, new); feedback: (ord, original_title, subject). Items whose page some book of the
-    title has already are left out. Filled books are `new`; count them for the log's increment.
+    title has already are left out. Filled books are `new`; count them for the log's increment. The join is by title
+    and k, so that a title of many books and items is no hot key; see `scan` for its numbers.
     """
     page = F.concat(F.lit(base), F.col("subject").cast("string"))
     items = feedback.filter(F.col("subject").isNotNull()).select(F.col("original_title").alias("title"), F.col("ord").alias("_ord"), page.alias("_page"))
     known = books.filter("page <> ''").select("title", F.col("page").alias("_page")).distinct()
     items = items.join(known, ["title", "_page"], "left_anti")
-    items = items.withColumn("_k", F.row_number().over(W.partitionBy("title").orderBy("_ord")))
-    opened = F.when(F.col("page") == "", F.row_number().over(W.partitionBy("title", F.coalesce(F.col("page") == "", F.lit(False))).orderBy("ord")))
-    joined = books.withColumn("_k", opened).join(items.drop("_ord"), ["title", "_k"], "left")
-    return joined.withColumns({"page": F.coalesce("_page", "page"), "new": F.col("_page").isNotNull() | F.col("new")}).select(books.columns)
+    items = numbered(items, ["title"], ["_ord", "_page"], "_k", most=most)
+    # only open books are numbered; the others keep what they have
+    opened = numbered(books.filter("page = ''"), ["title"], ["ord"], "_k", most=most)
+    joined = opened.join(items.drop("_ord"), ["title", "_k"], "left")
+    filled = joined.withColumns({"page": F.coalesce("_page", "page"), "new": F.col("_page").isNotNull() | F.col("new")}).select(books.columns)
+    return filled.unionByName(books.filter(F.coalesce(F.col("page") != "", F.lit(True))))
 
 
 def missing_worklist(books: DataFrame, labels: DataFrame, shop: str | None = None) -> DataFrame:
@@ -102,19 +111,18 @@ def compile_series(stories: DataFrame, part_sep: str = "\n\n\n\n　◇\n\n\n\n")
     return joined.select("key", F.concat(heading, F.array_join(F.transform("parts", lambda p: p["block"]), "\n\n\n\n"), F.lit("\n")).alias("text"))
 
 
-def episodes(tabs: DataFrame, keys: tuple[str, ...] = ("doc",), first_vol: int = 1) -> DataFrame:
+def episodes(tabs: DataFrame, keys: tuple[str, ...] = ("doc",), first_vol: int = 1, most: int = MOST) -> DataFrame:
     """(keys, vol, vol_title, ord, title, href): a chapter tab opens a volume and episodes join the latest; before any they form an untitled one.
 
     tabs: (keys, page, pos, kind, text, href), kind being 'chapter' or 'episode'.
     """
-    order = W.partitionBy(*keys).orderBy("page", "pos")
+    own = list(keys)
     chapter = F.col("kind") == "chapter"
-    opened = F.sum(chapter.cast("int")).over(order)
-    untitled = F.max(F.when(~chapter & (F.col("_n") == 0), 1).otherwise(0)).over(W.partitionBy(*keys))
-    marked = tabs.withColumn("_n", opened).withColumn("_name", F.last(F.when(chapter, F.col("text")), ignorenulls=True).over(order))
-    marked = marked.withColumn("vol", F.col("_n") + untitled + (first_vol - 1)).filter(~chapter)
-    number = F.row_number().over(W.partitionBy(*keys, "vol").orderBy("page", "pos")) - 1
-    return marked.select(*keys, F.col("vol").cast("int").alias("vol"), F.coalesce("_name", F.lit("")).alias("vol_title"), number.alias("ord"), F.col("text").alias("title"), "href")
+    marked = scan(tabs, own, ["page", "pos"], {"_n": chapter.cast("int")}, {"_name": F.when(chapter, F.col("text"))}, most)
+    first = tabs.groupBy(*own).agg((F.min_by("kind", F.struct("page", "pos")) != "chapter").cast("int").alias("_untitled"))
+    marked = marked.alias("_t").join(first.alias("_f"), same("_t", "_f", own)).select("_t.*", "_f._untitled").filter(~chapter)
+    marked = numbered(marked.withColumn("vol", (F.col("_n") + F.col("_untitled") + (first_vol - 1)).cast("int")), [*own, "vol"], ["page", "pos"], "ord", 0, most)
+    return marked.select(*own, "vol", F.coalesce("_name", F.lit("")).alias("vol_title"), F.col("ord").cast("int").alias("ord"), F.col("text").alias("title"), "href")
 
 
 def volume_documents(parts: DataFrame, titles: DataFrame, keys: tuple[str, ...] = ("doc",)) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bookflow.functions.text import fade, folder, resolve_path
+from bookflow.sources.shared import cut
 
 PAGE_TYPES = ("application/xhtml+xml", "text/html")
 
@@ -48,25 +49,23 @@ def toc_starts(pages: DataFrame, links: DataFrame, nav: DataFrame | None = None,
     MANUAL: the book's `splits`; NAV: links of the navigation page (book, base, href) that lead to pages; TOC:
     the page with most links (the first of equals), if all its links lead to pages; TRIVIAL: every page.
     pages: (book, page, path); links: (book, page, pos, href). Links are counted before any is resolved, and
-    only the chosen page's are.
+    only the chosen page's are. Starts stay rows: the best way of a book is a minimum, and no book's pages are gathered.
     """
     paths = pages.select("book", "path", F.col("page").alias("start"))
     counted = links.groupBy("book", "page").agg(F.count("*").alias("n"))
     best = counted.groupBy("book").agg(F.max_by("page", F.struct("n", -F.col("page"))).alias("page"))
     chosen = links.join(best, ["book", "page"], "left_semi").join(pages.select("book", "page", folder(F.col("path")).alias("base")), ["book", "page"])
     toc = chosen.select("book", resolve_path(F.col("base"), F.col("href")).alias("path")).join(paths, ["book", "path"], "left")
-    toc = toc.groupBy("book").agg(F.bool_and(F.col("start").isNotNull()).alias("whole"), F.collect_set("start").alias("starts")).filter("whole").select("book", "starts", F.lit("TOC").alias("method"), F.lit(2).alias("rank"))
-    ways = [toc, pages.groupBy("book").agg(F.collect_set("page").alias("starts")).select("book", "starts", F.lit("TRIVIAL").alias("method"), F.lit(3).alias("rank"))]
+    whole = toc.groupBy("book").agg(F.bool_and(F.col("start").isNotNull()).alias("whole")).filter("whole").select("book")
+    way = lambda df, start, method, rank: df.select("book", F.col(start).alias("start"), F.lit(method).alias("method"), F.lit(rank).alias("rank"))
+    every = way(toc.join(whole, "book", "left_semi"), "start", "TOC", 2).unionByName(way(pages, "page", "TRIVIAL", 3))
     if nav is not None:
         found = nav.select("book", resolve_path(F.col("base"), F.col("href")).alias("path")).join(paths, ["book", "path"])
-        ways.append(found.groupBy("book").agg(F.collect_set("start").alias("starts")).select("book", "starts", F.lit("NAV").alias("method"), F.lit(1).alias("rank")))
+        every = every.unionByName(way(found, "start", "NAV", 1))
     if splits is not None:
-        ways.append(splits.groupBy("book").agg(F.collect_set("left").alias("starts")).select("book", "starts", F.lit("MANUAL").alias("method"), F.lit(0).alias("rank")))
-    every = ways[0]
-    for way in ways[1:]:
-        every = every.unionByName(way)
-    one = every.groupBy("book").agg(F.min_by(F.struct("starts", "method"), "rank").alias("w"))
-    return one.select("book", F.explode("w.starts").alias("start"), F.col("w.method").alias("method"))
+        every = every.unionByName(way(splits, "left", "MANUAL", 0))
+    best = every.groupBy("book").agg(F.min("rank").alias("rank"))
+    return every.join(best, ["book", "rank"]).select("book", "start", "method").distinct()
 
 
 def chapter_spans(starts: DataFrame, last: DataFrame, front: bool = True) -> DataFrame:
@@ -86,14 +85,25 @@ def chapter_spans(starts: DataFrame, last: DataFrame, front: bool = True) -> Dat
     return spans
 
 
-def assign_ranges(pages: DataFrame, splits: DataFrame, bounded: bool = False) -> DataFrame:
+def assign_ranges(pages: DataFrame, splits: DataFrame, width: int = 64) -> DataFrame:
     """The pages with every split (ord, title) of their book that holds them, left <= page < right.
 
-    An equi-join by book with the range as a condition. Set `bounded` where splits are known to be few.
+    A split is dealt to the buckets of `width` pages that it touches, a page to its own, and they are joined by book
+    and bucket, with the exact ends checked after: pairs made are bounded by the splits near a page and not by all of
+    the book's. A split over more than 64 buckets goes by coarser ones, of 64 times the width, and so on; a page looks
+    there too. Empty and null ranges hold no page.
     """
-    cut = splits.select(F.col("book").alias("_book"), "ord", "title", "left", "right")
-    inside = (pages["book"] == cut["_book"]) & (pages["page"] >= cut["left"]) & (pages["page"] < cut["right"])
-    return pages.join(F.broadcast(cut) if bounded else cut, inside).drop("_book", "left", "right")
+    ranges = splits.filter(F.col("left") < F.col("right")).select(F.col("book").alias("_book"), "ord", "title", F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right"))
+    bucket = lambda page, level: F.floor(page / (width * 64**level)).cast("long")
+    top = 9  # 64 ** 10 pages are more than a long can count
+    wide = [bucket(F.col("right") - 1, k) - bucket(F.col("left"), k) <= 64 for k in range(top + 1)]
+    level = F.coalesce(*(F.when(ok, k) for k, ok in enumerate(wide)))
+    reach = F.coalesce(*(F.when(level == k, F.sequence(bucket(F.col("left"), k), bucket(F.col("right") - 1, k))) for k in range(top + 1)))
+    dealt = ranges.withColumn("_level", level).withColumn("_bucket", F.explode(reach))
+    used = cut(dealt.select("_level").distinct())  # a row for each level that any split needs: ten at most
+    looked = pages.crossJoin(F.broadcast(used)).withColumn("_at", F.coalesce(*(F.when(F.col("_level") == k, bucket(F.col("page"), k)) for k in range(top + 1))))
+    joined = looked.join(dealt.withColumnRenamed("_level", "_own"), (F.col("book") == F.col("_book")) & (F.col("_level") == F.col("_own")) & (F.col("_at") == F.col("_bucket")))
+    return joined.filter((F.col("page") >= F.col("left")) & (F.col("page") < F.col("right"))).select(*pages.columns, "ord", "title")
 
 
 def chapter_of(pages: DataFrame, starts: DataFrame, front: bool = True) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bookflow.functions.text import CHAPTER, VOLUME, compose_marks, corner_quotes, rstrip, strip
+from bookflow.operators.scan import MOST, numbered, scan
 
 
 def drop_small_chars(chars: DataFrame, share: float = 0.7) -> DataFrame:
@@ -103,37 +104,38 @@ def rebuild_paragraphs(lines: DataFrame, closers: tuple[str, ...] = ("。", "」
     return joined.select("doc", F.col("para").cast("long").alias("para"), rstrip(F.array_join(F.col("parts.line"), "")).alias("text"))
 
 
-def renumber(df: DataFrame, keys: list[str], order: list[str], start: int = 0, out: str = "number") -> DataFrame:
-    """Numbers without gaps from `start`, in order, for each key."""
-    return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)) + (start - 1))
+def renumber(df: DataFrame, keys: list[str], order: list[str], start: int = 0, out: str = "number", most: int = MOST) -> DataFrame:
+    """Numbers without gaps from `start`, in order, for each key; a key of over `most` rows is numbered in pieces."""
+    return numbered(df, keys, order, out, start, most).withColumn(out, F.col(out).cast("int"))
 
 
 def chinese_number(n: Column) -> Column:
-    """A number of 1 to 99 in Chinese numerals."""
-    digit = lambda d: F.element_at(F.array(*map(F.lit, "〇一二三四五六七八九")), (d + 1).cast("int"))
-    tens, ones = F.floor(n / 10), n % 10
-    head = F.when(tens == 0, F.lit("")).when(tens == 1, F.lit("十")).otherwise(F.concat(digit(tens), F.lit("十")))
-    return F.concat(head, F.when((ones == 0) & (n > 0), F.lit("")).otherwise(digit(ones)))
+    """0 to 9999 in Chinese numerals: a gap of zeros is one 〇, 10 to 19 begin with 十. Any other number stays in figures."""
+    number, out = n.cast("long"), F.lit("")
+    for place, unit in ((1000, "千"), (100, "百"), (10, "十"), (1, "")):
+        d = F.floor(number / place) % 10
+        name = F.element_at(F.array(*map(F.lit, "〇一二三四五六七八九")), (F.abs(d) + 1).cast("int"))
+        out = F.concat(out, F.when(d > 0, F.concat(name, F.lit(unit))).when(number > place, F.lit("〇")).otherwise(F.lit("")))
+    out = F.regexp_replace(F.regexp_replace(out, "〇+", "〇"), "〇$|^一(?=十)", "")
+    return F.when(number == 0, F.lit("〇")).when(number.between(1, 9999), out).otherwise(number.cast("string"))
 
 
-def ocr_lines(ocr: DataFrame, first_volume: int = 1, indent: int = 100) -> DataFrame:
+def ocr_lines(ocr: DataFrame, first_volume: int = 1, indent: int = 100, most: int = MOST) -> DataFrame:
     """W6, first part: every recognised line with what becomes of it.
 
     (doc, page, pos, text, volume, opens_volume, opens_chapter, opens_paragraph, skipped, title_skipped). The
     first line of a page marked `new` opens a chapter if it is a chapter title; else it is a skipped title, and
     all lines are left out until the next new page. Such a line opens a volume if it begins like a first
-    chapter, or on page 0. Lines before any volume are skipped.
+    chapter, or on page 0. Lines before any volume are skipped. Documents of any length spread over tasks.
     """
-    order = W.partitionBy("doc").orderBy("page", "pos")
     lines = ocr.select("doc", "page", F.col("new"), F.posexplode("lines").alias("pos", "line")).select("doc", "page", "new", "pos", corner_quotes(F.col("line.words")).alias("text"), F.col("line.left").alias("left"))
     head = (F.col("pos") == 0) & F.col("new")
     volume = head & (F.regexp_like("text", F.lit(VOLUME)) | (F.col("page") == 0))
     chapter = head & F.regexp_like("text", F.lit(CHAPTER))
     marked = lines.withColumns({"head": head, "opens_volume": volume, "opens_chapter": chapter, "title_skipped": head & ~chapter})
     # the latest head decides whether a line is kept; lines before any head are kept, if a volume is open
-    state = F.last(F.when(F.col("head"), F.col("title_skipped")), ignorenulls=True).over(order)
-    number = F.sum(F.col("opens_volume").cast("int")).over(order)
-    marked = marked.withColumns({"number": number, "skipped": F.coalesce(state, F.lit(False)) | (number == 0)})
+    marked = scan(marked, ["doc"], ["page", "pos"], {"number": F.col("opens_volume").cast("int")}, {"state": F.when(F.col("head"), F.col("title_skipped"))}, most)
+    marked = marked.withColumn("skipped", F.coalesce("state", F.lit(False)) | (F.col("number") == 0))
     return marked.select(
         "doc", "page", "pos", F.when(F.col("opens_chapter"), F.regexp_replace("text", CHAPTER, "### $1　")).otherwise(F.col("text")).alias("text"),
         (F.col("number") + (first_volume - 1)).cast("int").alias("volume"), "opens_volume", "opens_chapter",
@@ -141,12 +143,16 @@ def ocr_lines(ocr: DataFrame, first_volume: int = 1, indent: int = 100) -> DataF
     )
 
 
-def merge_ocr(ocr: DataFrame, first_volume: int = 1, indent: int = 100) -> DataFrame:
+def merge_ocr(ocr: DataFrame, first_volume: int = 1, indent: int = 100, most: int = MOST) -> DataFrame:
     """(doc, volume, text): the kept lines of each volume, four line ends between chapters, an empty line between paragraphs."""
-    kept = ocr_lines(ocr, first_volume, indent).filter(~F.col("skipped"))
-    first = F.row_number().over(W.partitionBy("doc", "volume").orderBy("page", "pos")) == 1
-    lead = F.when(F.col("opens_chapter") & ~first, F.lit("\n\n\n\n")).when(F.col("opens_paragraph"), F.lit("\n\n")).otherwise(F.lit(""))
-    parts = kept.select("doc", "volume", "page", "pos", F.concat(lead, "text").alias("piece"))
-    joined = parts.groupBy("doc", "volume").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "pos", "piece"))), lambda s: s["piece"]), "").alias("body"))
+    kept = ocr_lines(ocr, first_volume, indent, most).filter(~F.col("skipped"))
+    own = F.array_sort(F.collect_list(F.struct("page", "pos", "text", "opens_chapter", "opens_paragraph")))
+    joined = kept.groupBy("doc", "volume").agg(own.alias("own"))
+
+    def piece(s: Column, i: Column) -> Column:
+        """A line and what stands before it; a volume's first chapter has nothing before it."""
+        before = F.when(s["opens_chapter"] & (i > 0), F.lit("\n\n\n\n")).when(s["opens_paragraph"], F.lit("\n\n")).otherwise(F.lit(""))
+        return F.concat(before, s["text"])
+
     heading = F.concat(F.lit("## 第"), chinese_number(F.col("volume")), F.lit("卷\n\n"))
-    return joined.select("doc", "volume", F.concat(heading, "body", F.lit("\n")).alias("text"))
+    return joined.select("doc", "volume", F.concat(heading, F.array_join(F.transform("own", piece), ""), F.lit("\n")).alias("text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ def block_candidates(books: DataFrame, subjects: DataFrame, platforms: tuple[str
 
     books: (book_id, title, date); subjects: (id, name, date, series, platform, rank). A date is a release day
     and may hold many books, so books are salted and subjects, the smaller side of a day, repeated by the salts.
+    All pairs of a day is what this gives; whoever wants similar ones alone should ask `similar_titles`.
     """
     able = subjects.filter(~F.col("series") & F.col("platform").isin(*platforms)).select("id", "name", "date", "rank")
     able = able.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -48,16 +51,103 @@ def scored(pairs: DataFrame, left: str = "title", right: str = "name", least: fl
     return pairs.join(ready.select(left, right, title_similarity(F.col("_a"), F.col("_b")).alias("conf")), [left, right])
 
 
+#: Letters of a piece at most, so that the grams of a title stay few.
+PIECE = 6
+
+
+def n_pieces(n: int, least: float) -> int:
+    """Into how many pieces a title of n letters is cut, so that one lies whole in every title of similarity `least`.
+
+    If 2 * lcs >= least * (n + m) for a part of m letters of a title that is no shorter, m is at most n * (2 - least)
+    / least, and the letters that the two don't share number (1 - least) * (n + m) at most. Each spoils one piece at
+    most. Where that would leave no letters to a piece, pieces are letters: some letter must be shared.
+    """
+    if least <= 0:
+        raise ValueError("a similarity above 0 is needed")
+    longest = math.floor(n * (2 - least) / least + 1e-9)
+    return max(1, min(n, max(math.floor((1 - least) * (n + longest) + 1e-9) + 1, -(-n // PIECE))))
+
+
+def title_pieces(title: Column, least: float) -> Column:
+    """The pieces of a title, by `n_pieces`; an empty title is one empty piece."""
+    n = F.length(title)
+    longest = F.floor(n * ((2 - least) / least) + 1e-9)
+    count = F.greatest(F.lit(1), F.least(n, F.greatest(F.floor((n + longest) * (1 - least) + 1e-9) + 1, F.ceil(n / PIECE)))).cast("int")
+    cut_at = lambda i: F.floor(i.cast("long") * n / count).cast("int")
+    return F.when(n == 0, F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(title, cut_at(i) + 1, cut_at(i + 1) - cut_at(i))))
+
+
+def title_grams(title: Column, least: float) -> Column:
+    """All parts of a title that are as long as some title's piece; an empty title has the empty one."""
+    sizes = sorted({x for n in range(1, 513) for x in (n // n_pieces(n, least), -(-n // n_pieces(n, least)))})  # longer titles have pieces of the same few lengths
+    n = F.length(title)
+
+    def of(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1)))
+        return F.when(n >= size, F.transform(starts, lambda i: F.substring(title, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+    parts = [of(size) for size in sizes]
+    return F.when(n == 0, F.array(F.lit(""))).otherwise(F.array_distinct(F.concat(*parts)))
+
+
+def near_candidates(left: DataFrame, right: DataFrame, least: float = 0.9) -> DataFrame:
+    """Pairs (date, a, b) of two cut tables (date, title) of distinct normalised titles that can be as similar as `least`.
+
+    The shorter title of a pair, or the same with its words sorted, has a piece that lies in the other; titles meet by
+    date and piece, and pairs that share none are never made. A pair comes once for each side that is no longer: at
+    the first of its pieces. Of the pairs made, those with too few letters in common go. A piece that many titles
+    of a day hold is a skewed key of a plain join, which Spark splits.
+    """
+    ordered = F.array_join(F.array_sort(F.filter(F.split("title", r"(?U)\s+"), lambda w: w != "")), " ")
+
+    def halves(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        own = df.select("date", "title", ordered.alias("sorted"))
+        pieces = F.array_distinct(F.concat(title_pieces(F.col("title"), least), title_pieces(F.col("sorted"), least)))
+        grams = F.array_distinct(F.concat(title_grams(F.col("title"), least), title_grams(F.col("sorted"), least)))
+        short = own.select("date", F.col("title").alias("x"), pieces.alias("pieces")).select("date", "x", "pieces", F.posexplode("pieces").alias("at", "piece"))
+        return short, own.select("date", F.col("title").alias("y"), F.col("sorted").alias("y_sorted"), F.explode(grams).alias("piece"))
+
+    def met(short: DataFrame, long: DataFrame) -> DataFrame:
+        """(date, x, y): titles x that are no longer than y, at the first of their pieces that is in y."""
+        before = F.exists(F.slice("pieces", F.lit(1), F.col("at")), lambda p: F.contains("y", p) | F.contains("y_sorted", p))
+        bare = [F.regexp_replace(c, "^ | $", "") for c in ("x", "y")]  # as it is when words are sorted
+
+        def near(x: Column, y: Column) -> Column:
+            c = shared_letters(x, y)
+            return (F.length(x) <= F.length(y)) & ((F.length(x) == 0) | (2 * c >= (least - 1e-9) * (F.length(x) + c)))
+
+        return short.join(long, ["date", "piece"]).filter(~before & (near(F.col("x"), F.col("y")) | near(*bare))).select("date", "x", "y")
+
+    (x, y), (u, v) = halves(left), halves(right)
+    found = met(x, v).withColumnsRenamed({"x": "a", "y": "b"})
+    return found.unionByName(met(u, y).withColumnsRenamed({"x": "b", "y": "a"})).distinct()
+
+
+def similar_titles(books: DataFrame, subjects: DataFrame, least: float = 0.9) -> DataFrame:
+    """J3 and J4 in one: (date, title, name, conf) for the distinct titles (date, title) and names (date, name) of a day that are at least so similar.
+
+    Null titles and names are like nothing. Pairs are made by shared pieces, and only those scored.
+    """
+    if least <= 0:
+        pairs = books.select("date", "title").distinct().join(subjects.select("date", "name").distinct(), "date")
+        return scored(pairs).filter(F.col("conf") >= least)
+    titles = cut(books.select("date", "title").distinct().withColumn("a", norm_title(F.col("title"))))
+    names = cut(subjects.select("date", "name").distinct().withColumn("b", norm_title(F.col("name"))))
+    plain = lambda df, c: df.filter(F.col(c).isNotNull()).select("date", F.col(c).alias("title")).distinct()
+    near = near_candidates(plain(titles, "a"), plain(names, "b"), least)
+    conf = near.select("a", "b").distinct().withColumn("conf", title_similarity(F.col("a"), F.col("b"))).filter(F.col("conf") >= least)
+    return near.join(conf, ["a", "b"]).join(titles, ["date", "a"]).join(names, ["date", "b"]).select("date", "title", "name", "conf")
+
+
 def best_match(books: DataFrame, subjects: DataFrame, threshold: float = 0.9, platforms: tuple[str, ...] = PLATFORMS) -> DataFrame:
     """Books with subject and conf of the most similar candidate (of equals the first by rank); null below the threshold.
 
     Books of one title and date have the same best match, and of subjects of one name and date only the first by
-    rank can be one, so that pairs are made of distinct titles and names.
+    rank can be one, so that pairs are made of distinct titles and names; see `similar_titles`.
     """
-    titles = books.select("title", "date").distinct().withColumn("book_id", F.xxhash64("title"))
-    first = F.min_by(F.struct("id", "series", "platform", "rank"), F.struct("rank", "id"))
+    first = F.min_by(F.struct("id", "rank"), F.struct("rank", "id"))
     able = subjects.filter(~F.col("series") & F.col("platform").isin(*platforms)).groupBy("name", "date").agg(first.alias("s")).select("name", "date", "s.*")
-    found = scored(block_candidates(titles, able, platforms).drop("book_id"), least=threshold).filter(F.col("conf") >= threshold)
+    found = similar_titles(books, able, threshold).join(able, ["name", "date"])
     best = found.groupBy("title", "date").agg(F.max_by(F.struct(F.col("id").alias("subject"), "conf"), F.struct("conf", -F.col("rank"))).alias("_m"))
     return books.join(best, ["title", "date"], "left").select(*books.columns, "_m.subject", "_m.conf")
 
@@ -68,42 +158,58 @@ def bigrams(title: Column) -> Column:
     return F.array_distinct(F.when(n < 2, F.array(title)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(title, i, F.lit(2)))))
 
 
-def shortlist(items: DataFrame, subjects: DataFrame, threshold: float = 0.5, k: int = 15, common: float = 0.05, base: str = "", platforms: tuple[str, ...] = PLATFORMS, salts: int = 16) -> DataFrame:
-    """Items (item_id, title) with `single` and `series`: arrays (title, link, conf) of the retrieved subjects, best first.
+#: Subjects that are read of each bigram at first: those of best rank. Below the number for which Spark limits groups before it shuffles.
+HEAD = 128
+
 
-    Retrieval takes the k subjects that share most bigrams with the title, of equals the first by rank. Bigrams in
-    more than `common` of the subjects are looked up only where they can matter: a subject that shares those
-    alone shares at most as many as the title has of them, so titles whose k-th best subject by the others
-    shares more need no look at them. Their rows are dealt to `salts` tasks for each bigram.
+def retrieved(items: DataFrame, subjects: DataFrame, k: int = 15, head: int = HEAD, salts: int = 16) -> DataFrame:
+    """(item_id, id, rank, shared, place): the k subjects that share most bigrams with each item, of equals the first by rank.
+
+    items: a cut table (item_id, grams); subjects: a cut table (id, rank, grams). The index is ordered by rank, and of
+    each bigram's subjects only the first `head` are read. A subject that is not met there shares bigrams with longer
+    lists alone, and is ranked behind the heads of all these: where the k-th best met shares as many as there are such
+    lists and is ranked before, or more, the k are certain. For the other items a subject that is missing must share c
+    of its m long lists, c being what the k-th shares; so it is on one of the rarest m - c + 1, and those are read whole.
     """
-    able = subjects.filter(F.col("platform").isin(*platforms)).select("id", "name", F.coalesce("series", F.lit(False)).alias("is_series"), "rank").withColumn("_n", norm_title(F.col("name")))
-    able = cut(able.withColumn("_g", bigrams(F.col("_n"))).drop("_n"))  # read five times below
-    index = able.select("id", F.explode("_g").alias("g"))
-    total = F.broadcast(able.agg(F.count("*").alias("_total")))  # one row
-    often = index.groupBy("g").agg(F.count("*").alias("n")).crossJoin(total).filter(F.col("n") > F.greatest(common * F.col("_total"), F.lit(1.0))).select("g", F.lit(True).alias("often"))
-    wanted = items.select("item_id", norm_title(F.col("title")).alias("_n")).select("item_id", bigrams(F.col("_n")).alias("_i"))
-    wanted = cut(wanted)
-    often = cut(often)
-    asked = cut(wanted.select("item_id", F.explode("_i").alias("g")).join(often, "g", "left").withColumn("often", F.coalesce("often", F.lit(False))))
+    asked = items.select("item_id", F.explode("grams").alias("g"))
+    index = subjects.select("id", "rank", F.explode("grams").alias("g"))
+    wanted = asked.select("g").distinct()
+    index = index.join(wanted, "g", "left_semi")
+    by_rank = W.partitionBy("g").orderBy("rank", "id")
+    heads = cut(index.withColumn("_p", F.row_number().over(by_rank)).filter(F.col("_p") <= head))
+    sizes = cut(index.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > head).join(heads.groupBy("g").agg(F.max("rank").alias("edge")), "g"))
     best = W.partitionBy("item_id").orderBy(F.desc("shared"), "rank", "id")
 
     def ranked(pairs: DataFrame) -> DataFrame:
         """The k best of distinct pairs (item_id, id), by all their bigrams."""
-        both = pairs.join(able.select("id", "rank", "_g"), "id").join(wanted, "item_id")
-        return both.select("item_id", "id", "rank", F.size(F.array_intersect("_g", "_i")).alias("shared")).withColumn("_place", F.row_number().over(best)).filter(F.col("_place") <= k)
-
-    rare = asked.filter(~F.col("often")).join(index, "g").select("item_id", "id").distinct()
-    top = cut(ranked(rare))
-    low = top.filter(F.col("_place") == k).select("item_id", F.col("shared").alias("_low"))
-    n_often = asked.groupBy("item_id").agg(F.count_if("often").alias("_often")).filter("_often > 0")
-    open_ = n_often.join(low, "item_id", "left").filter(F.col("_often") >= F.coalesce("_low", F.lit(0))).select("item_id")
-    open_ = cut(open_)
-    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(salts)).cast("int").alias("_salt")
-    more = asked.filter("often").join(open_, "item_id", "left_semi").select("item_id", "g", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    hits = more.join(index.join(often, "g", "left_semi").select("id", "g", salt("id")), ["g", "_salt"]).select("item_id", "id")
-    again = ranked(hits.union(rare.join(open_, "item_id", "left_semi")).distinct())
-    top = cut(top.join(open_, "item_id", "left_anti").unionByName(again))
-    pairs = top.select("item_id", "id", "rank").join(able.drop("rank", "_g"), "id").join(items.select("item_id", "title"), "item_id")
+        both = pairs.join(subjects.select("id", "rank", F.col("grams").alias("_g")), "id").join(items.select("item_id", F.col("grams").alias("_i")), "item_id")
+        return both.select("item_id", "id", "rank", F.size(F.array_intersect("_g", "_i")).alias("shared")).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
+
+    met = asked.join(heads.select("g", "id"), "g").select("item_id", "id").distinct()
+    top = cut(ranked(met))
+    last = top.filter(F.col("place") == k).select("item_id", F.col("shared").alias("_c"), F.col("rank").alias("_rank"))
+    long = cut(asked.join(sizes, "g"))
+    state = long.groupBy("item_id").agg(F.count("*").alias("_m"), F.max("edge").alias("_edge")).join(last, "item_id", "left")
+    certain = (F.col("_c") > F.col("_m")) | ((F.col("_c") == F.col("_m")) & (F.col("_rank") < F.col("_edge")))
+    open_ = cut(state.filter(~F.coalesce(certain, F.lit(False))).select("item_id", (F.col("_m") - F.greatest(F.coalesce("_c", F.lit(1)), F.lit(1)) + 1).alias("_lists")))
+    rarest = F.row_number().over(W.partitionBy("item_id").orderBy("n", "g"))
+    whole = long.join(open_, "item_id").withColumn("_p", rarest).filter(F.col("_p") <= F.col("_lists")).select("item_id", "g")
+    salted = whole.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    lists = index.join(whole.select("g").distinct(), "g", "left_semi").select("g", "id", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("_salt"))
+    more = salted.join(lists, ["g", "_salt"]).select("item_id", "id").union(top.join(open_, "item_id", "left_semi").select("item_id", "id")).distinct()
+    return top.join(open_, "item_id", "left_anti").unionByName(ranked(more))
+
+
+def shortlist(items: DataFrame, subjects: DataFrame, threshold: float = 0.5, k: int = 15, base: str = "", platforms: tuple[str, ...] = PLATFORMS, head: int = HEAD) -> DataFrame:
+    """Items (item_id, title) with `single` and `series`: arrays (title, link, conf) of the retrieved subjects, best first.
+
+    Retrieval takes the k subjects that share most bigrams with the title; see `retrieved`.
+    """
+    able = subjects.filter(F.col("platform").isin(*platforms)).select("id", "name", F.coalesce("series", F.lit(False)).alias("is_series"), "rank").withColumn("_n", norm_title(F.col("name")))
+    able = cut(able.withColumn("grams", bigrams(F.col("_n"))).drop("_n"))
+    wanted = cut(items.select("item_id", norm_title(F.col("title")).alias("_n")).select("item_id", bigrams(F.col("_n")).alias("grams")))
+    top = cut(retrieved(wanted, able.select("id", "rank", "grams"), k, head))
+    pairs = top.select("item_id", "id", "rank").join(able.drop("rank", "grams"), "id").join(items.select("item_id", "title"), "item_id")
     good = scored(pairs, least=threshold).filter(F.col("conf") >= threshold)
     one = F.struct((-F.col("conf")).alias("o"), "rank", "id", F.struct(F.col("name").alias("title"), F.concat(F.lit(base), F.col("id").cast("string")).alias("link"), "conf").alias("m"))
     found = good.groupBy("item_id").agg(*[F.transform(F.array_sort(F.collect_list(F.when(cond, one))), lambda s: s["m"]).alias(name) for name, cond in (("single", ~F.col("is_series")), ("series", F.col("is_series")))])

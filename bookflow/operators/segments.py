@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bookflow.functions.text import strip
+from bookflow.operators.scan import MOST, blocks, scan_blocks
 
 # The chat template and the texts of the prompts.
 SYSTEM_TEXT = "你是一个轻小说翻译模型，可以流畅通顺地以日本轻小说的风格将日文翻译成简体中文，并联系上下文正确使用人称代词，不擅自添加原文中没有的代词。"
@@ -66,18 +67,35 @@ def pack_segments(lines: DataFrame, max_len: int = 512, text: str = "pure") -> D
     return cut.select("doc", "seg", F.explode(F.slice("own.pos", F.col("s.pos_from") + 1, F.col("s.pos_to") - F.col("s.pos_from") + 1)).alias("pos")).select("doc", "pos", "seg")
 
 
-def trailing_context(lines: DataFrame, max_chars: int = 256, text: str = "pure") -> DataFrame:
+def trailing_context(lines: DataFrame, max_chars: int = 256, text: str = "pure", most: int = MOST) -> DataFrame:
     """With `context`: before each line the nearest lines, in reading order, joined by line ends.
 
     Lines are taken from the nearest on until what is taken is longer than `max_chars`; the last may overshoot.
     The frame is a range over the running length, so that it holds no more than that many characters and a line.
+    A document of over `most` lines lies in several blocks, and each block also gets the lines before it that its
+    first line can reach: no more than `max_chars` + 2.
     """
-    order = W.partitionBy("doc").orderBy("pos")
-    through = lines.withColumn("_end", F.sum(F.length(text) + 1).over(order))
+    blocked = blocks(lines, ["doc"], ["pos"], most)
+    through = scan_blocks(blocked, ["doc"], ["pos"], {"_end": F.length(text) + 1})
+    split = through.filter("_block > 0")
+    # where the lines before each block of a split document end; few rows, as such documents and their blocks are few
+    starts = split.groupBy("doc", "_block").agg(F.max("_end").alias("_to"))
+    starts = starts.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("_block", "_to"))).alias("_ends"))
+    far = through.alias("_l").join(F.broadcast(starts.alias("_s")), F.col("_l.doc").eqNullSafe(F.col("_s.doc")) & (F.col("_l._block") > 0), "left").select("_l.*", "_s._ends")
+
+    def later(ends: Column) -> Column:
+        """The blocks behind a line's own that its text may be context of."""
+        reach = lambda e, i: (e["_block"] > F.col("_block")) & (F.get(ends, i - 1)["_to"] <= F.col("_end") + (max_chars + 1))
+        return F.transform(F.filter(ends, reach), lambda e: e["_block"])
+
+    copies = F.concat(F.array("_block"), F.coalesce(later(F.col("_ends")), F.array().cast("array<int>")))
+    spread = far.withColumn("_at", F.explode(copies)).drop("_ends")
+    order = W.partitionBy("doc", "_at").orderBy("pos")
     # the lines that are taken for the line after this one: those that begin where at most max_chars are taken
-    near = W.partitionBy("doc").orderBy("_end").rangeBetween(-(max_chars + 1), 0)
-    taken = through.withColumn("_own", F.array_sort(F.collect_list(F.struct("pos", F.col(text).alias("line"))).over(near)))
-    return taken.withColumn("context", F.coalesce(F.lag(F.array_join(F.col("_own.line"), "\n")).over(order), F.lit(""))).select(*lines.columns, "context")
+    near = W.partitionBy("doc", "_at").orderBy("_end").rangeBetween(-(max_chars + 1), 0)
+    taken = spread.withColumn("_own", F.array_sort(F.collect_list(F.struct("pos", F.col(text).alias("line"))).over(near)))
+    taken = taken.withColumn("context", F.coalesce(F.lag(F.array_join(F.col("_own.line"), "\n")).over(order), F.lit("")))
+    return taken.filter(F.col("_at") == F.col("_block")).select(*lines.columns, "context")
 
 
 def build_prompts(segments: DataFrame, glossary: DataFrame | None = None, lines: str = "lines", context: str | None = "context") -> DataFrame:

@@ -156,10 +156,10 @@ def x1_product_records(spark, sf_dir):
     return found.select("p_partkey", F.col("meta")["著者／編集"].alias("author_field"), "cover_url", "price", F.get("descriptions", 0).alias("description"), "series_url")
 
 
-@query("""SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate) - 1 AS INTEGER) AS pos, 'v ' || l_partkey || ' & ' || l_linenumber AS title, strftime(l_shipdate, '%Y-%m-%d') AS date, l_orderkey % 2 = 0 AS newest_first FROM lineitem""")
+@query("""SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_partkey, l_suppkey) - 1 AS INTEGER) AS pos, 'v ' || l_partkey || ' & ' || l_linenumber AS title, strftime(l_shipdate, '%Y-%m-%d') AS date, l_orderkey % 2 = 0 AS newest_first FROM lineitem""")
 def x1_volume_records(spark, sf_dir):
     """A series page for each order, its lines as volumes."""
-    rows = table(spark, sf_dir, "lineitem").withColumn("at", F.struct("l_linenumber", "l_shipdate"))
+    rows = table(spark, sf_dir, "lineitem").withColumn("at", F.struct("l_linenumber", "l_shipdate", "l_partkey", "l_suppkey"))
     title = F.concat(F.lit("v "), F.col("l_partkey").cast("string"), F.lit(" &amp; "), F.col("l_linenumber").cast("string"))
     date = F.concat(F.year("l_shipdate").cast("string"), F.lit("年"), F.month("l_shipdate").cast("string"), F.lit("月"), F.day("l_shipdate").cast("string"), F.lit("日 発売"))
     item = F.concat(F.lit('<li class="list__info"><p class="info__title">'), title, F.lit('</p><p class="info__date">'), date, F.lit("</p></li>"))
@@ -271,12 +271,21 @@ def a5_pixel_stats(spark, sf_dir):
     return stats.join(pixels.chapter_line(line, 1, (7, 0, 0), 4), "image")
 
 
-@query(f"""WITH {_BOOKS} SELECT CAST(1 AS INTEGER) AS ord, 'post-first' AS action, CAST(9 AS BIGINT) AS ts_ms, CAST(0 AS BIGINT) AS increment FROM (SELECT count(*) AS n FROM b WHERE page IS NULL) WHERE n >= 0""")
+_LOGS = """e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS ord, epoch_ms(ts) AS ms, event_type, event_id FROM events), n AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM e),
+k AS (SELECT user_id, ms, event_type, ord, n FROM n WHERE user_id % 3 > 0 OR ord = 0), l AS (SELECT user_id, count(*) AS n_logs, max_by(ms, ord) AS last_ms FROM k GROUP BY user_id),
+b AS (SELECT c_custkey AS user_id, bool_and(o_orderstatus <> 'P') AS searched FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)"""
+
+
+@query(f"""WITH {_LOGS}, a AS (SELECT l.user_id, CAST(n_logs AS INTEGER) AS ord, CASE WHEN n_logs = 1 THEN 'post-first' WHEN coalesce(searched, true) AND 1706313600000 - last_ms > 43200000 THEN 'post-append' END AS action, CAST(0 AS BIGINT) AS increment FROM l LEFT JOIN b USING (user_id))
+SELECT * FROM a WHERE action IS NOT NULL""")
 def a8_next_log(spark, sf_dir):
-    """The log row that a first search of the orders as books adds."""
-    books = _books(spark, sf_dir)
-    logs = books.agg(F.count("*").alias("total")).select(F.lit(0).alias("ord"), F.lit("init").alias("action"), F.lit(1).cast("long").alias("ts_ms"), "total", F.lit(None).cast("long").alias("increment"))
-    return catalog.next_log(logs, books, 9).select("ord", "action", F.col("ts_ms").cast("long").alias("ts_ms"), "increment")
+    """Each user's events are a log, of every third user the first one alone, and the orders of the customer of that number the books; a forced search on the 27th of January adds a row after one log, or where all were searched and the last log is 12 hours old."""
+    from pyspark.sql import Window as W
+
+    events = table(spark, sf_dir, "events").withColumn("ord", F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1).filter("user_id % 3 > 0 OR ord = 0")
+    logs = events.select("user_id", "ord", F.col("event_type").alias("action"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.lit(None).cast("long").alias("total"), F.lit(None).cast("long").alias("increment"))
+    books = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("page"))
+    return catalog.next_log(logs, books, 1706313600000, True, ("user_id",)).select("user_id", "ord", "action", "increment")
 
 
 # ---- layout

@@ -139,7 +139,7 @@ def test_matching(spark):
     # a part that is equal scores 1.0, and the first of equals is taken
     assert best == {0: (1, 1.0), 1: (None, None), 2: (None, None), 3: (6, 1.0)}
     items = spark.createDataFrame([(0, "title"), (1, "zzz"), (2, "another one")], "item_id int, title string")
-    got = {r.item_id: ([m.title for m in r.single], [m.title for m in r.series]) for r in match.shortlist(items, subjects, common=1.0).collect()}
+    got = {r.item_id: ([m.title for m in r.single], [m.title for m in r.series]) for r in match.shortlist(items, subjects).collect()}
     assert got[0] == (["Title", "Title 2", "Ｔｉｔｌｅ", "Quite another"], ["Title"]) and got[1] == ([], []) and got[2][0] == ["Quite another"]
     pages = own.withColumn("page", F.when(F.col("book_id") == 1, "").when(F.col("book_id") == 3, "old"))
     got = lambda force, df: {r.book_id: r.page for r in match.incremental_links(df, subjects, force, "s/").collect()}

@@ -161,5 +161,8 @@ def test_ocr(spark, parts):
 def test_numbers(spark):
     got = [r.x for r in spark.range(1, 31).orderBy("id").select(layout.chinese_number(F.col("id")).alias("x")).collect()]
     assert got[0] == "一" and got[9:12] == ["十", "十一", "十二"] and got[19:22] == ["二十", "二十一", "二十二"]
+    odd = {0: "〇", 99: "九十九", 100: "一百", 101: "一百〇一", 110: "一百一十", 111: "一百一十一", 200: "二百", 1000: "一千", 1005: "一千〇五", 1050: "一千〇五十", 2340: "二千三百四十", 9999: "九千九百九十九", 10000: "10000", -3: "-3"}
+    got = {r.n: r.x for r in spark.createDataFrame([(n,) for n in odd], "n int").select("n", layout.chinese_number(F.col("n")).alias("x")).collect()}
+    assert got == odd
     pages = spark.createDataFrame([("b", 3), ("b", 9), ("b", 4), ("c", 1)], "book string, page int")
     assert [(r.book, r.page, r.number) for r in layout.renumber(pages, ["book"], ["page"], 1).orderBy("book", "page").collect()] == [("b", 3, 1), ("b", 4, 2), ("b", 9, 3), ("c", 1, 1)]

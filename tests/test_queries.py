@@ -8,16 +8,17 @@ from bookflow.plans.queries import QUERIES, SQL
 from tests.oracle import connect, spark_rows, sql_rows
 
 SMALL = "/root/testdata/sf0.001"
+CHECKED = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
 def con():
-    return connect(SMALL)
+    return connect(CHECKED)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, con, name):
-    assert spark_rows(QUERIES[name](spark, SMALL)) == sql_rows(con, SQL[name])
+    assert spark_rows(QUERIES[name](spark, CHECKED)) == sql_rows(con, SQL[name])
 
 
 def test_without_sql(spark):
