@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bookflow.functions.text import strip
-from bookflow.operators.scan import MOST, blocks, scan_blocks
+from bookflow.operators.scan import MOST, blocks, scan, scan_blocks
+from bookflow.sources.shared import cut
 
 # The chat template and the texts of the prompts.
 SYSTEM_TEXT = "你是一个轻小说翻译模型，可以流畅通顺地以日本轻小说的风格将日文翻译成简体中文，并联系上下文正确使用人称代词，不擅自添加原文中没有的代词。"
@@ -52,19 +56,85 @@ def segments_of(docs: DataFrame, lines: Column, doc: str = "doc", max_len: int =
     return docs.select(F.col(doc).alias("doc"), F.posexplode(once).alias("seg", "s")).select("doc", "seg", "s.pos_from", "s.pos_to", "s.lines")
 
 
-def segment_table(lines: DataFrame, max_len: int = 512, text: str = "pure") -> DataFrame:
-    """W9 on a table of lines (doc, pos, text): (doc, seg, pos_from, pos_to, lines); one array of lines for each document is gathered."""
-    own = lines.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce(F.col(text), F.lit("")).alias("line")))).alias("own"))
-    cut = own.select("doc", "own", F.posexplode(cut_lines(F.col("own.line"), max_len)).alias("seg", "s"))
-    place = lambda i: F.element_at("own.pos", F.col(f"s.{i}") + 1).alias(i)
-    return cut.select("doc", "seg", place("pos_from"), place("pos_to"), "s.lines")
+def _exits(nexts: pd.Series, low: pd.Series) -> pd.Series:
+    """For each line of a block, the first place behind the block that segments beginning at that line lead to."""
 
+    def one(own: np.ndarray, at: int) -> np.ndarray:
+        out = own.copy()
+        for i in range(len(own) - 1, -1, -1):
+            if own[i] - at < len(own):
+                out[i] = out[own[i] - at]
+        return out
 
-def pack_segments(lines: DataFrame, max_len: int = 512, text: str = "pure") -> DataFrame:
-    """(doc, pos, seg) for each line."""
-    own = lines.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce(F.col(text), F.lit("")).alias("line")))).alias("own"))
-    cut = own.select("doc", "own", F.posexplode(cut_lines(F.col("own.line"), max_len)).alias("seg", "s"))
-    return cut.select("doc", "seg", F.explode(F.slice("own.pos", F.col("s.pos_from") + 1, F.col("s.pos_to") - F.col("s.pos_from") + 1)).alias("pos")).select("doc", "pos", "seg")
+    return pd.Series([one(np.asarray(n, np.int64), int(x)) for n, x in zip(nexts, low, strict=True)], dtype=object)
+
+
+def _begins(nexts: pd.Series, low: pd.Series, entry: pd.Series) -> pd.Series:
+    """The places of a block at which segments begin, from the first on."""
+
+    def one(own: np.ndarray, at: int, i: int) -> list[int]:
+        out = []
+        while i - at < len(own):
+            out.append(i)
+            i = int(own[i - at])
+        return out
+
+    return pd.Series([one(np.asarray(n, np.int64), int(x), int(i)) for n, x, i in zip(nexts, low, entry, strict=True)], dtype=object)
+
+
+def segment_starts(lines: DataFrame, max_len: int = 512, block: int = 4096, most: int = MOST) -> DataFrame:
+    """(doc, _i) of the lines at which greedy segments begin; lines: a cut table (doc, _i, _n, _end) of places from 0, lengths and running lengths.
+
+    If a segment began at a line, the next would begin behind the last line that ends within `max_len` of it: one running
+    count over line ends and such bounds in one order gives that for all lines. These pointers are followed inside blocks
+    of `block` lines; only places that some pointer leads to from another block are joined on, by doubling the steps.
+    """
+    ends = lines.select("doc", F.col("_end").alias("_at"), F.lit(0).alias("_kind"), "_i", F.lit(1).alias("_one"))
+    bounds = lines.select("doc", (F.col("_end") - F.col("_n") + max_len).alias("_at"), F.lit(1).alias("_kind"), "_i", F.lit(0).alias("_one"))
+    counted = scan(ends.unionByName(bounds), ["doc"], ["_at", "_kind", "_i"], {"_next": F.col("_one")}, most=most)
+    nexts = counted.filter("_kind = 1").select("doc", "_i", F.greatest("_next", F.col("_i") + 1).alias("_next"), F.floor(F.col("_i") / block).alias("_b"))
+    own = nexts.groupBy("doc", "_b").agg(F.array_sort(F.collect_list(F.struct("_i", "_next"))).alias("_p"))
+    own = cut(own.select("doc", "_b", (F.col("_b") * block).alias("_low"), F.col("_p._next").alias("_nexts")))
+    entries = own.filter("_b = 0").select("doc", F.lit(0).cast("long").alias("_i"))
+    later = own.filter("_b > 0")
+    if later.take(1):
+        long = own.join(later.select("doc").distinct(), "doc", "left_semi")
+        out = F.pandas_udf(_exits, "array<long>")("_nexts", "_low")
+        exits = cut(long.select("doc", "_low", F.posexplode(out).alias("_k", "_to")).select("doc", (F.col("_low") + F.col("_k")).alias("_i"), "_to"))
+        met = exits.select("doc", F.col("_to").alias("_i")).union(entries).distinct()
+        steps = cut(exits.join(met, ["doc", "_i"]))
+        reached = cut(entries.join(long.select("doc").distinct(), "doc", "left_semi"))
+        n = reached.count()
+        while True:
+            more = reached.join(steps, ["doc", "_i"]).select("doc", F.col("_to").alias("_i"))
+            wider = cut(reached.union(more).distinct())
+            if (now := wider.count()) == n:
+                break
+            reached, n = wider, now
+            steps = cut(steps.join(steps.select("doc", F.col("_i").alias("_to"), F.col("_to").alias("_far")), ["doc", "_to"], "left").select("doc", "_i", F.coalesce("_far", "_to").alias("_to")))
+        entries = entries.union(reached).distinct()
+    ways = own.join(entries.select("doc", F.floor(F.col("_i") / block).alias("_b"), "_i"), ["doc", "_b"])
+    return ways.select("doc", F.explode(F.pandas_udf(_begins, "array<long>")("_nexts", "_low", "_i")).alias("_i"))
+
+
+def pack_segments(lines: DataFrame, max_len: int = 512, text: str = "pure", block: int = 4096, most: int = MOST) -> DataFrame:
+    """W9 on a table of lines: (doc, pos, seg) for each line, the same as `cut_lines` on an array; no document's lines are gathered.
+
+    Null texts are lines of no length. Documents of any length spread over tasks; see `segment_starts`.
+    """
+    size = F.length(F.coalesce(F.col(text), F.lit(""))).cast("long")
+    own = scan(lines.select("doc", "pos", size.alias("_n")), ["doc"], ["pos"], {"_end": F.col("_n"), "_i": F.lit(1)}, most=most)
+    own = cut(own.withColumn("_i", F.col("_i") - 1))
+    starts = segment_starts(own.drop("pos"), max_len, block, most).withColumn("_new", F.lit(1))
+    marked = own.join(starts, ["doc", "_i"], "left")
+    return scan(marked, ["doc"], ["_i"], {"seg": F.coalesce("_new", F.lit(0))}, most=most).select("doc", "pos", (F.col("seg") - 1).cast("int").alias("seg"))
+
+
+def segment_table(lines: DataFrame, max_len: int = 512, text: str = "pure", block: int = 4096, most: int = MOST) -> DataFrame:
+    """W9 on a table of lines (doc, pos, text): (doc, seg, pos_from, pos_to, lines); what is gathered is a segment."""
+    placed = lines.select("doc", "pos", F.coalesce(F.col(text), F.lit("")).alias("line")).join(pack_segments(lines, max_len, text, block, most), ["doc", "pos"])
+    own = placed.groupBy("doc", "seg").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("own"))
+    return own.select("doc", "seg", F.element_at("own.pos", 1).alias("pos_from"), F.element_at("own.pos", -1).alias("pos_to"), F.col("own.line").alias("lines"))
 
 
 def trailing_context(lines: DataFrame, max_chars: int = 256, text: str = "pure", most: int = MOST) -> DataFrame:
@@ -156,28 +226,45 @@ def halve(segments: DataFrame, unit: int = 128) -> tuple[DataFrame, DataFrame]:
     return halves, rest
 
 
-def align_rounds(segments: DataFrame, answer: Callable[[DataFrame, int], DataFrame], answer_lines: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame], unit: int = 128, most: int = 5, rounds: int = 40) -> DataFrame:
+def first_fit(lines: Column, tries: Column, most: int = 5) -> Column:
+    """Of at most `most` tries (strings in order, null where one failed) the lines of the first that has as many as `lines`; else null."""
+    said = F.transform(F.slice(tries, 1, most), lambda t: F.split(F.replace(t, F.lit(TURN_END), F.lit("")), "\n", -1))
+    return F.get(F.filter(said, lambda a: F.size(a) == F.size(lines)), 0)  # a null try has no size
+
+
+def first_good(tries: Column, most: int = 5) -> Column:
+    """W12 on one line's tries, an array of (text, err) in order: the first without error that is one line and not empty, else the last's first line."""
+    said = F.transform(F.slice(tries, 1, most), lambda t: F.struct(strip(F.replace(t["text"], F.lit(TURN_END), F.lit(""))).alias("text"), t["err"].alias("err")))
+    good = F.filter(said, lambda t: t["err"].isNull() & (t["text"] != "") & ~F.contains(t["text"], F.lit("\n")))
+    last = F.nullif(F.get(F.split(F.try_element_at(said, F.lit(-1))["text"], "\n"), 0), F.lit(""))
+    return F.coalesce(F.get(good, 0)["text"], last, F.lit(NO_ANSWER))
+
+
+def align_rounds(segments: DataFrame, answer: Callable[[DataFrame, int], DataFrame], answer_lines: Callable[[DataFrame], DataFrame], unit: int = 128, most: int = 5) -> DataFrame:
     """(doc, pos, line, answer, round) for every line of `segments` (doc, seg, pos_from, lines).
 
-    `answer(segments, round)` gives responses (doc, seg, try, text). Segments that no response fits are halved for
-    the next round, until all are done; the lines of those too short to be halved go to `answer_lines`, which
-    takes lines (doc, pos, line) and gives attempts (doc, pos, attempt, text, err) for `accept_line`. `cut` writes
-    a table of each round and reads it back. Rounds are as many as halvings: about log2 of the longest segment.
+    `answer(segments, round)` gives its rows (doc, pos_from, lines) with `tries`, an array of answers. Segments that no try
+    fits are halved for the next round, until all are done; the lines of those too short to be halved go to
+    `answer_lines`, which takes (doc, pos, line) and gives them with `tries`, an array of (text, err). A round writes
+    one table and shuffles nothing, as a segment's tries stay beside it; where answers are a table of their own,
+    `answer` joins it. Segments get shorter in each round, so it ends after about log2 of the longest one.
     """
-    done, single, left = None, None, segments.select("doc", F.col("pos_from").cast("long").alias("seg"), F.col("pos_from").cast("long").alias("pos_from"), "lines")
-    for number in range(rounds):
-        pairs, failed = align_segments(left, answer(left, number), most)
-        pairs = cut(pairs.select("doc", F.col("pos").cast("long").alias("pos"), "line", "answer", F.lit(number).alias("round")))
-        done = pairs if done is None else done.unionByName(pairs)
-        left, lines = halve(cut(failed), unit)
-        left = cut(left)
-        single = lines if single is None else single.unionByName(lines)
-        if not left.take(1):
+    left, done, single, number = segments.select("doc", F.col("pos_from").cast("long").alias("pos_from"), "lines"), [], [], 0
+    long = (F.length(F.array_join("lines", "")) > unit) & (F.size("lines") > 1)
+    while True:
+        state = F.when(F.col("answer").isNotNull(), "done").when(long, "halve").otherwise("lines")
+        tried = cut(answer(left, number).select("doc", "pos_from", "lines", first_fit(F.col("lines"), F.col("tries"), most).alias("answer")).withColumn("state", state))
+        at = (F.col("pos_from") + F.col("k")).alias("pos")
+        pairs = tried.filter("state = 'done'").select("doc", "pos_from", F.posexplode(F.arrays_zip("lines", "answer")).alias("k", "z"))
+        done.append(pairs.select("doc", at, F.col("z.lines").alias("line"), F.col("z.answer").alias("answer"), F.lit(number).alias("round")))
+        single.append(tried.filter("state = 'lines'").select("doc", "pos_from", F.posexplode("lines").alias("k", "line")).select("doc", at, "line"))
+        open_ = tried.filter("state = 'halve'")
+        if not open_.take(1):
             break
-    lines = cut(single.withColumn("pos", F.col("pos").cast("long")))
-    said = accept_line(answer_lines(lines), most).select("doc", "pos", F.col("text").alias("answer"))
-    by_line = lines.join(said, ["doc", "pos"], "left").select("doc", "pos", "line", F.coalesce("answer", F.lit(NO_ANSWER)).alias("answer"), F.lit(-1).alias("round"))
-    return done.unionByName(by_line)
+        left, number = halve(open_, unit)[0].select("doc", "pos_from", "lines"), number + 1
+    every = lambda tables: functools.reduce(DataFrame.unionByName, tables)
+    said = answer_lines(every(single)).select("doc", "pos", "line", first_good(F.col("tries"), most).alias("answer"), F.lit(-1).alias("round"))
+    return every(done).unionByName(said)
 
 
 def bilingual(pairs: DataFrame, raw: bool = True) -> DataFrame:

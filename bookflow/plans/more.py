@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from bookflow.functions import text as T
 from bookflow.operators import catalog, chapters, html, layout, match, pixels, segments
 from bookflow.sources import archives, lines
-from bookflow.sources.shared import cut, shared_dir
+from bookflow.sources.shared import shared_dir
 
 from .queries import _BOOKS, _PAGES, _SEGMENTS, _books, _titles, query, table, web_pages
 
@@ -346,13 +346,13 @@ def w13_rounds(spark, sf_dir):
     def answer(left: DataFrame, number: int) -> DataFrame:
         said = F.transform("lines", lambda x: F.concat(F.lit(">"), x))
         said = F.when(F.size("lines") > 2, F.slice(said, 1, F.size("lines") - 1)).otherwise(said)
-        return left.select("doc", "seg", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("try"), said.alias("a")).select("doc", "seg", "try", F.when(F.col("try") == 1, F.array_join("a", "\n")).alias("text"))
+        return left.withColumn("tries", F.array(F.lit(None).cast("string"), F.array_join(said, "\n")))
 
     def answer_lines(rows: DataFrame) -> DataFrame:
-        tries = rows.select("doc", "pos", "line", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("attempt"))
-        return tries.select("doc", "pos", "attempt", F.when(F.length("line") % 3 > 0, F.concat(F.lit(">"), "line")).otherwise(F.lit("")).alias("text"), F.when(F.col("attempt") == 0, F.lit("late")).alias("err"))
+        late = F.struct(F.concat(F.lit(">"), "line").alias("text"), F.lit("late").alias("err"))
+        return rows.withColumn("tries", F.array(late, F.struct(F.when(F.length("line") % 3 > 0, F.concat(F.lit(">"), "line")).otherwise(F.lit("")).alias("text"), F.lit(None).cast("string").alias("err"))))
 
-    return segments.align_rounds(own, answer, answer_lines, cut)
+    return segments.align_rounds(own, answer, answer_lines)
 
 
 # ---- matching
