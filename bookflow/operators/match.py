@@ -90,43 +90,64 @@ def title_grams(title: Column, least: float) -> Column:
     return F.when(n == 0, F.array(F.lit(""))).otherwise(F.array_distinct(F.concat(*parts)))
 
 
-def near_candidates(left: DataFrame, right: DataFrame, least: float = 0.9) -> DataFrame:
-    """Pairs (date, a, b) of two cut tables (date, title) of distinct normalised titles that can be as similar as `least`.
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt to all tasks: few bytes, which Spark would put in one, but much to do for each row."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
 
-    The shorter title of a pair, or the same with its words sorted, has a piece that lies in the other; titles meet by
-    date and piece, and pairs that share none are never made. A pair comes once for each side that is no longer: at
-    the first of its pieces. Of the pairs made, those with too few letters in common go. A piece that many titles
-    of a day hold is a skewed key of a plain join, which Spark splits.
+def met_by_pieces(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Pairs (date, a, b) of two cut tables (date, title) of distinct normalised titles of which the shorter has a piece that lies in the other.
+
+    Words may be in any order: a title with its words sorted has pieces too. Titles meet by date and piece, and pairs
+    that share none are never made. A pair is made once for each side that is no longer, at the first of its pieces.
+    A piece that many titles of a day hold is a skewed key of a plain join, which Spark splits.
     """
     ordered = F.array_join(F.array_sort(F.filter(F.split("title", r"(?U)\s+"), lambda w: w != "")), " ")
 
     def halves(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        own = df.select("date", "title", ordered.alias("sorted"))
+        own = spread(df).select("date", "title", ordered.alias("sorted"))
         pieces = F.array_distinct(F.concat(title_pieces(F.col("title"), least), title_pieces(F.col("sorted"), least)))
         grams = F.array_distinct(F.concat(title_grams(F.col("title"), least), title_grams(F.col("sorted"), least)))
         short = own.select("date", F.col("title").alias("x"), pieces.alias("pieces")).select("date", "x", "pieces", F.posexplode("pieces").alias("at", "piece"))
         return short, own.select("date", F.col("title").alias("y"), F.col("sorted").alias("y_sorted"), F.explode(grams).alias("piece"))
 
     def met(short: DataFrame, long: DataFrame) -> DataFrame:
-        """(date, x, y): titles x that are no longer than y, at the first of their pieces that is in y."""
+        """(date, x, y): titles x that are no longer than y, as they are or as they are when words are sorted."""
         before = F.exists(F.slice("pieces", F.lit(1), F.col("at")), lambda p: F.contains("y", p) | F.contains("y_sorted", p))
-        bare = [F.regexp_replace(c, "^ | $", "") for c in ("x", "y")]  # as it is when words are sorted
-
-        def near(x: Column, y: Column) -> Column:
-            c = shared_letters(x, y)
-            return (F.length(x) <= F.length(y)) & ((F.length(x) == 0) | (2 * c >= (least - 1e-9) * (F.length(x) + c)))
-
-        return short.join(long, ["date", "piece"]).filter(~before & (near(F.col("x"), F.col("y")) | near(*bare))).select("date", "x", "y")
+        shorter = (F.length("x") <= F.length("y")) | (F.length(_bare("x")) <= F.length(_bare("y")))
+        return short.join(long, ["date", "piece"]).filter(shorter & ~before).select("date", "x", "y")
 
     (x, y), (u, v) = halves(left), halves(right)
     found = met(x, v).withColumnsRenamed({"x": "a", "y": "b"})
     return found.unionByName(met(u, y).withColumnsRenamed({"x": "b", "y": "a"})).distinct()
 
 
+def _bare(title: str) -> Column:
+    """A normalised title without the space before and behind it, as it is when its words are sorted."""
+    return F.regexp_replace(title, "^ | $", "")
+
+
+def possible_pairs(met: DataFrame, least: float) -> DataFrame:
+    """The distinct (a, b) of `met` that have letters enough in common."""
+
+    def near(x: Column, y: Column) -> Column:
+        c, n = shared_letters(x, y), F.least(F.length(x), F.length(y))
+        return (n == 0) | (2 * c >= (least - 1e-9) * (n + c))
+
+    # cut, as Spark would move the filter to where each pair is many rows
+    return cut(met.select("a", "b").distinct()).filter(near(F.col("a"), F.col("b")) | near(_bare("a"), _bare("b")))
+
+
+def near_candidates(left: DataFrame, right: DataFrame, least: float = 0.9) -> DataFrame:
+    """The pairs that `met_by_pieces` makes and `possible_pairs` keeps: all that can be as similar as `least`, and few others."""
+    met = cut(met_by_pieces(left, right, least))
+    return met.join(possible_pairs(met, least), ["a", "b"]).select("date", "a", "b")
+
+
 def similar_titles(books: DataFrame, subjects: DataFrame, least: float = 0.9) -> DataFrame:
     """J3 and J4 in one: (date, title, name, conf) for the distinct titles (date, title) and names (date, name) of a day that are at least so similar.
 
-    Null titles and names are like nothing. Pairs are made by shared pieces, and only those scored.
+    Null titles and names are like nothing. Pairs are made by shared pieces, and of them the distinct possible ones scored.
     """
     if least <= 0:
         pairs = books.select("date", "title").distinct().join(subjects.select("date", "name").distinct(), "date")
@@ -134,9 +155,9 @@ def similar_titles(books: DataFrame, subjects: DataFrame, least: float = 0.9) ->
     titles = cut(books.select("date", "title").distinct().withColumn("a", norm_title(F.col("title"))))
     names = cut(subjects.select("date", "name").distinct().withColumn("b", norm_title(F.col("name"))))
     plain = lambda df, c: df.filter(F.col(c).isNotNull()).select("date", F.col(c).alias("title")).distinct()
-    near = near_candidates(plain(titles, "a"), plain(names, "b"), least)
-    conf = near.select("a", "b").distinct().withColumn("conf", title_similarity(F.col("a"), F.col("b"))).filter(F.col("conf") >= least)
-    return near.join(conf, ["a", "b"]).join(titles, ["date", "a"]).join(names, ["date", "b"]).select("date", "title", "name", "conf")
+    met = cut(met_by_pieces(plain(titles, "a"), plain(names, "b"), least))
+    conf = spread(possible_pairs(met, least)).withColumn("conf", title_similarity(F.col("a"), F.col("b"))).filter(F.col("conf") >= least)
+    return met.join(conf, ["a", "b"]).join(titles, ["date", "a"]).join(names, ["date", "b"]).select("date", "title", "name", "conf")
 
 
 def best_match(books: DataFrame, subjects: DataFrame, threshold: float = 0.9, platforms: tuple[str, ...] = PLATFORMS) -> DataFrame:

@@ -160,11 +160,12 @@ def trailing_context(lines: DataFrame, max_chars: int = 256, text: str = "pure",
 
     copies = F.concat(F.array("_block"), F.coalesce(later(F.col("_ends")), F.array().cast("array<int>")))
     spread = far.withColumn("_at", F.explode(copies)).drop("_ends")
-    order = W.partitionBy("doc", "_at").orderBy("pos")
+    # each line adds to the running length, so that it gives their order as well: one sort for frame and lag
+    order = W.partitionBy("doc", "_at").orderBy("_end")
     # the lines that are taken for the line after this one: those that begin where at most max_chars are taken
-    near = W.partitionBy("doc", "_at").orderBy("_end").rangeBetween(-(max_chars + 1), 0)
-    taken = spread.withColumn("_own", F.array_sort(F.collect_list(F.struct("pos", F.col(text).alias("line"))).over(near)))
-    taken = taken.withColumn("context", F.coalesce(F.lag(F.array_join(F.col("_own.line"), "\n")).over(order), F.lit("")))
+    near = order.rangeBetween(-(max_chars + 1), 0)
+    taken = spread.withColumn("_own", F.array_join(F.collect_list(text).over(near), "\n"))
+    taken = taken.withColumn("context", F.coalesce(F.lag("_own").over(order), F.lit("")))
     return taken.filter(F.col("_at") == F.col("_block")).select(*lines.columns, "context")
 
 
