@@ -19,6 +19,8 @@ HIGH, LOW, ONES = np.uint64(0x8080808080808080), np.uint64(0x7F7F7F7F7F7F7F7F),
 SPACES = np.uint64(0x20) * ONES
 #: Marks that stand before the prefix, the suffix and the middle.
 MARKS = ("<P>", "<S>", "<M>")
+#: Bytes of texts that are looked at together; a longer text is by itself. About ten times as many are needed meanwhile.
+PART = 1 << 22
 CUTS = "n long, prefix_chars long, middle_chars long"
 
 
@@ -96,12 +98,18 @@ def cuts(data: np.ndarray, ends: np.ndarray, h1: np.ndarray, h2: np.ndarray) ->
 
 
 def cut_batch(text: pa.Array, h1: pa.Array, h2: pa.Array) -> pa.Array:
-    """`cuts` on Arrow arrays: the texts' own buffer is what is read, whatever part of it the array holds."""
+    """`cuts` on Arrow arrays: the texts' own buffer is what is read, whatever part of it the array holds, about PART bytes at a time."""
     text = text.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    found = cuts(data, offsets - offsets[0], *(h.to_numpy(zero_copy_only=False) for h in (h1, h2)))
-    return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in found], ["n", "prefix_chars", "middle_chars"])
+    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+    draws = [h.to_numpy(zero_copy_only=False) for h in (h1, h2)]
+    found, low = [np.empty((3, 0), np.int64)], 0
+    while low < len(text):
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + PART, "right")) - 1)
+        own = offsets[low : high + 1]
+        found.append(np.stack(cuts(data[own[0] : own[-1]], own - own[0], *(d[low:high] for d in draws))))
+        low = high
+    return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in np.concatenate(found, axis=1)], ["n", "prefix_chars", "middle_chars"])
 
 
 def drawn(key: Column, seed: int) -> list[Column]:

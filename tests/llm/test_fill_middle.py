@@ -73,10 +73,12 @@ def test_words_of_eight_bytes():
 
 
 @pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
-def test_parts_of_a_batch(kind):
+def test_parts_of_a_batch(kind, monkeypatch):
     texts = pa.array(["a b", None, "", "é é  ", "c", "d  e\n"], kind)
     h = pa.array([1, 1, 1, 1, 1, 1]), pa.array([2, 2, 2, 2, 2, 2])
     whole = fill_middle.cut_batch(texts, *h).to_pylist()
     assert [x["n"] for x in whole] == [2, 0, 0, 3, 1, 3]
+    monkeypatch.setattr(fill_middle, "PART", 4)
+    assert fill_middle.cut_batch(texts, *h).to_pylist() == whole
     for i in range(6):
         assert fill_middle.cut_batch(texts.slice(i), *(x.slice(i) for x in h)).to_pylist() == whole[i:]
