@@ -90,9 +90,32 @@ def missing_worklist(books: DataFrame, labels: DataFrame, shop: str | None = Non
     )
 
 
+#: Bits of the filter that new keys make: in rows of 2^15, of which there are 2^12 at most, 16 MB whatever the keys.
+BITS = 1 << 27
+
+
+def among(record: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of `record` whose key may be one of `keys`: all that are, and of the others about len(keys) / BITS.
+
+    Each key sets one bit of a table of bits, which is broadcast, so that `record` is only scanned. Null keys are not found.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(BITS))
+    row, bit = F.floor(place / 32768).cast("int"), place % 32768
+    bits = keys.filter(F.col(key).isNotNull()).groupBy(row.alias("_row")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (bit % 8 + 1).cast("int"))) > 0
+    return record.withColumn("_row", row).join(F.broadcast(bits), "_row").filter(hit).drop("_row", "_bits")
+
+
 def unseen(rows: DataFrame, record: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """The rows whose key the record lacks, the first of each key in any order, and the record with them."""
-    fresh = rows.dropDuplicates([key]).join(record.select(key), key, "left_anti")
+    """The rows whose key the record lacks, the first of each key in any order, and the record with them.
+
+    However large the record, it is read once and not shuffled: only those of its rows are that a filter of the new
+    keys lets through (see `among`), and these settle what is new. Rows of a null key count as new, one of them.
+    """
+    firsts = rows.dropDuplicates([key])
+    seen = among(record.select(key), rows.select(key), key)
+    fresh = firsts.join(seen, key, "left_anti")
     return fresh, record.select(key).unionByName(fresh.select(key))
 
 

@@ -6,12 +6,9 @@ row by row inside the query, so that each query's work grows with its table.
 
 from __future__ import annotations
 
-import io
 import uuid
-import zipfile
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookflow.functions import text as T
@@ -19,53 +16,18 @@ from bookflow.operators import catalog, chapters, html, layout, match, pixels, s
 from bookflow.sources import archives, lines
 from bookflow.sources.shared import shared_dir
 
+from . import fixtures
 from .queries import _BOOKS, _PAGES, _SEGMENTS, _books, _titles, query, table, web_pages
 
 
-def _escaped(s: Column) -> Column:
-    """Text as it stands in a page."""
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        s = F.replace(s, F.lit(a), F.lit(b))
-    return s
-
-
-def _joined(rows: DataFrame, key: str, order: str, item: Column, before: str = "", after: str = "") -> DataFrame:
-    """(key, html): the items of each key in order, as one page."""
-    parts = F.array_sort(F.collect_list(F.struct(order, item.alias("item"))))
-    return rows.groupBy(key).agg(F.concat(F.lit(before), F.array_join(parts["item"], ""), F.lit(after)).alias("html"))
-
-
 # ---- archives
 
 
-#: Pages in an archive: larger hosts make several.
-PAGES = 20
-_KIND = "application/xhtml+xml"
-_CONTAINER = '<?xml version="1.0"?><container><rootfiles><rootfile full-path="OEBPS/content.opf"/></rootfiles></container>'
-
-
-def _zipped(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One archive of a book's pages: spine from the last page to the first, contents with every third page."""
-    pdf = pdf.sort_values("n")
-    names = [f"t/{n}.xhtml" for n in pdf["n"]]
-    items = "".join(f'<item id="p{i}" href="{h}" media-type="{_KIND}"/>' for i, h in enumerate(names)) + f'<item id="nav" href="nav/nav.xhtml" media-type="{_KIND}" properties="nav"/>'
-    spine = "".join(f'<itemref idref="p{i}"/>' for i in reversed(range(len(names)))) + '<itemref idref="nav"/><itemref idref="unknown"/>'
-    links = "".join(f'<a href="../{h}#top">x</a>' for h in names[::3])
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("META-INF/container.xml", _CONTAINER)
-        z.writestr("OEBPS/content.opf", f"<package><manifest>{items}</manifest><spine>{spine}</spine></package>")
-        z.writestr("OEBPS/nav/nav.xhtml", f'<html><body><nav epub:type="toc">{links}</nav></body></html>')
-        for h, page in zip(names, pdf["html"], strict=True):
-            z.writestr(f"OEBPS/{h}", page)
-    return pd.DataFrame({"path": [f"/lib/{pdf['book'].iloc[0]}.epub"], "content": [out.getvalue()]})
-
-
 def _members(spark, sf_dir) -> DataFrame:
     """The members of archives that hold PAGES pages of a host each."""
     pages = web_pages(spark, sf_dir)
-    rows = pages.select(F.format_string("%s-%d", "book", F.floor(F.col("page") / PAGES)).alias("book"), (F.col("page") % PAGES).alias("n"), "html")
-    return archives.unzipped(rows.groupBy("book").applyInPandas(_zipped, "path string, content binary"), "/lib")
+    rows = pages.select(F.format_string("%s-%d", "book", F.floor(F.col("page") / fixtures.PAGES)).alias("book"), (F.col("page") % fixtures.PAGES).alias("n"), "html")
+    return archives.unzipped(rows.groupBy("book").applyInPandas(fixtures.zipped, "path string, content binary"), "/lib")
 
 
 _ARCHIVES = rf"""{_PAGES}, a AS (SELECT concat(book, '-', page // 20) AS book, page % 20 AS n, html FROM p),
@@ -150,7 +112,7 @@ def x1_product_records(spark, sf_dir):
     row = lambda key, value: F.concat(F.lit(f'<li class="x productInfo"><span class="category"> {key} </span><span class="categoryValue">'), value, F.lit("</span></li>"))
     page = F.concat(
         F.lit("<ul>"), row("著者／編集", F.col("p_brand")), row("シリーズ", F.concat(F.lit('<a href="/series/'), "p_type", F.lit('">s</a>'))), F.lit('</ul><span class="price" content="'), F.col("p_size").cast("string"),
-        F.lit('">y</span><div class="saleDesc"><h3>d</h3><p> '), _escaped(F.col("p_name")), F.lit(' </p></div><div id="imageSliderWrap"><img src="//i.example/'), F.col("p_partkey").cast("string"), F.lit('.jpg"></div>'),
+        F.lit('">y</span><div class="saleDesc"><h3>d</h3><p> '), fixtures.escaped(F.col("p_name")), F.lit(' </p></div><div id="imageSliderWrap"><img src="//i.example/'), F.col("p_partkey").cast("string"), F.lit('.jpg"></div>'),
     )
     found = html.extract_records(part.select("p_partkey", page.alias("html")), "product", ["p_partkey"])
     return found.select("p_partkey", F.col("meta")["著者／編集"].alias("author_field"), "cover_url", "price", F.get("descriptions", 0).alias("description"), "series_url")
@@ -163,7 +125,7 @@ def x1_volume_records(spark, sf_dir):
     title = F.concat(F.lit("v "), F.col("l_partkey").cast("string"), F.lit(" &amp; "), F.col("l_linenumber").cast("string"))
     date = F.concat(F.year("l_shipdate").cast("string"), F.lit("年"), F.month("l_shipdate").cast("string"), F.lit("月"), F.day("l_shipdate").cast("string"), F.lit("日 発売"))
     item = F.concat(F.lit('<li class="list__info"><p class="info__title">'), title, F.lit('</p><p class="info__date">'), date, F.lit("</p></li>"))
-    pages = _joined(rows, "l_orderkey", "at", item)
+    pages = fixtures.joined(rows, "l_orderkey", "at", item)
     order = F.when(F.col("l_orderkey") % 2 == 0, F.lit("新しい順")).otherwise(F.lit("古い順"))
     pages = pages.withColumn("html", F.concat(F.lit('<div class="sort__order__list"><span class="active">'), order, F.lit("</span></div>"), "html"))
     return html.extract_records(pages, "volumes", ["l_orderkey"])
@@ -174,8 +136,8 @@ def x1_episode_records(spark, sf_dir):
     """The index page of a novel for each conversation."""
     turns = table(spark, sf_dir, "conversations")
     number = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
-    item = F.when(F.col("role") == "system", F.concat(F.lit('<div class="p-eplist__chapter-title">'), _escaped(F.col("text")), F.lit("</div>"))).otherwise(F.concat(F.lit('<div class="p-eplist__sublist"><a href="/n/'), number, F.lit('">'), _escaped(F.col("text")), F.lit("</a> date</div>")))
-    return html.extract_records(_joined(turns, "conv_id", "turn", item, '<div class="p-eplist">', "</div>"), "episodes", ["conv_id"])
+    item = F.when(F.col("role") == "system", F.concat(F.lit('<div class="p-eplist__chapter-title">'), fixtures.escaped(F.col("text")), F.lit("</div>"))).otherwise(F.concat(F.lit('<div class="p-eplist__sublist"><a href="/n/'), number, F.lit('">'), fixtures.escaped(F.col("text")), F.lit("</a> date</div>")))
+    return html.extract_records(fixtures.joined(turns, "conv_id", "turn", item, '<div class="p-eplist">', "</div>"), "episodes", ["conv_id"])
 
 
 @query("""SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS pos, CAST(event_id AS VARCHAR) AS work_id FROM events WHERE event_type <> 'view'""")
@@ -184,41 +146,26 @@ def x1_work_records(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     href = F.when(F.col("event_type") == "view", F.lit("/users/1")).otherwise(F.concat(F.lit("/novel/show.php?id="), F.col("event_id").cast("string")))
     item = F.concat(F.lit('<li offset="0"><a href="/u">u</a><a href="'), href, F.lit('">w</a></li>'))
-    return html.extract_records(_joined(events, "user_id", "event_id", item, "<ul>", "</ul>"), "works", ["user_id"])
+    return html.extract_records(fixtures.joined(events, "user_id", "event_id", item, "<ul>", "</ul>"), "works", ["user_id"])
 
 
 _OWN_LINES = r"""s AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS own FROM documents),
 l AS (SELECT doc_id, unnest(own) AS line, unnest(range(0, len(own))) AS i FROM s), n AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM l)"""
 
 
-def _line_pages(spark, sf_dir, forms: list[Column]) -> DataFrame:
-    """documents as pages: the i-th line that is not blank stands in the (i mod n)-th of `forms`, made of the columns i and e, the escaped line."""
-    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
-    own = F.filter(F.transform(F.split("text", "\n", -1), T.strip), lambda x: x != "")
-    rows = docs.select("doc_id", F.posexplode(own).alias("i", "line")).withColumn("e", _escaped(F.col("line")))
-    item = forms[-1]
-    for k, form in enumerate(forms[:-1]):
-        item = F.when(F.col("i") % len(forms) == k, form).otherwise(item)
-    return _joined(rows, "doc_id", "i", item, "<html><head><title>t</title></head><body>", "</body></html>")
-
-
-def _tagged(before: str, after: str) -> Column:
-    return F.concat(F.lit(before), "e", F.lit(after))
-
-
 @query(rf"""WITH {_OWN_LINES}, b AS (SELECT doc_id, i, CASE WHEN i % 6 = 1 THEN 'heading' ELSE 'text' END AS kind, CASE WHEN i % 6 = 1 THEN 2 ELSE 0 END AS level,
 CASE i % 6 WHEN 0 THEN line WHEN 1 THEN '#### ' || line WHEN 2 THEN '<div><b>' || line || '</b>tail</div>' || coalesce(next || 'x', '') WHEN 4 THEN 'a|' || line ELSE '<ruby>漢<rt>' || line || '</rt></ruby>' END AS line FROM n WHERE i % 6 <> 3)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS pos, kind, level, line FROM b""")
 def x4_line_blocks(spark, sf_dir):
     """The documents' lines as paragraphs, headings, loose pieces that make one block, line breaks and ruby."""
-    forms = [_tagged("<p>", "</p>\n"), _tagged("<h2>", "</h2>"), _tagged("<div><b>", "</b> tail</div>"), _tagged("<span>", "</span> x <!-- c -->"), _tagged("<p>a<br/>", "</p>"), _tagged("<p><ruby>漢<rt>", "</rt></ruby></p><script>s()</script>")]
-    return html.extract_blocks(_line_pages(spark, sf_dir, forms), ["doc_id"], style=html.Style(break_text="|")).drop("images")
+    forms = [fixtures.tagged("<p>", "</p>\n"), fixtures.tagged("<h2>", "</h2>"), fixtures.tagged("<div><b>", "</b> tail</div>"), fixtures.tagged("<span>", "</span> x <!-- c -->"), fixtures.tagged("<p>a<br/>", "</p>"), fixtures.tagged("<p><ruby>漢<rt>", "</rt></ruby></p><script>s()</script>")]
+    return html.extract_blocks(fixtures.line_pages(spark, sf_dir, forms), ["doc_id"], style=html.Style(break_text="|")).drop("images")
 
 
 @query(rf"""WITH {_OWN_LINES} SELECT doc_id, string_agg(CASE i % 3 WHEN 0 THEN line WHEN 1 THEN '##### ' || line ELSE 'a' || chr(10) || line END, chr(10) || chr(10) ORDER BY i) AS text FROM l GROUP BY doc_id""")
 def x5_line_stories(spark, sf_dir):
     """The documents' lines as a story's paragraphs and headings."""
-    return html.story_text(_line_pages(spark, sf_dir, [_tagged("<p> ", " </p>"), _tagged("<div><h3>", "</h3></div>"), _tagged("<p>a<br>", "</p>")]), ["doc_id"])
+    return html.story_text(fixtures.line_pages(spark, sf_dir, [fixtures.tagged("<p> ", " </p>"), fixtures.tagged("<div><h3>", "</h3></div>"), fixtures.tagged("<p>a<br>", "</p>")]), ["doc_id"])
 
 
 # ---- text functions and files
@@ -307,19 +254,12 @@ def w6_volumes(spark, sf_dir):
     return layout.merge_ocr(turns.select(F.col("conv_id").alias("doc"), turn.alias("page"), user.alias("new"), F.transform(F.split(F.concat(title, "text"), r"\. ", -1), line).alias("lines")))
 
 
-def _chars(spark, sf_dir) -> DataFrame:
-    """The characters of the pages' URLs, set out in lines of twelve that drift down; full stops are small."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split("url", "")).alias("seq", "text")).filter("text <> ''")
-    line = F.floor(F.col("seq") / 12)
-    return pages.select(F.lit("urls").alias("doc"), F.col("page_id").alias("page"), "seq", "text", F.when(F.col("text") == ".", 4.0).otherwise(10.0).alias("size"), (F.col("seq") % 12 * 9.0).alias("x0"), (700.0 - line * 14 - F.col("seq") % 12 * 0.1).alias("y1"))
-
-
 _CHARS = "c AS (SELECT page_id AS page, unnest(range(0, length(url))) AS seq, unnest(string_split(url, '')) AS ch FROM pages)"
 
 
 @query(f"WITH {_CHARS} SELECT 'urls' AS doc, page, seq, ch AS text FROM c WHERE ch <> '.'")
 def a4_larger_chars(spark, sf_dir):
-    return layout.drop_small_chars(_chars(spark, sf_dir)).select("doc", "page", F.col("seq").cast("long").alias("seq"), "text")
+    return layout.drop_small_chars(fixtures.chars(spark, sf_dir)).select("doc", "page", F.col("seq").cast("long").alias("seq"), "text")
 
 
 @query(f"""WITH {_CHARS}, e AS (SELECT page, (min(seq % 12) + max(seq % 12)) * 9.0 / 2 AS centre FROM c GROUP BY page),
@@ -327,7 +267,7 @@ l AS (SELECT page, seq // 12 AS n, string_agg(ch, '' ORDER BY seq) AS line, min(
 SELECT 'urls' AS doc, page, CAST(row_number() OVER (PARTITION BY page ORDER BY n) - 1 AS INTEGER) AS pos, line FROM l JOIN e USING (page) WHERE NOT (abs(x - centre) < 20 AND length(line) <= 3)""")
 def w7_url_lines(spark, sf_dir):
     """The URLs' characters back in lines."""
-    return layout.cluster_lines(_chars(spark, sf_dir))
+    return layout.cluster_lines(fixtures.chars(spark, sf_dir))
 
 
 # ---- alignment in rounds

@@ -565,4 +565,4 @@ def _drained(spark, sf_dir, job) -> DataFrame:
     return spark.read.schema(out.schema).parquet(f"{path}/rows")
 
 
-from . import more  # noqa: E402, F401  (registers the further queries)
+from . import further, more  # noqa: E402, F401  (register the further queries)

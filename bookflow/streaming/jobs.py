@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 
 def stream_unseen(stream: DataFrame, key: str, event_time: str | None = None, delay: str = "30 days") -> DataFrame:
@@ -80,6 +82,51 @@ def current_stages(spark, path: str, key: str, stage: str = "stage", before: int
     return latest_stages(rows, key, stage)
 
 
+class Stages(StatefulProcessor):
+    """The highest stage of a key as its one value in the state store; a row goes out when it rises."""
+
+    def __init__(self, key: str, stage: str, kept_ms: int | None):
+        self.key, self.stage, self.kept_ms = key, stage, kept_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.best = handle.getValueState("best", "stage int", self.kept_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        top = max((int(m) for pdf in rows if not pd.isna(m := pdf[self.stage].max())), default=None)
+        had = self.best.get()
+        if top is not None and (had is None or had[0] < top):
+            self.best.update((top,))
+            yield pd.DataFrame({self.key: [key[0]], self.stage: [top]})
+
+    def close(self) -> None:
+        pass
+
+
+def rising_stages(stream: DataFrame, key: str, stage: str = "stage", kept: str | None = None) -> DataFrame:
+    """(key, stage) whenever a key reaches a higher stage than ever before in a stream.
+
+    A key's state is one number. With `kept` (such as '30 days') it is forgotten so long after its last rise, which
+    bounds the state by the keys that rose lately; a key that comes again then begins anew. Rows that come late or
+    again with a lower stage change nothing; rows of null stages neither. Start the query within `keyed_state`.
+    """
+    kinds = dict(stream.dtypes)
+    ms = None if kept is None else int(pd.Timedelta(kept).total_seconds() * 1000)
+    rows = stream.select(key, F.col(stage).cast("int").alias(stage))
+    return rows.groupBy(key).transformWithStateInPandas(Stages(key, stage, ms), f"`{key}` {kinds[key]}, `{stage}` int", "Append", "None" if ms is None else "ProcessingTime")
+
+
+@contextlib.contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep their state in RocksDB, which keyed state asks for; others of the session are left as they are."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stream_links(stream: DataFrame, link: Callable[[DataFrame], DataFrame], path: str) -> DataStreamWriter:
     """T3 on a stream: `link` (such as `incremental_links` with its subjects bound) on each batch, written below `path` by batch."""
 
