@@ -102,7 +102,9 @@ class NamedFiles(DataSource):
 
 
 def write_named(rows: DataFrame, path: str, name: Column, content: Column, mode: str = "append") -> None:
-    """A file `name` below `path` for each row. Either all files of a job are there, or none: a failed job leaves nothing, and a task that is tried again nothing twice.
+    """A file `name` below `path` for each row. Either all files of a job are there, or none, and a task that is tried again leaves nothing twice.
+
+    A failed job removes what its tasks wrote; one that is killed late may leave a folder `_waiting-`, which no reader sees.
 
     Two rows of one name, a null or empty name, and names that lead out of the folder are errors; null content is an
     empty file. The driver moves the files at the end, and so holds their names.

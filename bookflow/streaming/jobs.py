@@ -117,14 +117,19 @@ def rising_stages(stream: DataFrame, key: str, stage: str = "stage", kept: str |
 
 @contextlib.contextmanager
 def keyed_state(spark: SparkSession) -> Iterator[None]:
-    """Queries that start inside keep their state in RocksDB, which keyed state asks for; others of the session are left as they are."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Queries that start inside keep their state in RocksDB, which keyed state asks for, and make no batches without rows, as a run that should end would make them for ever where state is forgotten by the clock. Others of the session are left as they are."""
+    own = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in own}
     try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def stream_links(stream: DataFrame, link: Callable[[DataFrame], DataFrame], path: str) -> DataStreamWriter:
