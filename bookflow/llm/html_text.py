@@ -19,6 +19,7 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section summary table tbody td template tfoot th thead title tr ul".split()
 )
 HIDDEN_TAGS = frozenset("script style template noscript head title svg math iframe object canvas audio video textarea select button noframes".split())
+HEAD_TAGS = frozenset("html head title base link meta style script noscript template".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 AROUND_TAGS = frozenset("nav header footer aside menu dialog search".split())
 INSIDE_TAGS = frozenset("article main".split())
@@ -225,8 +226,21 @@ class Flat(HTMLParser):
             self.blocks.append(Block(text, len(text.split(" ")), sum(c for c, own in counts if own) / n, around, top.named, top.inside, top.item, top.heading, top.form))
         self.piece = _Piece()
 
+    def leave(self, tag: str, within: frozenset = frozenset()) -> None:
+        """Close the open element `tag`, whose end tag may be left out, but not from inside one of `within`."""
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i].tag in within:
+                return
+            if self.stack[i].tag == tag:
+                self.cut()
+                del self.stack[i:]
+                return
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in HEAD_TAGS:
+            self.leave("head", HIDDEN_TAGS - {"head"})
         if tag in BLOCK_TAGS:
+            self.leave("button", BLOCK_TAGS)  # it holds no blocks
             self.cut()
         if tag == "br":
             self.handle_data(" ")
@@ -290,6 +304,8 @@ class Flat(HTMLParser):
                 return  # an inline end tag does not reach out of its block
 
     def handle_data(self, data: str) -> None:
+        if self.stack[-1].tag == "head" and not data.isspace():
+            self.leave("head")
         top = self.stack[-1]
         if not top.hidden:
             self.piece.parts.append(data)

@@ -1,6 +1,8 @@
 import html as H
 import random
 
+import pytest
+
 from bookflow.llm import html_text
 from tests.llm.helpers import LONG
 
@@ -114,3 +116,18 @@ def test_table(spark, sf):
     got = html_text.extract(odd).collect()
     assert sorted(len(r.text) for r in got) == [0, 0, len(LONG) - 1, len(LONG) - 1] and set(got[0].asDict()) == {"page_id", "url", "words", "text"}
     assert html_text.extract(odd.filter("page_id > 9")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>T</title><body><article><p>{}</p></article></body></html>",
+        "<html><head><title>T</title><meta charset=utf-8><article><p>{}</p></article>",
+        "<head><style>p {{}}</style><noscript><p>no script</p></noscript><script>x()</script><link rel=x><div><p>{}</p></div>",
+        "<head><title>T</title>\n<article>{}</article>",
+        "<html><body><article><button>Like<p>{}</p></article></body></html>",
+    ],
+)
+def test_end_tags_left_out(page):
+    text = "The river rose in the night and the men of the village went down to look at it before the sun was up."
+    assert html_text.main_text(page.format(text), TREE) == text
