@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, cut, sized, table
 
-#: Labelled texts of a language that training takes at most (about; by the hashes of their ids). Every language is learnt.
-PER_LANG = 600
+#: Characters of labelled texts that training takes, about, at most: of one language, and of all together. With more
+#: languages than these allow each gets an equal part of TOTAL_CHARS. Every language with a text that fits its part is learnt.
+LANG_CHARS, TOTAL_CHARS = 2_000_000, 40_000_000
 #: Numbers that a task keeps for words that it met: a word needs one for each language.
 WORD_CACHE = 4_000_000
 #: Order of the models; discount of the counts.
@@ -142,15 +143,15 @@ def train(texts: list[str], langs: list[str]) -> Models:
     names = sorted(set(langs))
     if not names:
         return Models([], [], [])
+    counts: dict[str, dict[str, int]] = {name: {} for name in names}
+    for t, own in zip(texts, langs, strict=True):
+        seen = counts[own]
+        for w in LETTERS.findall(t.lower()):
+            seen[w] = seen.get(w, 0) + 1
     per = []
     for name in names:
-        counts: dict[str, int] = {}
-        for t, own in zip(texts, langs, strict=True):
-            if own == name:
-                for w in LETTERS.findall(t.lower()):
-                    counts[w] = counts.get(w, 0) + 1
-        words = sorted(counts) or ["a"]
-        per.append(kneser_ney(words, np.array([counts.get(w, 1) for w in words])))
+        words = sorted(counts[name]) or ["a"]
+        per.append(kneser_ney(words, np.array([counts[name].get(w, 1) for w in words])))
     grams = [Table.of([(m[n][0], m[n][1]) for m in per]) for n in range(ORDER)]
     contexts = [Table.of([(m[n][2], m[n][3]) for m in per]) for n in range(ORDER)]
     model = Models(names, grams, contexts)
@@ -175,13 +176,18 @@ def entropies(model: Models, words: list[str]) -> np.ndarray:
     return -logs.sum(axis=0) / size.sum()
 
 
-def labelled(docs: DataFrame, learn: Column, text: str, lang: str, per_lang: int = PER_LANG) -> tuple[list[str], list[str]]:
-    """The training sample: about `per_lang` texts at most of each language. Rows are drawn by key and text, so that a repeated key adds no more."""
+def labelled(docs: DataFrame, learn: Column, text: str, lang: str, lang_chars: int = LANG_CHARS, total_chars: int = TOTAL_CHARS) -> tuple[list[str], list[str]]:
+    """The training sample: texts of about `lang_chars` characters at most of each language, and `total_chars` of all.
+
+    Rows are drawn by key and text, so that a repeated key adds no more, with a chance that makes the characters expected
+    of a language its part; a text longer than the part is not drawn, so what the driver gets is bounded.
+    """
     able = docs.select("doc_id", F.col(lang).alias("_lang"), F.col(text).alias("_text")).filter(F.col("_lang").isNotNull() & learn)
-    able = able.filter(F.col("_text").isNotNull())
-    counts = able.groupBy("_lang").agg(F.count("*").alias("_n"))  # a row for each language
+    able = able.filter(F.col("_text").isNotNull()).withColumn("_size", F.length("_text"))
+    counts = cut(able.groupBy("_lang").agg(F.sum("_size").alias("_chars")))  # a row for each language
+    part = min(lang_chars, total_chars // max(1, counts.count()))
     draw = F.pmod(F.xxhash64("doc_id", "_text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    some = able.withColumn("_draw", draw).join(sized(cut(counts)), "_lang").filter(F.col("_draw") * F.col("_n") < per_lang)
+    some = able.withColumn("_draw", draw).join(sized(counts), "_lang").filter((F.col("_size") <= part) & (F.col("_draw") * F.col("_chars") < part))
     # rows that repeat key and text are drawn together: each counts once
     rows = some.select("doc_id", "_lang", "_text").distinct().orderBy("doc_id", F.xxhash64("_text"), "_lang").collect()
     return [r["_text"] for r in rows], [r["_lang"] for r in rows]
