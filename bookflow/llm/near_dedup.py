@@ -209,7 +209,8 @@ def nodes(classes: DataFrame, small: int = SMALL, deepest: int = DEEPEST, percen
     """
     rows = classes.select("rep", "comp", "n_shingles", "tokens", F.explode(F.array(*map(F.lit, trees))).alias("tree"))
     pick = [F.get("tokens", (F.col("tree") * FIRST + k) % TOKENS) for k in range(FIRST)]
-    rows = rows.withColumn("node", F.xxhash64("tree", *pick)).drop("tree")
+    # written once without tokens: most nodes need none, and all that follows would deal the classes to trees again
+    rows = cut(rows.select("rep", "comp", "n_shingles", F.xxhash64("tree", *pick).alias("node")))
     leaves, rest, ruled = [], [], []
     one = lambda parts: reduce(DataFrame.unionByName, parts)
     for level in range(deepest + 1):
@@ -226,6 +227,8 @@ def nodes(classes: DataFrame, small: int = SMALL, deepest: int = DEEPEST, percen
             rest.append(rows.select("node", "rep", "n_shingles").join(sized(large), "node"))
             return one(leaves), one(rest), one(ruled)
         rows = rows.join(sized(large), "node")
+        if not level:
+            rows = classes.select("rep", "tokens").join(sized(cut(rows)), "rep")
         rows = rows.join(sized(cut_ids(agreement(rows, percent))), "node", "left")
         rest.append(rows.filter("share >= 0.5").select("node", "rep", "n_shingles"))
         paths = F.least(F.greatest(F.round(1.25 / F.pow("mean", F.lit(STEP))), F.lit(2)), F.lit(MOST)).cast("int")
