@@ -64,6 +64,7 @@ def toc_starts(pages: DataFrame, links: DataFrame, nav: DataFrame | None = None,
         every = every.unionByName(way(found, "start", "NAV", 1))
     if splits is not None:
         every = every.unionByName(way(splits, "left", "MANUAL", 0))
+    every = cut(every)  # narrow rows, read twice, of which some were parsed out of pages
     best = every.groupBy("book").agg(F.min("rank").alias("rank"))
     return every.join(best, ["book", "rank"]).select("book", "start", "method").distinct()
 
