@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from bookflow.functions import text as T
 from bookflow.operators import chapters, html, layout, match, segments
 from bookflow.sources import archives, files
-from bookflow.sources.shared import shared_dir
+from bookflow.sources.shared import cut, shared_dir
 from bookflow.streaming import jobs, lines
 
 from . import fixtures
@@ -93,7 +93,7 @@ def j6_title_candidates(spark, sf_dir):
     items = table(spark, sf_dir, "pages").select(F.col("page_id").alias("item_id"), match.bigrams(path).alias("grams"))
     first = F.lower(F.regexp_extract("text", "^[A-Za-z]+(?: [A-Za-z]+){0,2}", 0))
     subjects = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("rank"), match.bigrams(first).alias("grams"))
-    return match.retrieved(match.cut(items), match.cut(subjects)).select("item_id", "id", F.col("shared").cast("long").alias("shared"), F.col("place").cast("long").alias("place"))
+    return match.retrieved(cut(items), cut(subjects)).select("item_id", "id", F.col("shared").cast("long").alias("shared"), F.col("place").cast("long").alias("place"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'https://books.example/rb/' || o_custkey || '/' WHEN 1 THEN 'https://store.example/i/' || o_custkey || '?q=' || o_orderkey || '&b=%E3%81%82%20~'
