@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bookflow.operators.catalog import among
+
 from .common import BROADCAST_ROWS, cut, few, let, sized, table
 
 #: Words in a shingle, and the share of an item's shingles that a document must hold.
@@ -69,6 +71,17 @@ def sketches(items: DataFrame, contained: float = CONTAINED) -> DataFrame:
     return items.filter(size > 0).select("item_id", need.alias("need"), F.explode(F.slice(F.sort_array("h"), F.lit(1), keep)).alias("h"))
 
 
+def probes(rows: DataFrame, sketch: DataFrame, lengths: list[int]) -> DataFrame:
+    """(_key, h): the minwise hashes of documents (_key, _text) that may lie in an item's sketch.
+
+    The sketches of all sizes' partitions mark narrow ranges of hashes, of which there are at most 2^27 (16 MB); a
+    document is asked for its hashes in marked ranges alone. What is left is as much as documents and items share,
+    and of all else about (rows of `sketch`) / 2^27, before anything is shuffled.
+    """
+    hashes = rows.select("_key", F.explode(doc_shingles(F.col("_text"), lengths, hashed)).alias("h"))
+    return among(hashes, sketch, "h")
+
+
 def met(left: DataFrame, right: DataFrame, key: str, small: bool) -> DataFrame:
     """The inner join of rows (_key, `key`) with a table of items: broadcast if that is small, else with each of its keys dealt to SALTS tasks."""
     if small:
@@ -82,7 +95,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
 
     An item of fewer words than SHINGLE is found wherever its words stand in a row. Null and empty texts and items
     give no pair. Rows of `docs` that share a key count as one document, so repeated rows add nothing; rows without
-    a key are left out. Items of the same id count as one item. Other columns are ignored.
+    a key are left out. Items of the same id count as one item. A text of any length is one row's work until its
+    distinct shingles are apart; there are no ties. Other columns are ignored.
     """
     bench = cut(item_shingles(benchmark))
     lengths = sorted(r["n_words"] for r in bench.select("n_words").distinct().collect()) or [SHINGLE]  # SHINGLE rows at most
@@ -90,11 +104,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
     small = few(bench, most)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.col("_key").isNotNull())
 
-    # a document's sketch: its minwise hashes up to the largest that any item's sketch has
-    top = sketch.agg(F.max("h")).first()[0]
-    kept = F.filter(doc_shingles(F.col("_text"), lengths, hashed), lambda h: h <= F.lit(top).cast("long"))
-    probes = rows.select("_key", F.explode(kept).alias("h"))
-    found = met(probes, sketch, "h", small).groupBy("_key", "item_id", "need").agg(F.count_distinct("h").alias("n"))
+    found = met(probes(rows, sketch, lengths), sketch, "h", small).groupBy("_key", "item_id", "need").agg(F.count_distinct("h").alias("n"))
     found = cut(found.filter("n >= need").select("_key", "item_id"))
 
     # exact containment, over the candidates alone

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from bookflow.llm import decontaminate
 from tests.llm.helpers import LONG, ODD, documents
 
@@ -68,3 +70,16 @@ def test_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d[0]) for d in ODD if d[0] not in (4, 5))
     assert LONG and decontaminate.leaks(documents(spark, ODD), bench(spark, items).filter("item_id > 9")).count() == 0
     assert decontaminate.leaks(documents(spark, ODD).filter("doc_id > 9"), bench(spark, items)).count() == 0
+
+
+def test_few_hashes_are_probed(spark, sf):
+    """Of the documents' hashes only what items may share is looked up, and nothing that they do share is left out."""
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    rows = docs.select(docs.doc_id.alias("_key"), docs.text.alias("_text"))
+    found = decontaminate.item_shingles(items)
+    sketch = decontaminate.sketches(found.groupBy("item_id").agg(F.collect_list("h").alias("h")))
+    hashes = rows.select("_key", F.explode(decontaminate.doc_shingles(F.col("_text"), [5], decontaminate.hashed)).alias("h"))
+    probes = decontaminate.probes(rows, sketch, [5]).cache()
+    shared = hashes.join(sketch.select("h").distinct(), "h")
+    assert 0 < shared.count() <= probes.count() < 0.1 * hashes.count()
+    assert shared.join(probes, ["_key", "h"], "left_anti").count() == 0
