@@ -101,3 +101,16 @@ def test_long_candidates(spark):
             for r in rows:
                 assert [tuple(s) for s in r.entropy_spans] == brute_windows(r.text, brute(r.text))
         assert [len(r.entropy_spans) > 0 for r in sorted(rows, key=lambda r: r.doc_id)] == [True, False, False, False]
+
+
+def test_placeholders_of_any_length(spark):
+    """What a placeholder suppresses does not depend on the length of its string."""
+    rnd = random.Random(4)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    texts = []
+    for n in (30, 300, 30_000):
+        some = "".join(rnd.choices(b64, k=n))
+        texts += [f"{some}-example-{some}", f"xxxxxx-{some}", f"{some}_CHANGEME", f"{some}sexample{some}"]
+    check(spark, list(enumerate(texts)))
+    rows = secrets.scan(documents(spark, list(enumerate(texts)))).select("doc_id", "entropy_spans").collect()
+    assert [len(r.entropy_spans) > 0 for r in sorted(rows, key=lambda r: r.doc_id)] == [False, False, False, True] * 3
