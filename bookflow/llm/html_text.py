@@ -23,6 +23,8 @@ HEAD_TAGS = frozenset("html head title base link meta style script noscript temp
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 AROUND_TAGS = frozenset("nav header footer aside menu dialog search".split())
 INSIDE_TAGS = frozenset("article main".split())
+#: Elements that are text by themselves: their names tell of what they quote, not of a part of the page.
+QUOTE_TAGS = frozenset("blockquote q pre code cite".split())
 #: Words of class, id and role that tell what a part of a page is.
 AROUND_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|nav\w*|menus?|breadcrumbs?|sidebars?|aside|widgets?|footer|header|masthead|topbar|toolbar|social|share\w*|related|recommend\w*|newsletter|subscri\w*|signup|login|search\w*|pagination|pager|tags?|comments?|comment-?list|replies|reply|respond|disqus|discussion|hidden|skip|complementary|contentinfo|copyright|legal|disclaimer)(?=$|[\s_-])",
@@ -38,8 +40,8 @@ SPACES = re.compile(r"\s+")
 #: in a part around the text (menu, footer, ...); in an article (2) or in a part that is named like one (1); or
 #: beside the article that the page marks.
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "around", "inside", "beside", "item", "heading")
-#: The order in which the tree tries them; of equally good splits the first is taken, so place goes before density and size.
-ORDER = (6, 8, 7, 1, 3, 5, 0, 2, 4, 9, 10)
+#: The order in which the tree tries them; of equally good splits the first is taken: densities, then sizes, then place.
+ORDER = (1, 3, 5, 0, 2, 4, 6, 7, 8, 9, 10)
 
 # A small labelled table, as seen on common pages: (FEATURES..., 1 if main text).
 LABELLED = (
@@ -136,16 +138,8 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> tuple:
 
 
 def train(rows=LABELLED) -> tuple:
-    """The tree that `rows` teach, and that each block of theirs would be no main text in a part around it or beside the article."""
+    """The tree that `rows` teach."""
     data = np.array(rows, float)
-    moved = []
-    for place in ("around", "beside"):
-        other = data.copy()
-        other[:, FEATURES.index(place)], other[:, -1] = 1, 0
-        if place == "beside":
-            other[:, FEATURES.index("inside")] = 0
-        moved.append(other)
-    data = np.concatenate([data, *moved])
     return grow(data[:, :-1], data[:, -1])
 
 
@@ -258,7 +252,7 @@ class Flat(HTMLParser):
         if tag == "article":
             if READERS.search(names) or top.around:
                 around, inside = True, 0
-        elif tag not in ("html", "body", "main") and AROUND_NAMES.search(names):
+        elif tag not in ("html", "body", "main") and tag not in QUOTE_TAGS and AROUND_NAMES.search(names):
             if top.article and re.search("(?i)header", names):
                 head = 1
             else:
@@ -363,7 +357,7 @@ def chosen(blocks: list[Block], tree: tuple, wrappers: set[int], forms: bool) ->
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """`pages` without `html`, with `out`: the main text of each whole page, blocks joined by an empty line.
 
-    Null, empty and textless pages give an empty string. One row for each row; repeated pages give equal texts.
+    Null, empty and textless pages give an empty string. A page of any length is read whole, in one task. One row for each row; repeated pages give equal texts.
     A column named like `out` is replaced, all others are kept.
     """
     rest = [c for c in pages.columns if c not in (html, out)]
