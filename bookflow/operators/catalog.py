@@ -94,17 +94,17 @@ def missing_worklist(books: DataFrame, labels: DataFrame, shop: str | None = Non
 BITS = 1 << 27
 
 
-def among(record: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows of `record` whose key may be one of `keys`: all that are, and of the others about len(keys) / BITS.
+def among(record: DataFrame, keys: DataFrame, key: str, bits: int = BITS) -> DataFrame:
+    """The rows of `record` whose key may be one of `keys`: all that are, and of the others about len(keys) / bits.
 
     Each key sets one bit of a table of bits, which is broadcast, so that `record` is only scanned. Null keys are not found.
     """
-    place = F.pmod(F.xxhash64(key), F.lit(BITS))
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
     row, bit = F.floor(place / 32768).cast("int"), place % 32768
-    bits = keys.filter(F.col(key).isNotNull()).groupBy(row.alias("_row")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+    table = keys.filter(F.col(key).isNotNull()).groupBy(row.alias("_row")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
     byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (bit % 8 + 1).cast("int"))) > 0
-    return record.withColumn("_row", row).join(F.broadcast(bits), "_row").filter(hit).drop("_row", "_bits")
+    return record.withColumn("_row", row).join(F.broadcast(table), "_row").filter(hit).drop("_row", "_bits")
 
 
 def unseen(rows: DataFrame, record: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
