@@ -11,6 +11,8 @@ from .common import BROADCAST_ROWS, cut, few, let, sized, table
 
 #: Words in a shingle, and the share of an item's shingles that a document must hold.
 SHINGLE, CONTAINED = 5, 0.8
+#: Ranges of hashes that items' sketches mark: 2 MB of bits, whatever the items.
+RANGES = 1 << 24
 #: Tasks that share the documents with one shingle, where items are too many to be broadcast.
 SALTS = 16
 
@@ -74,12 +76,12 @@ def sketches(items: DataFrame, contained: float = CONTAINED) -> DataFrame:
 def probes(rows: DataFrame, sketch: DataFrame, lengths: list[int]) -> DataFrame:
     """(_key, h): the minwise hashes of documents (_key, _text) that may lie in an item's sketch.
 
-    The sketches of all sizes' partitions mark narrow ranges of hashes, of which there are at most 2^27 (16 MB); a
+    The sketches of all sizes' partitions mark narrow ranges of hashes, of which there are RANGES; a
     document is asked for its hashes in marked ranges alone. What is left is as much as documents and items share,
-    and of all else about (rows of `sketch`) / 2^27, before anything is shuffled.
+    and of all else about (rows of `sketch`) / RANGES, before anything is shuffled.
     """
     hashes = rows.select("_key", F.explode(doc_shingles(F.col("_text"), lengths, hashed)).alias("h"))
-    return among(hashes, sketch, "h")
+    return among(hashes, sketch, "h", RANGES)
 
 
 def met(left: DataFrame, right: DataFrame, key: str, small: bool) -> DataFrame:
