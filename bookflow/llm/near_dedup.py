@@ -31,6 +31,8 @@ SAMPLE, HEADS = 16, 4
 EARLY = 2
 #: A node of more shingles than this counts as large, however few its texts.
 WEIGHT = 2_000_000
+#: Shingles that a task of sketches holds at a time, and words whose hashes a worker keeps: some MB, also while later work goes on.
+PORTION, KNOWN = 50_000, 100_000
 #: Members of a node that is large still, and so nearly all alike, which meet all its blocks.
 LEADERS = 16
 
@@ -47,7 +49,7 @@ def shingle_set(text: bytes | None) -> np.ndarray:
     n = len(words)
     if not n:
         return np.empty(0, _U)
-    if len(_words) > 200_000:
+    if len(_words) > KNOWN:
         _words.clear()
     for w in [w for w in set(words) if w not in _words]:
         _words[w] = xxhash.xxh3_64_intdigest(w)
@@ -87,19 +89,21 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
         while at < len(batch):  # some MB of text at a time
             sets, start, seen = [], at, 0
-            while at < len(batch) and seen < 200_000:
+            while at < len(batch) and seen < PORTION:
                 sets.append(shingle_set(batch.column(1)[at].as_py()))
                 seen += len(sets[-1]) + 20
                 at += 1
             tokens, prints = _token_rows(sets)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * TOKENS), pa.array(tokens.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), lists], ["doc_id", "n_shingles", "fp", "tokens"])
+    _words.clear()  # the worker lives on, beside later work
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(len(batch)):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([shingle_set(batch.column(1)[i].as_py()).tobytes()], pa.binary())], ["rep", "shingles"])
+    _words.clear()
 
 
 def linked(reps: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -114,7 +118,7 @@ def linked(reps: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
     width = int(col[-1]) + 1 if len(col) else 0
-    step = min(width, max(256, (1 << 22) // k)) or 1
+    step = min(width, max(256, (1 << 20) // k)) or 1
     for low in range(0, width, step):
         a, b = np.searchsorted(col, (low, low + step))
         part = np.zeros((k, step), np.float32)

@@ -20,7 +20,9 @@ from .common import cut, small_batches, table
 #: Tokens of a sequence, and the id that ends a document.
 LENGTH, END = 4096, 2
 #: Bytes of words and ids that a worker keeps, twice at most, and what an entry costs besides its characters.
-CACHE_BYTES, ENTRY = 64_000_000, 200
+CACHE_BYTES, ENTRY = 16_000_000, 200
+#: Bytes of text that a task encodes at a time, about.
+PORTION = 500_000
 #: Pieces of a group, about: one task packs a group.
 GROUP = 8000
 
@@ -166,7 +168,7 @@ def first_fit_decreasing(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bins, offsets
 
 
-def portions(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def portions(texts: pa.Array, most: int = PORTION) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `most` bytes of text each, a row at least."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 100)
     low = 0

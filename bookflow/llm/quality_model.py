@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, table
+from .common import crc_mod, cut, small_batches, table
 
 #: Labelled rows of each class that training takes at most, by the smallest hashes of their ids: about 25 MB of text.
 PER_CLASS = 1500
@@ -20,6 +20,8 @@ BUCKETS, DIM, GRAMS, EPOCHS, RATE = 1 << 17, 8, (3, 4, 5), 6, 0.5
 CUT = 0.3
 #: Words that every text has besides its own, with no vector: the average of a short text stays near the middle.
 SHRINK = 3
+#: Words of texts that a task takes apart at a time, and distinct words whose logits it keeps: some MB of a worker.
+PORTION, KNOWN = 50_000, 100_000
 
 _U = np.uint64
 _K = _U(0x9E3779B97F4A7C15)
@@ -181,13 +183,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
             at = 0
             while at < len(batch):
                 docs_words, start, seen = [], at, 0
-                while at < len(batch) and seen < 300_000:
+                while at < len(batch) and seen < PORTION:
                     t = batch.column(place)[at].as_py()
                     docs_words.append(t.encode("utf-8", "surrogatepass").split() if t else [])
                     seen += len(docs_words[-1]) + 1
                     at += 1
                 new = [w for w in set().union(*docs_words) if w not in known]
-                if len(known) + len(new) > 200_000:
+                if len(known) + len(new) > KNOWN:
                     known.clear()
                     new = list(set().union(*docs_words))
                 if new:
@@ -211,7 +213,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = CUT, learn: Col
     name = "_quality"
     while name in docs.columns:
         name += "_"
-    return score(docs, fit(docs, labels, learn), out=name).filter(F.col(name) >= least).drop(name)
+    model = fit(docs, labels, learn)
+    with small_batches(docs.sparkSession):
+        return cut(score(docs, model, out=name).filter(F.col(name) >= least).drop(name))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

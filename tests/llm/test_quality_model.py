@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from bookflow.llm import quality_model
@@ -86,3 +87,20 @@ def test_odd_rows(spark):
     none = quality_model.fit(docs, labels.filter("doc_id > 99"))
     assert {r.score for r in quality_model.score(docs, none).collect()} == {0.5}
     assert quality_model.keep_good(docs.filter("doc_id > 99"), labels).count() == 0
+
+
+def test_whole_rows_go_to_python_in_small_batches(spark, monkeypatch):
+    """A filter by quality sends a thousand rows at a time, and a task takes some thousands of words apart at a time."""
+
+    def sized(docs, model, text="text", out="score"):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([float(len(b) <= 1000)] * len(b))], [*b.schema.names, out])
+
+        return docs.mapInArrow(run, docs.withColumn(out, F.lit(0.5)).schema)
+
+    monkeypatch.setattr(quality_model, "score", sized)
+    docs = spark.range(3000).coalesce(1).selectExpr("id AS doc_id", "'some text' AS text")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert quality_model.keep_good(docs, labels).count() == 3000
+    assert quality_model.PORTION <= quality_model.KNOWN <= 100_000
