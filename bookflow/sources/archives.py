@@ -86,7 +86,7 @@ class ArchiveReader(DataSourceReader):
                     own, room = [], self.split
                 own.append((x.path, low, high if high < x.size else sys.maxsize))
                 room -= high - low
-        return [*shares, Share(own)] if own else shares
+        return [*shares, Share(own)]  # without archives one share of nothing: Spark gives None to `read` where there is no partition
 
     def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
         files, root = store(self.root)
