@@ -209,7 +209,8 @@ def nodes(classes: DataFrame, small: int = SMALL, deepest: int = DEEPEST, percen
     one component (comp) have nothing to find and are left out, wherever they come up; equal nodes of different
     trees are taken once. Nodes of documents that are mostly alike, or `deepest` levels down, stay large. A large
     node is ruled, and branches no more, if all but `small` of its documents are of one component:
-    those rows also have `comp` and `top`, the component that rules.
+    those rows (node, rep, comp, top, parts, groups) have their component and the one that rules, and into how many
+    parts all the node's documents go, and into how many groups those of other components.
     """
     rows = classes.select("rep", "comp", "n_shingles", "tokens", F.explode(F.array(*map(F.lit, trees))).alias("tree"))
     pick = [F.get("tokens", (F.col("tree") * FIRST + k) % TOKENS) for k in range(FIRST)]
@@ -219,20 +220,24 @@ def nodes(classes: DataFrame, small: int = SMALL, deepest: int = DEEPEST, percen
     one = lambda parts: reduce(DataFrame.unionByName, parts)
     for level in range(deepest + 1):
         own = rows.groupBy("node", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.bit_xor(F.xxhash64("rep")).alias("all"))
-        sizes = own.groupBy("node").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.bit_xor("all").alias("all"), F.max(F.struct("n", "comp")).alias("first"), F.count("*").alias("comps"))
+        sizes = own.groupBy("node").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.bit_xor("all").alias("all"), F.max(F.struct("n", "comp", "weight")).alias("first"), F.count("*").alias("comps"))
         sizes = sizes.filter("comps > 1").groupBy("n", "all", "weight").agg(F.min("node").alias("node"), F.max("first").alias("first"))
         fits = (F.col("n") <= small) & ((F.col("weight") <= WEIGHT) | (F.col("n") == 2))
         kind = F.when(fits, "leaf").when(F.col("n") - F.col("first.n") <= small, "ruled").otherwise("large")
-        sizes = cut_ids(sizes.select("node", kind.alias("kind"), F.col("first.comp").alias("top")))
-        leaves.append(rows.select("node", "rep", "n_shingles").join(sizes.filter("kind = 'leaf'").select("node"), "node"))
-        ruled.append(rows.select("node", "rep", "n_shingles", "comp").join(sizes.filter("kind = 'ruled'").select("node", "top"), "node"))
+        parts, groups = parts_of(F.col("n"), F.col("weight"), small), parts_of(F.col("n") - F.col("first.n"), F.col("weight") - F.col("first.weight"), small)
+        sizes = cut_ids(sizes.select("node", kind.alias("kind"), F.col("first.comp").alias("top"), parts.alias("parts"), groups.alias("groups")))
+        # each row of a node that is left goes through one join a level: what is made of it is read back
+        bare = rows.select("node", "rep", "n_shingles", "comp")
+        done = cut(bare.join(sizes.filter("kind <> 'large'"), "node"))
+        leaves.append(done.filter("kind = 'leaf'").select("node", "rep", "n_shingles"))
+        ruled.append(done.filter("kind = 'ruled'").select("node", "rep", "comp", "top", "parts", "groups"))
         large = sizes.filter("kind = 'large'").select("node")
         if level == deepest or not large.take(1):
-            rest.append(rows.select("node", "rep", "n_shingles").join(sized(large), "node"))
+            rest.append(bare.drop("comp").join(sized(large), "node"))
             return one(leaves), one(rest), one(ruled)
-        rows = rows.join(sized(large), "node")
+        rows = cut(rows.join(sized(large), "node"))
         if not level:
-            rows = classes.select("rep", "tokens").join(sized(cut(rows)), "rep")
+            rows = cut(classes.select("rep", "tokens").join(sized(rows), "rep"))
         rows = rows.join(sized(cut_ids(agreement(rows, percent))), "node", "left")
         rest.append(rows.filter("share >= 0.5").select("node", "rep", "n_shingles"))
         paths = F.least(F.greatest(F.round(1.25 / F.pow("mean", F.lit(STEP))), F.lit(2)), F.lit(MOST)).cast("int")
@@ -247,19 +252,17 @@ def parts_of(n: Column, weight: Column, small: int) -> Column:
     return F.ceil(F.greatest(n / max(1, (small - LEADERS) // 2), weight / (WEIGHT // 2))).cast("int")
 
 
-def strays_with_all(placed: DataFrame, strays: DataFrame, small: int) -> DataFrame:
-    """Blocks (node, rep) in which each of a node's strays meets all its members. placed: (node, rep, part, parts) and strays: (node, rep, n_shingles, parts)."""
-    groups = sized(cut_ids(strays.groupBy("node").agg(parts_of(F.count("*"), F.sum("n_shingles"), small).alias("groups"))))
-    every = placed.join(groups, "node").select("node", "rep", "part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
-    odd = strays.join(groups, "node").withColumn("group", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("groups")).cast("int"))
+def strays_with_all(placed: DataFrame, strays: DataFrame) -> DataFrame:
+    """Blocks (node, rep) in which each of a node's strays meets all its members. placed: (node, rep, part, groups) and strays: (node, rep, parts, groups)."""
+    every = placed.select("node", "rep", "part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
+    odd = strays.withColumn("group", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("groups")).cast("int"))
     odd = odd.select("node", "rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "group")
     return cut_ids(every.unionByName(odd).distinct().select(F.xxhash64("node", "part", "group").alias("node"), "rep"))
 
 
-def in_parts(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """`members` with the number of parts of their node, and the part that each is in."""
-    part = F.pmod(F.xxhash64("rep", "node"), F.col("parts")).cast("int")
-    return cut(members.join(sized(parts), "node").withColumn("part", part))
+def part_of() -> Column:
+    """The part of its node that a member is in, of `parts`."""
+    return F.pmod(F.xxhash64("rep", "node"), F.col("parts")).cast("int")
 
 
 def joined_by(classes: DataFrame, known: DataFrame, texts: DataFrame, trees: range, percent: int, small: int, deepest: int) -> DataFrame:
@@ -268,15 +271,13 @@ def joined_by(classes: DataFrame, known: DataFrame, texts: DataFrame, trees: ran
     leaves, rest, ruled = nodes(cut(comps), small, deepest, percent, trees)
     blocks, ruled, rest = leaves.select("node", "rep"), cut(ruled), cut(rest)
     if ruled.take(1):
-        counts = cut_ids(ruled.groupBy("node").agg(parts_of(F.count("*"), F.sum("n_shingles"), small).alias("parts")))
-        placed = in_parts(ruled, counts)
-        blocks = blocks.unionByName(strays_with_all(placed, placed.filter("comp <> top"), small))
+        blocks = blocks.unionByName(strays_with_all(ruled.withColumn("part", part_of()), ruled.filter("comp <> top")))
     links = known.select("u", "v").unionByName(compare(cut(blocks), texts, percent))
     if not rest.take(1):
         return components(links)
     slots = rest.groupBy("node", F.pmod(F.xxhash64("rep"), F.lit(LEADERS)).alias("slot")).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.min("rep").alias("lead"))
     counted = cut_ids(slots.groupBy("node").agg(parts_of(F.sum("n"), F.sum("weight"), small).alias("parts"), F.array_sort(F.collect_list("lead")).alias("leaders")))
-    placed = in_parts(rest, counted.select("node", "parts"))
+    placed = cut(rest.join(sized(counted.select("node", "parts")), "node").withColumn("part", part_of()))
     leads = counted.select("node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.explode("leaders").alias("rep"))
     blocks = placed.select("node", "part", "rep").unionByName(leads.select("node", "part", "rep")).distinct()
     links = cut_ids(links.unionByName(compare(cut_ids(blocks.select(F.xxhash64("node", "part").alias("node"), "rep")), texts, percent)))
@@ -287,7 +288,9 @@ def joined_by(classes: DataFrame, known: DataFrame, texts: DataFrame, trees: ran
     strays = cut(named.join(sized(cut(heads)), "node").filter("comp <> head").select("node", "rep", "n_shingles", "parts"))
     if not strays.take(1):
         return joined
-    return components(joined.select("u", "v").unionByName(compare(strays_with_all(placed, strays, small), texts, percent)))
+    groups = sized(cut_ids(strays.groupBy("node").agg(parts_of(F.count("*"), F.sum("n_shingles"), small).alias("groups"))))
+    met = strays_with_all(placed.join(groups, "node"), strays.join(groups, "node"))
+    return components(joined.select("u", "v").unionByName(compare(met, texts, percent)))
 
 
 def link_documents(docs: DataFrame, percent: int = PERCENT, text: str = "text", key: str = "doc_id", small: int = SMALL, deepest: int = DEEPEST) -> DataFrame:

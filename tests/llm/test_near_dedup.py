@@ -100,6 +100,19 @@ def test_recall_in_large_nodes(spark, like, least):
     assert twins_met(spark, 4000, near_dedup.SMALL, like) >= least
 
 
+def test_rows_meet_their_nodes_once(spark):
+    """What a level ends is read back, not joined again, and a ruled node's rows come with the number of its parts and groups."""
+    pdf = pd.DataFrame({"rep": np.arange(40), "comp": np.where(np.arange(40) < 30, 0, np.arange(40)), "n_shingles": 100, "tokens": [[1] * near_dedup.TOKENS] * 40})
+    classes = near_dedup.cut(spark.createDataFrame(pdf, "rep long, comp long, n_shingles long, tokens array<int>"))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(near_dedup, "LEADERS", 3)
+        leaves, rest, ruled = near_dedup.nodes(classes, 12)
+        for df in (leaves, ruled):
+            assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+        assert leaves.count() == rest.count() == 0
+        assert sorted((r.rep, r.comp, r.top, r.parts, r.groups) for r in ruled.collect()) == [(i, 0 if i < 30 else i, 0, 10, 3) for i in range(40)]
+
+
 def test_odd_rows(spark):
     out = near_dedup.link_documents(documents(spark, [*ODD, (50, "shared id one two three four"), (50, "other text of the same id"), (49, "other text of the same id")]))
     seen = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out.collect()), key=str)
