@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, few, lookup, sized, table
+from .common import SPACE, cut, few, lookup, sized, table, tidy
 
 #: Distinct sites from which a line counts as boilerplate.
 SITES = 8
@@ -17,6 +17,8 @@ SITES = 8
 LG_BUCKETS = 10
 #: Estimates within this share of the threshold are replaced by exact counts: over five standard errors.
 NEAR = 0.2
+#: Rows whose lines a task takes apart at a time.
+PORTION = 1000
 #: Most lines of a table that tasks get whole.
 TABLE_ROWS = 200_000
 
@@ -74,7 +76,8 @@ def _remover(bad: dict, text: int, key: int):
         return "\n".join(out), len(lines), len(lines) - len(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # Arrow keeps ids whole where some are null; pandas would make them floats
+        for batch in (b.slice(low, PORTION) for b in batches for low in range(0, len(b), PORTION)):
+            # Arrow keeps ids whole where some are null; pandas would make them floats
             done = [clean(t, k) for t, k in zip(batch.column(text).to_pylist(), batch.column(key).to_pylist(), strict=True)]
             columns = batch.columns
             columns[text] = pa.array([d[0] for d in done], batch.schema.field(text).type)
@@ -104,7 +107,7 @@ def drop_spread_lines(docs: DataFrame, sites: int = SITES, text: str = "text", s
             yield from _remover(lines.value, at_text, at_key)(batches)
 
         schema = docs.withColumns({"_lines": F.lit(0).cast("long"), "_removed": F.lit(0).cast("long")}).schema
-        return docs.mapInArrow(run, schema)
+        return docs.mapInArrow(tidy(run), schema)
     # rows are told apart by key and text; the user's columns travel in a struct, where no name can clash
     rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_id"), F.col(text).alias("_text"), F.struct(*docs.columns).alias("_row"))
     own = cut(rows.select("_key", "_id", F.explode(F.array_distinct(F.transform(F.split("_text", "\n", -1), lambda x: F.xxhash64(trimmed(x))))).alias("h")))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, lookup, sized, small_batches, table
+from .common import BROADCAST_ROWS, cut, give_back, lookup, sized, small_batches, table, tidy
 
 #: Words in a shingle, and the least similarity of a link in percent.
 SHINGLE, PERCENT = 5, 80
@@ -145,11 +145,14 @@ def compare(blocks: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links (u < v) that span what is linked in each block. blocks: (node, rep), each of bounded size; docs: (doc_id, text)."""
     needed = sized(cut_ids(blocks.select(F.col("rep").alias("doc_id")).distinct()))
     with small_batches(docs.sparkSession):
-        sets = cut(docs.join(needed, "doc_id", "left_semi").mapInArrow(_sets, "rep long, shingles binary"))
+        sets = cut(docs.join(needed, "doc_id", "left_semi").mapInArrow(tidy(_sets), "rep long, shingles binary"))
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
-        found = linked(pdf["rep"].to_numpy(), [np.frombuffer(x, _U) for x in pdf["shingles"]], percent)
+        sets = [np.frombuffer(x, _U) for x in pdf["shingles"]]
+        found = linked(pdf["rep"].to_numpy(), sets, percent)
+        if sum(map(len, sets)) > PORTION:  # smaller nodes leave little
+            give_back()
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
     return blocks.join(sets, "rep").groupBy("node").applyInPandas(link, "u long, v long").distinct()
@@ -311,7 +314,7 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, text: str = "text",
     """
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     with small_batches(docs.sparkSession):
-        sketched = cut(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, fp binary, tokens array<int>"))
+        sketched = cut(texts.mapInArrow(tidy(_sketch), "doc_id long, n_shingles long, fp binary, tokens array<int>"))
     able = sketched.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = cut(able.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")))
     # a key that several texts share links their classes

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, small_batches, table, tidy
 
 #: Tokens of a sequence, and the id that ends a document.
 LENGTH, END = 4096, 2
@@ -202,9 +202,11 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, text: str = "text", ke
                 crc = [zlib.crc32(whole[4 * i : 4 * j]) for i, j in zip(first.tolist(), (first + length - last).tolist(), strict=True)]
                 crc = [zlib.crc32(stop, c) if end else c for c, end in zip(crc, last.tolist(), strict=True)]
                 own = batch.column(0).take(pa.array(owner + low))
+                del ids, whole
+                pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_arrays([own, *(pa.array(x, pa.int64()) for x in (start, length, crc, total[owner]))], [key, "start", "length", "ids_crc32", "doc_tokens"])
 
-    return rows.mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, {PIECE}")
+    return rows.mapInArrow(tidy(run), f"{key} {dict(docs.dtypes)[key]}, {PIECE}")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, text: str = "text", key: str = "doc_id", group: int = GROUP) -> DataFrame:

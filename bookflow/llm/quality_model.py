@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, small_batches, table
+from .common import crc_mod, cut, small_batches, table, tidy
 
 #: Labelled rows of each class that training takes at most, by the smallest hashes of their ids: about 25 MB of text.
 PER_CLASS = 1500
@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
                 values[start:at] = 1 / (1 + np.exp(-np.clip([m.text(w, known) for w in docs_words], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], schema=pa.schema([*batch.schema, pa.field(out, pa.float64())]))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, **options) -> Model:
