@@ -19,10 +19,10 @@ from .common import cut, small_batches, table, tidy
 
 #: Tokens of a sequence, and the id that ends a document.
 LENGTH, END = 4096, 2
-#: Bytes of words and ids that a worker keeps, twice at most, and what an entry costs besides its characters.
-CACHE_BYTES, ENTRY = 16_000_000, 200
+#: Bytes of words and ids that a worker keeps between portions, and what an entry takes besides its word and ids.
+CACHE_BYTES, ENTRY = 16_000_000, 24
 #: Bytes of text that a task encodes at a time, about.
-PORTION = 500_000
+PORTION = 2_000_000
 #: Pieces of a group, about: one task packs a group.
 GROUP = 8000
 
@@ -42,8 +42,9 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 class Encoder:
     """A tokenizer with the ids of words that it met lately.
 
-    `new` holds what was met since the last turn and `old` what was met in the turn before; both are bounded in
-    bytes, so that rare words go and frequent ones stay.
+    Words and ids are two Arrow arrays, side by side, at some 45 bytes a word; `met` has the turn in which each was
+    asked for last. Where they take more than `most` bytes the half asked for last stays, so that rare words go
+    and frequent ones stay.
     """
 
     def __init__(self, path: str, most: int = CACHE_BYTES):
@@ -51,46 +52,71 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.held = 0
+        self.words, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.met, self.turn = np.zeros(0, np.int64), 0
         shape = json.loads(self.tokenizer.to_str())
         first = ((shape["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
         #: Whether the ids of a text are those of its parts between spaces, one after the other.
         self.by_words = shape["normalizer"] == NORMAL and first.get("pattern") == {"Regex": SPLIT} and first.get("behavior") == "Removed"
 
-    def learn(self, words: list[str], known: dict[str, bytes]) -> None:
-        """Put the ids of `words` into `known`. Words of letters alone are encoded many at a time, told apart by their pre-token."""
+    @property
+    def held(self) -> int:
+        """Bytes that the kept words and ids take."""
+        return int(self._sizes().sum())
+
+    def _sizes(self) -> np.ndarray:
+        return _lengths(self.words) + _lengths(self.ids) + ENTRY
+
+    def learn(self, words: list[str]) -> pa.Array:
+        """The ids of `words`. Words of letters alone are encoded many at a time, told apart by their pre-token."""
         some, odd = [], []
-        for w in words:
-            (some if _letters(w) else odd).append(w)
+        for i, w in enumerate(words):
+            (some if _letters(w) else odd).append(i)
+        found: list[bytes] = [b""] * len(words)
         batches = [some[low : low + 500] for low in range(0, len(some), 500)]
-        for own, e in zip(batches, self.tokenizer.encode_batch([" ".join(b) for b in batches], add_special_tokens=False), strict=True):
+        for own, e in zip(batches, self.tokenizer.encode_batch([" ".join(words[i] for i in b) for b in batches], add_special_tokens=False), strict=True):
             ids, at = np.array(e.ids, "<u4"), np.array(e.word_ids)
             begin = np.searchsorted(at, np.arange(len(own) + 1))
             if len(at) and at[-1] + 1 == len(own) and (np.diff(begin) > 0).all():
                 raw, cuts = ids.tobytes(), (4 * begin).tolist()
-                known.update((w, raw[i:j]) for w, i, j in zip(own, cuts, cuts[1:], strict=False))
+                for i, low, high in zip(own, cuts, cuts[1:], strict=False):
+                    found[i] = raw[low:high]
             else:
                 odd += own
         for low in range(0, len(odd), 5000):
             part = odd[low : low + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False), strict=True):
+                found[i] = np.array(e.ids, "<u4").tobytes()
+        return pa.array(found, pa.large_binary())
+
+    def look_up(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct words, as bytes: only words that are not kept go to the tokenizer."""
+        words = words.cast(pa.large_string())
+        at = pc.index_in(words, self.words)
+        fresh = words.filter(at.is_null())
+        place = at.fill_null(-1).to_numpy().astype(np.int64)
+        place[place < 0] = len(self.words) + np.arange(len(fresh))
+        if len(fresh):
+            self.words = pa.concat_arrays([self.words, fresh])
+            self.ids = pa.concat_arrays([self.ids, self.learn(fresh.to_pylist())])
+            self.met = np.append(self.met, np.zeros(len(fresh), np.int64))
+        self.turn += 1
+        self.met[place] = self.turn
+        found = self.ids.take(pa.array(place))
+        sizes = self._sizes()
+        if sizes.sum() > self.most:
+            order = np.argsort(-self.met, kind="stable")
+            kept = np.sort(order[np.cumsum(sizes[order]) <= self.most // 2])
+            self.words, self.ids, self.met = self.words.take(pa.array(kept)), self.ids.take(pa.array(kept)), self.met[kept]
+        return found
 
     def ids_of(self, words: list[str]) -> list[bytes]:
-        """The ids of distinct words."""
-        if self.held > self.most:
-            self.old, self.new, self.held = self.new, {}, 0
-        found = list(map(self.new.get, words))
-        at = [i for i, x in enumerate(found) if x is None]
-        fresh = {w: ids for w in (words[i] for i in at) if (ids := self.old.get(w)) is not None}
-        self.learn([w for w in (words[i] for i in at) if w not in fresh], fresh)
-        self.new.update(fresh)
-        self.held += sum(map(len, fresh)) + sum(map(len, fresh.values())) + ENTRY * len(fresh)
-        for i in at:
-            found[i] = fresh[words[i]]
-        return found
+        """`look_up` for Python's words."""
+        return self.look_up(pa.array(words, pa.large_string())).to_pylist()
+
+
+def _lengths(values: pa.Array) -> np.ndarray:
+    return pc.binary_length(values).to_numpy(zero_copy_only=False)
 
 
 @functools.lru_cache(maxsize=2)
@@ -124,8 +150,7 @@ def encode(texts: pa.Array, path: str) -> tuple[pa.Buffer, np.ndarray]:
     apart = pc.replace_substring_regex(pc.ascii_lower(spaced), TAIL, r"\1 \2\3")
     lists = pc.split_pattern(pc.if_else(pc.match_substring(texts, "<|"), spaced, apart), " ")  # special tokens stay as they are
     words = lists.flatten().dictionary_encode()
-    own = pa.array(encoder.ids_of(words.dictionary.to_pylist()), pa.large_binary())
-    joined = own.take(words.indices)
+    joined = encoder.look_up(words.dictionary).take(words.indices)
     ends = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1] // 4
     per_text = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
     return joined.buffers()[2] or pa.py_buffer(b""), np.diff(ends[per_text])

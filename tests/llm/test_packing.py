@@ -89,3 +89,25 @@ def test_other_tokenizers_get_whole_texts():
     ids, counts = packing.encode(pa.array(texts), path)
     want = [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids for t in texts]
     assert counts.tolist() == [len(w) for w in want] and np.frombuffer(ids, "<u4").tolist() == sum(want, [])
+
+
+def test_kept_words_take_few_bytes():
+    """Words come back in later portions: those that 16 MB hold are not encoded anew, ten times 20,000 of them."""
+    kept = packing.Encoder(packing.default_tokenizer(), most=16_000_000)
+    learn, learnt = kept.learn, []
+    kept.learn = lambda words, *rest: learnt.extend(words) or learn(words, *rest)
+    parts = [["".join(chr(97 + (n // 26**k) % 26) for k in range(4)) for n in range(low, low + 20_000)] for low in range(0, 200_000, 20_000)]
+    for part in [*parts, *parts]:
+        found = kept.ids_of(part)
+        assert np.frombuffer(found[7], "<u4").tolist() == kept.tokenizer.encode(part[7], add_special_tokens=False).ids
+    assert sorted(learnt) == sorted(sum(parts, []))
+    assert kept.held <= 16_000_000
+
+
+def test_words_longer_than_all_that_is_kept():
+    few = packing.Encoder(packing.default_tokenizer(), most=1000)
+    words = ["ab" * 2000, "cd", "", "e,f" * 900, "cd" * 3]
+    for some in (words, words[::-1], words[1:3]):
+        for w, ids in zip(some, few.ids_of(some), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == few.tokenizer.encode(w, add_special_tokens=False).ids
+        assert few.held <= 1000
