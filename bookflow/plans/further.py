@@ -36,10 +36,12 @@ def s1_archive_files(spark, sf_dir):
 def s4_named_files(spark, sf_dir):
     """Each document as a file of its own name in its source's folder, committed together, and read back by name."""
     docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
-    root = f"{shared_dir(spark)}/named-{uuid.uuid4().hex}"
-    files.write_named(docs, root, files.chapter_name(F.col("source"), F.col("doc_id")), F.col("text"))
-    back = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
-    return back.select(F.regexp_extract("_metadata.file_path", "([^/]+/[^/]+)$", 1).alias("name"), F.col("value").alias("text"))
+    root, number = f"{shared_dir(spark)}/named-{uuid.uuid4().hex}", F.col("doc_id").cast("string")
+    # SQL's name leaves nulls out; a document without a source has the folder _
+    own, file = F.concat_ws("", "source", F.lit("/"), number, F.lit(".txt")), files.chapter_name(F.coalesce(F.nullif("source", F.lit("")), F.lit("_")), F.coalesce(number, F.lit("")))
+    files.write_named(docs, root, file, F.col("text"))
+    back = files.read_named(match.spread(docs.select(own.alias("name"), file.alias("file"))), root, F.col("file"))
+    return back.select("name", F.col("content").cast("string").alias("text"))
 
 
 # ---- streams

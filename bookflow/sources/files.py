@@ -8,13 +8,18 @@ import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.types import BinaryType, StructType
 
 #: Files that a commit moves at once.
 MOVERS = 32
+#: Files that a task reads at once, and bytes after which it gives their rows on.
+READERS = 8
+READ_BYTES = 1 << 24
 WAITING = "_waiting-"
 
 
@@ -113,6 +118,34 @@ def write_named(rows: DataFrame, path: str, name: Column, content: Column, mode:
     rows.select(name.alias("name"), content.cast("binary").alias("content")).write.format("named_files").option("path", path).mode(mode).save()
 
 
+def read_named(rows: DataFrame, path: str, name: Column) -> DataFrame:
+    """`rows` with `content`, the bytes of each row's file `name` below `path`; a file that is missing is an error.
+
+    Files are opened by name in the tasks and no folder is listed, so that empty files and all names come back as they were written.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = store(path.rstrip("/"))
+
+        def content(n: str) -> bytes:
+            with files.open_input_stream(f"{root}/{clean_name(n)}", compression=None) as f:
+                return f.read()
+
+        with ThreadPoolExecutor(READERS) as pool:
+            for batch in batches:
+                names, own = batch.column(batch.num_columns - 1).to_pylist(), batch.columns[:-1]
+                done, size, found = 0, 0, []
+                for i in range(0, len(names), READERS):
+                    found += pool.map(content, names[i : i + READERS])
+                    size += sum(map(len, found[i - done :]))
+                    if size >= READ_BYTES or i + READERS >= len(names):
+                        yield pa.RecordBatch.from_arrays([*(c.slice(done, len(found)) for c in own), pa.array(found, pa.binary())], schema.names)
+                        done, size, found = done + len(found), 0, []
+
+    schema = StructType(rows.schema.fields).add("content", BinaryType())
+    return rows.withColumn("_name", name).mapInArrow(read, schema)
+
+
 def chapter_name(book: Column, number: Column) -> Column:
     """`book/number.txt`, characters that no path should hold replaced."""
     return F.concat(F.regexp_replace(book.cast("string"), r"[/\\:*?\"<>|\x00-\x1f]", "_"), F.lit("/"), number.cast("string"), F.lit(".txt"))

@@ -5,12 +5,15 @@ import os
 import random
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from bookflow.operators import catalog, segments
+from bookflow.plans.queries import QUERIES, SQL
 from bookflow.sources import archives, files
 from bookflow.streaming import jobs, lines
+from tests.oracle import spark_rows, sql_rows
 
 
 @pytest.fixture
@@ -61,6 +64,17 @@ def test_files_by_name(spark, tmp_path):
     assert {open(p).read() for p in glob.glob(f"{root}/**/*.txt", recursive=True)} == {"new"}
 
 
+def test_documents_come_back_whatever_their_names_and_texts(spark, tmp_path):
+    sources, texts = ["src0", "a b", "a%20b", "a:b", "größe#1", "_own", ".own", None, ""], ["", " ", "\ufeffa\r\nb", "a\x00b", "\n"]
+    rows = [(i, t, s) for i, (s, t) in enumerate((s, t) for s in sources for t in texts)] + [(99, None, "src0"), (None, "x", "src0")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert spark_rows(QUERIES["s4_named_files"](spark, str(tmp_path))) == sql_rows(con, SQL["s4_named_files"])
+    with pytest.raises(Exception, match="No such file"):
+        files.read_named(spark.createDataFrame([("none.txt",)], "n string"), str(tmp_path), F.col("n")).collect()
+
+
 @pytest.mark.parametrize("names", [["a.txt", "a.txt"], ["a.txt", "../b.txt"], ["a.txt", "/b.txt"], ["a.txt", ""], ["a.txt", None]])
 def test_a_failed_job_leaves_nothing(spark, tmp_path, names):
     root = f"{tmp_path}/out"
