@@ -1,8 +1,7 @@
-"""Files by name as a data source: one file for each row, all of them or none."""
+"""Files by name: one file for each row, all of them or none."""
 
 from __future__ import annotations
 
-import dataclasses
 import posixpath
 import uuid
 from collections.abc import Iterator
@@ -12,10 +11,11 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import BinaryType, StructType
 
-#: Files that a commit moves at once.
+from bookflow.sources.shared import cut
+
+#: Files that a task moves at once.
 MOVERS = 32
 #: Files that a task reads at once, and bytes after which it gives their rows on.
 READERS = 8
@@ -36,86 +36,84 @@ def clean_name(name: str) -> str:
     return norm
 
 
-@dataclasses.dataclass
-class Written(WriterCommitMessage):
-    """What one task attempt has written: its folder, and the names in it."""
-
-    folder: str
-    names: list[str]
-
-
-class NamedFilesWriter(DataSourceWriter):
-    """Each attempt of a task writes to a folder of its own; the commit moves the files of the attempts that count."""
-
-    def __init__(self, root: str, overwrite: bool):
-        self.root, self.overwrite, self.job = root.rstrip("/"), overwrite, uuid.uuid4().hex
-
-    def write(self, iterator: Iterator) -> Written:
-        files, root = store(self.root)
-        folder, names, made = f"{root}/{WAITING}{self.job}/{uuid.uuid4().hex}", [], set()
-        for name, content in iterator:
-            name = clean_name(name)
+def waiting(batches: Iterator[pa.RecordBatch], path: str, job: str) -> Iterator[pa.RecordBatch]:
+    """Files of the rows (name, content) in a folder of this attempt's own; gives (name, folder)."""
+    files, root = store(path)
+    folder, made = f"{root}/{WAITING}{job}/{uuid.uuid4().hex}", set()
+    for batch in batches:
+        names = [clean_name(n) for n in batch.column(0).to_pylist()]
+        for name, content in zip(names, batch.column(1), strict=True):
             parent = posixpath.dirname(f"{folder}/{name}")
             if parent not in made:
                 files.create_dir(parent, recursive=True)
                 made.add(parent)
-            with files.open_output_stream(f"{folder}/{name}") as out:
-                out.write(bytes(content or b""))
-            names.append(name)
-        return Written(folder, names)
-
-    def commit(self, messages: list) -> None:
-        files, root = store(self.root)
-        moves = [(f"{m.folder}/{n}", n) for m in messages if m is not None for n in m.names]
-        names = [n for _, n in moves]
-        try:
-            if len(set(names)) < len(names):
-                twice = next(n for i, n in enumerate(names) if n in set(names[:i]))
-                raise ValueError(f"two rows for the file {twice!r}")
-            if not self.overwrite:
-                there = [x.path for x in files.get_file_info([f"{root}/{n}" for n in names]) if x.type != fs.FileType.NotFound]
-                if there:
-                    raise FileExistsError(there[0])
-            for parent in sorted({posixpath.dirname(f"{root}/{n}") for n in names}):
-                files.create_dir(parent, recursive=True)
-            with ThreadPoolExecutor(MOVERS) as pool:
-                list(pool.map(lambda m: files.move(m[0], f"{root}/{m[1]}"), moves))
-        finally:
-            self.clear()
-
-    def abort(self, messages: list) -> None:
-        self.clear()
-
-    def clear(self) -> None:
-        files, root = store(self.root)
-        if files.get_file_info(f"{root}/{WAITING}{self.job}").type == fs.FileType.Directory:
-            files.delete_dir(f"{root}/{WAITING}{self.job}")
+            with files.open_output_stream(f"{folder}/{name}", compression=None) as out:
+                out.write(content.as_buffer() or b"")
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([folder] * len(names), pa.string())], ["name", "folder"])
 
 
-class NamedFiles(DataSource):
-    """Write only: rows (name, content) become files below the option `path`. Mode append keeps the names that are there and refuses to write one again; overwrite replaces them."""
+def refused(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Fails where one of the names is there; gives nothing."""
+    files, root = store(path)
+    for batch in batches:
+        there = [x.path for x in files.get_file_info([f"{root}/{n}" for n in batch.column(0).to_pylist()]) if x.type != fs.FileType.NotFound]
+        if there:
+            raise FileExistsError(there[0])
+        yield batch.slice(0, 0)
 
-    @classmethod
-    def name(cls) -> str:
-        return "named_files"
 
-    def schema(self) -> str:
-        return "name string, content binary"
+def moved(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Moves the files (name, folder) to their places; one that an earlier attempt has moved is there. Gives nothing."""
+    files, root = store(path)
+    made = set()
 
-    def writer(self, schema, overwrite: bool) -> NamedFilesWriter:
-        return NamedFilesWriter(self.options["path"], overwrite)
+    def move(source: str, target: str) -> None:
+        try:
+            files.move(source, target)
+        except OSError:
+            gone = files.get_file_info(source).type == fs.FileType.NotFound
+            if not gone or files.get_file_info(target).type == fs.FileType.NotFound:
+                raise
+
+    with ThreadPoolExecutor(MOVERS) as pool:
+        for batch in batches:
+            moves = [(f"{folder}/{n}", f"{root}/{n}") for n, folder in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            for parent in {posixpath.dirname(target) for _, target in moves} - made:
+                files.create_dir(parent, recursive=True)
+                made.add(parent)
+            list(pool.map(lambda m: move(*m), moves))
+            yield batch.slice(0, 0)
 
 
 def write_named(rows: DataFrame, path: str, name: Column, content: Column, mode: str = "append") -> None:
-    """A file `name` below `path` for each row. Either all files of a job are there, or none, and a task that is tried again leaves nothing twice.
+    """A file `name` below `path` for each row. A task that is tried again leaves nothing twice.
 
-    A failed job removes what its tasks wrote; one that is killed late may leave a folder `_waiting-`, which no reader sees.
+    Mode append keeps the names that are there and refuses to write one again; overwrite replaces them. Each attempt
+    of a task writes to a folder of its own, and the names of those that count are a table. Only when it is whole, and
+    no name is there twice or refused, are the files moved: a job that fails before has written nothing, and removes what
+    its tasks wrote; one that is killed, or a store that fails while files are moved, may leave files and a folder
+    `_waiting-`, which no reader sees.
 
     Two rows of one name, a null or empty name, and names that lead out of the folder are errors; null content is an
-    empty file. The driver moves the files at the end, and so holds their names.
+    empty file. Names are checked and files moved in tasks; the driver holds neither.
     """
-    rows.sparkSession.dataSource.register(NamedFiles)
-    rows.select(name.alias("name"), content.cast("binary").alias("content")).write.format("named_files").option("path", path).mode(mode).save()
+    if mode not in ("append", "overwrite"):
+        raise ValueError(f"no mode for files by name: {mode!r}")
+    path, job, parts = path.rstrip("/"), uuid.uuid4().hex, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        own = rows.select(name.alias("name"), content.cast("binary").alias("content"))
+        made = cut(own.mapInArrow(lambda batches: waiting(batches, path, job), "name string, folder string"))
+        twice = made.groupBy("name").count().filter("count > 1").first()
+        if twice:
+            raise ValueError(f"two rows for the file {twice['name']!r}")
+        spread = made.repartition(parts)
+        if mode == "append":
+            spread.mapInArrow(lambda batches: refused(batches, path), made.schema).count()
+        spread.mapInArrow(lambda batches: moved(batches, path), made.schema).count()
+    finally:
+        files, root = store(path)
+        if files.get_file_info(f"{root}/{WAITING}{job}").type == fs.FileType.Directory:
+            files.delete_dir(f"{root}/{WAITING}{job}")
 
 
 def read_named(rows: DataFrame, path: str, name: Column) -> DataFrame:

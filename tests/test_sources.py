@@ -6,6 +6,7 @@ import random
 import zipfile
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,24 @@ def test_documents_come_back_whatever_their_names_and_texts(spark, tmp_path):
         files.read_named(spark.createDataFrame([("none.txt",)], "n string"), str(tmp_path), F.col("n")).collect()
 
 
+def test_the_driver_lists_no_files(spark):
+    """A thousand documents are a thousand files, of which the driver sees none; tasks are as many as partitions were asked for."""
+    back = QUERIES["s4_named_files"](spark, "/root/testdata/sf0.01")
+    assert len(back.inputFiles()) <= 1 and back.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_files_are_moved_once(tmp_path):
+    """A task that is tried again finds what it has moved; a file that is nowhere is an error."""
+    (tmp_path / "w" / "b").mkdir(parents=True)
+    (tmp_path / "w" / "b" / "1.txt").write_text("x")
+    batch = lambda n: pa.RecordBatch.from_pydict({"name": [n], "folder": [f"{tmp_path}/w"]})
+    for _ in range(2):
+        assert [b.num_rows for b in files.moved(iter([batch("b/1.txt")]), str(tmp_path / "out"))] == [0]
+    assert (tmp_path / "out" / "b" / "1.txt").read_text() == "x"
+    with pytest.raises(OSError):
+        list(files.moved(iter([batch("b/2.txt")]), str(tmp_path / "out")))
+
+
 @pytest.mark.parametrize("names", [["a.txt", "a.txt"], ["a.txt", "../b.txt"], ["a.txt", "/b.txt"], ["a.txt", ""], ["a.txt", None]])
 def test_a_failed_job_leaves_nothing(spark, tmp_path, names):
     root = f"{tmp_path}/out"
