@@ -16,6 +16,24 @@ from bookflow.sources.shared import cut
 PLATFORMS = ("小说", "其他")
 
 
+#: Rows that `gathered` puts into one array at most.
+BLOCK = 512
+
+
+def gathered(rows: DataFrame, keys: list[str], into: str) -> DataFrame:
+    """(*keys, into): the rows in arrays of at most BLOCK structs, of one key each; a key of many rows has many arrays, and no task needs all of it."""
+    numbered = rows.sortWithinPartitions(*keys).withColumn("_block", F.floor(F.monotonically_increasing_id() / BLOCK))
+    # cut, as the numbers must not change where a task is run again
+    return cut(numbered).groupBy(*keys, "_block").agg(F.collect_list(F.struct(*(c for c in rows.columns if c not in keys))).alias(into)).drop("_block")
+
+
+def paired(met: DataFrame, *sides: str) -> DataFrame:
+    """The pairs of `met`, whose columns `sides` are two arrays by `gathered`: rows of few arrays are dealt to all tasks before their pairs are made."""
+    one, other = sides
+    keys = [c for c in met.columns if c not in sides]
+    return spread(met).select(*keys, F.explode(one).alias("_l"), other).select(*keys, "_l.*", F.explode(other).alias("_r")).select("*", "_r.*").drop("_r")
+
+
 def block_candidates(books: DataFrame, subjects: DataFrame, platforms: tuple[str, ...] = PLATFORMS, salts: int = 8) -> DataFrame:
     """Pairs of books and subjects of equal date, without series and platforms that are no books.
 
@@ -29,6 +47,23 @@ def block_candidates(books: DataFrame, subjects: DataFrame, platforms: tuple[str
     return salted.join(able, ["date", "_salt"]).drop("_salt")
 
 
+def _able(subjects: DataFrame, platforms: tuple[str, ...]) -> DataFrame:
+    return subjects.filter(~F.col("series") & F.col("platform").isin(*platforms)).select("id", "name", "date", "rank")
+
+
+def scored_candidates(books: DataFrame, subjects: DataFrame, platforms: tuple[str, ...] = PLATFORMS) -> DataFrame:
+    """The pairs of `block_candidates` with `conf`, without those of null titles and names.
+
+    The distinct titles and names of a day are paired and scored; then arrays of the books of each title and of the
+    subjects of each name take their score, and are made pairs last.
+    """
+    able = _able(subjects, platforms)
+    titles, names = books.select("date", "title").distinct(), able.select("date", "name").distinct()
+    pairs = paired(gathered(titles, ["date"], "_titles").join(gathered(names, ["date"], "_names").hint("merge"), "date"), "_titles", "_names")
+    known = scored(cut(pairs)).join(gathered(books, ["date", "title"], "_books").hint("merge"), ["date", "title"])
+    return paired(known.join(gathered(able, ["date", "name"], "_able").hint("merge"), ["date", "name"]), "_books", "_able")
+
+
 def shared_letters(a: Column, b: Column) -> Column:
     """How many characters two titles have in common, each as often as it is in both: no common subsequence is longer."""
     own = F.array_distinct(F.split(a, ""))
@@ -40,15 +75,16 @@ def scored(pairs: DataFrame, left: str = "title", right: str = "name", least: fl
     """Pairs with `conf`, the similarity of their normalised titles; each distinct pair of titles is compared once.
 
     Pairs that cannot reach `least` are left out before Python sees them: if n is the shorter length and c the
-    number of shared characters, no part of a title is nearer than 2 * c / (n + c).
+    number of shared characters, no part of a title is nearer than 2 * c / (n + c). The joins are merged: pairs of few
+    titles take so little room in a file that Spark would broadcast millions of them.
     """
     distinct = pairs.select(left, right).distinct()
     titles = distinct.select(F.col(left).alias("_t")).union(distinct.select(right)).distinct().withColumn("_n", norm_title(F.col("_t")))
-    ready = distinct.join(titles.withColumnsRenamed({"_t": left, "_n": "_a"}), left).join(titles.withColumnsRenamed({"_t": right, "_n": "_b"}), right)
+    ready = distinct.join(titles.withColumnsRenamed({"_t": left, "_n": "_a"}).hint("merge"), left).join(titles.withColumnsRenamed({"_t": right, "_n": "_b"}).hint("merge"), right)
     if least > 0:
         c, n = shared_letters(F.col("_a"), F.col("_b")), F.least(F.length("_a"), F.length("_b"))
         ready = ready.withColumn("_c", c).filter((n == 0) | (2 * F.col("_c") >= (least - 1e-9) * (n + F.col("_c"))))
-    return pairs.join(ready.select(left, right, title_similarity(F.col("_a"), F.col("_b")).alias("conf")), [left, right])
+    return pairs.join(ready.select(left, right, title_similarity(F.col("_a"), F.col("_b")).alias("conf")).hint("merge"), [left, right])
 
 
 #: Letters of a piece at most, so that the grams of a title stay few.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bookflow.functions.similarity import similarity
 from bookflow.operators import match
+from bookflow.plans.queries import QUERIES
 
 
 def changed(rng, title, letters, most=3):
@@ -46,6 +47,44 @@ def test_similar_titles(spark, letters, least):
     assert got == want and len(want) > 30
 
 
+@pytest.fixture
+def days(spark, monkeypatch):
+    """Books and subjects, with nulls and titles that repeat, in arrays of three; and the pairs of a day by brute force."""
+    monkeypatch.setattr(match, "BLOCK", 3)
+    rng = random.Random(7)
+    a, b = titles(rng, 12, "abc ", 9), titles(rng, 12, "abc ", 9)
+    books = [(i, rng.choice([*a[:9], t, None]), rng.choice(["d", "d", "e", None])) for i, t in enumerate(a)]
+    subjects = [(i, rng.choice([*b[:9], t, None]), rng.choice(["d", "d", "e", None]), rng.random() < 0.1, rng.choice(["小说", "其他", "x"]), i) for i, t in enumerate(b)]
+    tables = spark.createDataFrame(books, "book_id long, title string, date string").repartition(2), spark.createDataFrame(subjects, "id long, name string, date string, series boolean, platform string, rank int").repartition(3)
+    able = [s for s in subjects if not s[3] and s[4] != "x"]
+    return *tables, [(x, y) for x in books for y in able if x[2] is not None and x[2] == y[2]]
+
+
+def test_all_scores_of_a_day(spark, days):
+    books, subjects, want = days
+    norm = {r[0]: r[1] for df, c in ((books, "title"), (subjects, "name")) for r in df.select(c, match.norm_title(F.col(c))).collect()}
+    found = match.scored_candidates(books, subjects)
+    got = [(r.date, r.book_id, r.title, r.id, r.name, r["rank"], r.conf) for r in found.collect()]
+    told = [(x[2], *x[:2], *y[:2], y[5], similarity(norm[x[1]], norm[y[1]])) for x, y in want if x[1] is not None and y[1] is not None]
+    assert sorted(got, key=str) == sorted(told, key=str)
+
+
+def test_the_pairs_of_one_day_are_many_tasks_work(spark):
+    """2,000 books and 2,000 subjects of one day are few bytes, which Spark would put in one task, and four million pairs."""
+    books = spark.range(2000).select(F.col("id").alias("book_id"), F.lit("t").alias("title"), F.lit("d").alias("date"))
+    subjects = spark.range(2000).select("id", F.lit("t").alias("name"), F.lit("d").alias("date"), F.lit(False).alias("series"), F.lit("其他").alias("platform"), F.col("id").alias("rank"))
+    found = match.scored_candidates(books, subjects)
+    made = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == 4_000_000 and max(made) <= 1_000_000, made
+
+
+@pytest.mark.parametrize("name", ["j4_similarity"])
+def test_no_table_of_pairs_is_broadcast(spark, sf, name):
+    """The driver collects what is broadcast, and parts of few names are hundreds of times as large there as in their file."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def pairs_made(spark, n):
     """Pairs that a day of n random titles gives, of which every tenth is nearly another."""
     rng = random.Random(n)
