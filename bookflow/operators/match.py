@@ -34,17 +34,15 @@ def paired(met: DataFrame, *sides: str) -> DataFrame:
     return spread(met).select(*keys, F.explode(one).alias("_l"), other).select(*keys, "_l.*", F.explode(other).alias("_r")).select("*", "_r.*").drop("_r")
 
 
-def block_candidates(books: DataFrame, subjects: DataFrame, platforms: tuple[str, ...] = PLATFORMS, salts: int = 8) -> DataFrame:
+def block_candidates(books: DataFrame, subjects: DataFrame, platforms: tuple[str, ...] = PLATFORMS) -> DataFrame:
     """Pairs of books and subjects of equal date, without series and platforms that are no books.
 
-    books: (book_id, title, date); subjects: (id, name, date, series, platform, rank). A date is a release day
-    and may hold many books, so books are salted and subjects, the smaller side of a day, repeated by the salts.
+    books: (book_id, title, date); subjects: (id, name, date, series, platform, rank). A date is a release day and may
+    hold many of both, so arrays of a day's books meet arrays of its subjects, each a few of BLOCK * BLOCK pairs. The
+    join is merged, since Spark underestimates arrays and would broadcast them.
     All pairs of a day is what this gives; whoever wants similar ones alone should ask `similar_titles`.
     """
-    able = subjects.filter(~F.col("series") & F.col("platform").isin(*platforms)).select("id", "name", "date", "rank")
-    able = able.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = books.withColumn("_salt", F.pmod(F.xxhash64("book_id"), F.lit(salts)).cast("int"))
-    return salted.join(able, ["date", "_salt"]).drop("_salt")
+    return paired(gathered(books, ["date"], "_books").join(gathered(_able(subjects, platforms), ["date"], "_able").hint("merge"), "date"), "_books", "_able")
 
 
 def _able(subjects: DataFrame, platforms: tuple[str, ...]) -> DataFrame:

@@ -60,6 +60,12 @@ def days(spark, monkeypatch):
     return *tables, [(x, y) for x in books for y in able if x[2] is not None and x[2] == y[2]]
 
 
+def test_all_pairs_of_a_day(days):
+    books, subjects, want = days
+    got = [(r.date, r.book_id, r.title, r.id, r.name, r["rank"]) for r in match.block_candidates(books, subjects).collect()]
+    assert sorted(got, key=str) == sorted(((x[2], *x[:2], *y[:2], y[5]) for x, y in want), key=str) and len(want) > 200
+
+
 def test_all_scores_of_a_day(spark, days):
     books, subjects, want = days
     norm = {r[0]: r[1] for df, c in ((books, "title"), (subjects, "name")) for r in df.select(c, match.norm_title(F.col(c))).collect()}
@@ -73,12 +79,12 @@ def test_the_pairs_of_one_day_are_many_tasks_work(spark):
     """2,000 books and 2,000 subjects of one day are few bytes, which Spark would put in one task, and four million pairs."""
     books = spark.range(2000).select(F.col("id").alias("book_id"), F.lit("t").alias("title"), F.lit("d").alias("date"))
     subjects = spark.range(2000).select("id", F.lit("t").alias("name"), F.lit("d").alias("date"), F.lit(False).alias("series"), F.lit("其他").alias("platform"), F.col("id").alias("rank"))
-    found = match.scored_candidates(books, subjects)
-    made = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
-    assert sum(made) == 4_000_000 and max(made) <= 1_000_000, made
+    for found in (match.block_candidates(books, subjects), match.scored_candidates(books, subjects)):
+        made = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(made) == 4_000_000 and max(made) <= 1_000_000, made
 
 
-@pytest.mark.parametrize("name", ["j4_similarity"])
+@pytest.mark.parametrize("name", ["j3_candidates", "j4_similarity"])
 def test_no_table_of_pairs_is_broadcast(spark, sf, name):
     """The driver collects what is broadcast, and parts of few names are hundreds of times as large there as in their file."""
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
