@@ -217,14 +217,39 @@ def bigrams(title: Column) -> Column:
 HEAD = 128
 
 
+#: Rows of a table of grams, and of one of a few columns for each set of grams, that are broadcast at most.
+GRAMS, SETS = 1_000_000, 10_000
+
+
 def retrieved(items: DataFrame, subjects: DataFrame, k: int = 15, head: int = HEAD, salts: int = 16) -> DataFrame:
     """(item_id, id, rank, shared, place): the k subjects that share most bigrams with each item, of equals the first by rank.
 
-    items: a cut table (item_id, grams); subjects: a cut table (id, rank, grams). The index is ordered by rank, and of
-    each bigram's subjects only the first `head` are read. A subject that is not met there shares bigrams with longer
-    lists alone, and is ranked behind the heads of all these: where the k-th best met shares as many as there are such
-    lists and is ranked before, or more, the k are certain. For the other items a subject that is missing must share c
-    of its m long lists, c being what the k-th shares; so it is on one of the rarest m - c + 1, and those are read whole.
+    items: a cut table (item_id, grams); subjects: a cut table (id, rank, grams). Only bigrams that both sides have
+    count. Items that have the same of them have the same subjects, so that one is asked for all; and of subjects that
+    have the same of them no item's best hold others than the first k. What is left is asked by `retrieved_by_lists`.
+    """
+    asked, held = (df.select(*own, F.explode("grams").alias("g")) for df, own in ((items, ["item_id"]), (subjects, ["id", "rank"])))
+    both = cut(asked.select("g").distinct().join(held.select("g").distinct(), "g"))
+    both = F.broadcast(both) if both.count() <= GRAMS else both
+    sets = lambda df, own: df.join(both, "g").groupBy(*own).agg(F.array_sort(F.collect_set("g")).alias("grams"))
+    wanted = cut(sets(asked, ["item_id"]))
+    first = F.row_number().over(W.partitionBy("grams").orderBy("rank", "id"))
+    able = cut(sets(held, ["id", "rank"]).withColumn("_p", first).filter(F.col("_p") <= k).drop("_p"))
+    one = cut(wanted.groupBy("grams").agg(F.min("item_id").alias("item_id")))
+    best = F.collect_list(F.struct("id", "rank", "shared", "place"))  # k at most
+    found = retrieved_by_lists(one, able, k, head, salts).groupBy("item_id").agg(best.alias("_best")).join(one, "item_id").select("grams", "_best")
+    found = F.broadcast(found) if one.count() <= SETS else found
+    return wanted.join(found, "grams").select("item_id", F.explode("_best").alias("_b")).select("item_id", "_b.*")
+
+
+def retrieved_by_lists(items: DataFrame, subjects: DataFrame, k: int, head: int, salts: int) -> DataFrame:
+    """`retrieved` for items and subjects of which no two have the same bigrams, or few.
+
+    The index is ordered by rank, and of each bigram's subjects only the first `head` are read. A subject that is not
+    met there shares bigrams with longer lists alone, and is ranked behind the heads of all these: where the k-th best
+    met shares as many as there are such lists and is ranked before, or more, the k are certain. For the other items a
+    subject that is missing must share c of its m long lists, c being what the k-th shares; so it is on one of the
+    rarest m - c + 1, and those are read whole.
     """
     asked = items.select("item_id", F.explode("grams").alias("g"))
     index = subjects.select("id", "rank", F.explode("grams").alias("g"))

@@ -138,6 +138,21 @@ def test_retrieved(spark, letters, head, k):
     assert got == {i: rows for i, rows in want.items() if rows}
 
 
+def test_items_and_subjects_of_the_same_bigrams_are_asked_once(spark, monkeypatch):
+    """4,000 items that differ in what no subject has, and 4,000 subjects that differ in what no item has, are a few sets."""
+    asked = []
+    lists = match.retrieved_by_lists
+    monkeypatch.setattr(match, "retrieved_by_lists", lambda items, subjects, *a: asked.append((items.count(), subjects.count())) or lists(items, subjects, *a))
+    gram = lambda c: match.bigrams(F.col(c)).alias("grams")
+    items = spark.range(4000).select(F.col("id").alias("item_id"), F.concat(F.when(F.col("id") % 2 == 0, "en ").otherwise("fr "), F.col("id").cast("string")).alias("t")).select("item_id", gram("t"))
+    subjects = spark.range(4000).select("id", (F.col("id") % 100).alias("rank"), F.concat(F.when(F.col("id") % 4 == 0, "men ").otherwise("fr "), F.translate(F.col("id").cast("string"), "0123456789", "ABCDEFGHIJ")).alias("t")).select("id", "rank", gram("t"))
+    got = {}
+    for r in match.retrieved(items, subjects, 3, 4).orderBy("item_id", "place").collect():
+        got.setdefault(r.item_id, []).append((r.id, r["rank"], r.shared))
+    best = lambda own: [(i, i % 100, 2) for i in sorted((i for i in range(4000) if (i % 4 == 0) == own), key=lambda i: (i % 100, i))[:3]]
+    assert got == {i: best(i % 2 == 0) for i in range(4000)} and asked == [(2, 6)]
+
+
 def test_reads_are_bounded_where_the_heads_decide(spark):
     """However many subjects hold a common bigram, an item whose best subjects are among the heads opens no list."""
     for n in (400, 4000):
