@@ -21,8 +21,11 @@ BLOCK = 512
 
 
 def gathered(rows: DataFrame, keys: list[str], into: str) -> DataFrame:
-    """(*keys, into): the rows in arrays of at most BLOCK structs, of one key each; a key of many rows has many arrays, and no task needs all of it."""
-    numbered = rows.sortWithinPartitions(*keys).withColumn("_block", F.floor(F.monotonically_increasing_id() / BLOCK))
+    """(*keys, into): the rows in arrays of at most BLOCK structs, of one key each; no task needs all rows of a key.
+
+    Rows are ordered over all tasks, whatever task they come from, so that a key has few arrays more than its rows fill.
+    """
+    numbered = rows.orderBy(*keys, F.xxhash64(*rows.columns)).withColumn("_block", F.floor(F.monotonically_increasing_id() / BLOCK))
     # cut, as the numbers must not change where a task is run again
     return cut(numbered).groupBy(*keys, "_block").agg(F.collect_list(F.struct(*(c for c in rows.columns if c not in keys))).alias(into)).drop("_block")
 

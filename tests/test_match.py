@@ -84,6 +84,13 @@ def test_the_pairs_of_one_day_are_many_tasks_work(spark):
         assert sum(made) == 4_000_000 and max(made) <= 1_000_000, made
 
 
+def test_a_key_has_few_arrays(spark):
+    """Of 20 keys of 50 rows dealt to 40 tasks each has the one or two arrays that its place in the order gives."""
+    rows = spark.range(1000).select((F.col("id") % 20).alias("k"), "id").repartition(40)
+    got = match.gathered(rows, ["k"], "own").collect()
+    assert len(got) <= 20 + 8 + 2 and sorted((r.k, x.id) for r in got for x in r.own) == sorted((i % 20, i) for i in range(1000))
+
+
 @pytest.mark.parametrize("name", ["j3_candidates", "j4_similarity"])
 def test_no_table_of_pairs_is_broadcast(spark, sf, name):
     """The driver collects what is broadcast, and parts of few names are hundreds of times as large there as in their file."""
